@@ -160,3 +160,10 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     for j in range(k):
         out += hashes[j : n - k + 1 + j] * PLACES[j]
     return mix(out + np.uint64(k))
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """The place of a public tokenizer's file, on the driver as on the executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
