@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, langid, license_scan, merkle, secrets
+from . import bpe, chat, hmm, langid, license_scan, merkle, secrets
 from .common import table, tokenizer_path
 
 
@@ -32,12 +32,16 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(chat.with_probe(table(spark, sf_dir, "conversations"))))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_language_id, op2_license_scan, op5_secret_scan, op6_bpe, op7_fingerprints, op10_chat_format)
+    every = (op1_language_id, op2_license_scan, op5_secret_scan, op6_bpe, op7_fingerprints, op9_lm_score, op10_chat_format)
     return {f.__name__: f for f in every}
 
 
