@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, hmm, langid, license_scan, merkle, neardup, secrets
+from . import bpe, chat, hmm, langid, license_scan, merkle, neardup, secrets, substrings
 from .common import table, tokenizer_path
 
 
@@ -36,6 +36,10 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_language_id, op2_license_scan, op4_near_duplicates, op5_secret_scan, op6_bpe, op7_fingerprints, op9_lm_score, op10_chat_format)
+    every = (op1_language_id, op2_license_scan, op4_near_duplicates, op5_secret_scan, op6_bpe, op7_fingerprints, op8_substring_dedup, op9_lm_score, op10_chat_format)
     return {f.__name__: f for f in every}
 
 
