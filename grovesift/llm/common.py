@@ -92,22 +92,22 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def hash_words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of every word in a buffer of bytes."""
+def hash_words(buf: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of every word in a buffer of bytes; ``space`` tells which bytes part words."""
     n = len(buf)
     if n > 2 * PIECE:  # cut behind a white space, or leave a word that has none whole
         cuts, at = [], 0
-        spaces = np.flatnonzero(SPACE[buf])
+        spaces = np.flatnonzero(space[buf])
         while n - at > 2 * PIECE:
             k = np.searchsorted(spaces, at + PIECE)
             if k == len(spaces) or spaces[k] + 1 >= n:
                 break
             cuts.append(at := int(spaces[k]) + 1)
         if cuts:
-            parts = [(*hash_words(p), s) for s, p in zip([0, *cuts], np.split(buf, cuts), strict=True)]
+            parts = [(*hash_words(p, space), s) for s, p in zip([0, *cuts], np.split(buf, cuts), strict=True)]
             return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] + p[2] for p in parts])
     word = np.zeros(n + 2, np.int8)
-    word[1:-1] = ~SPACE[buf]
+    word[1:-1] = ~space[buf]
     edge = np.diff(word)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     up, down = powers(max(n, 1))
@@ -129,10 +129,10 @@ def blocks(texts: list[bytes | None], size: int = PIECE):
         yield first, len(texts)
 
 
-def words_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words_of(texts: list[bytes | None], space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes of several documents, in order, and for each document where its words begin and end."""
     buf = np.frombuffer(b"\n".join(t or b"" for t in texts), np.uint8)
-    hashes, starts = hash_words(buf)
+    hashes, starts = hash_words(buf, space)
     ends = np.cumsum([len(t or b"") + 1 for t in texts])
     at = np.searchsorted(starts, np.concatenate([[0], ends]))
     return hashes, at[:-1], at[1:]

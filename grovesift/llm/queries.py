@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, hmm, langid, license_scan, merkle, neardup, secrets, substrings
+from . import bpe, chat, decontam, hmm, langid, license_scan, merkle, neardup, secrets, substrings
 from .common import table, tokenizer_path
 
 
@@ -19,6 +19,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_language_id, op2_license_scan, op4_near_duplicates, op5_secret_scan, op6_bpe, op7_fingerprints, op8_substring_dedup, op9_lm_score, op10_chat_format)
+    every = (op1_language_id, op2_license_scan, op3_decontamination, op4_near_duplicates, op5_secret_scan, op6_bpe, op7_fingerprints, op8_substring_dedup, op9_lm_score, op10_chat_format)
     return {f.__name__: f for f in every}
 
 
