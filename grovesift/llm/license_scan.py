@@ -4,7 +4,8 @@ Native: DataFrame functions only. Every run of ``K`` words of every document is
 verified by its words) to the places where the templates hold the same run. A match at word ``p`` of the
 document and place ``q`` of the template votes for the diagonal ``p - q``. Neighbouring diagonals, at most
 ``GAP`` words apart, are merged, so that a few inserted or lost words leave one placement; a placement is
-accepted when it covers ``COVER`` per cent of the template's runs.
+accepted when it covers ``COVER`` per cent of the template's runs, or all of them in a template of fewer than
+``LONG`` runs, where a single word tells licenses apart.
 
 The templates are a fixed list, so their broadcast has a fixed size. One pass reads and splits each text
 once; a row for each document goes along with the matches, and nothing but matches and these rows is shuffled.
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K, GAP, COVER = 2, 2, 80
+K, GAP, COVER, LONG = 2, 2, 80, 10
 
 # The base phrases and their labels.
 PHRASES = (
@@ -103,7 +104,8 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, cover: int = COV
     label = F.get(F.array(*[F.lit(name) for _, name in both]), F.col("t"))
     found = placements(docs, both)
     base = F.when(F.col("t") < len(phrases), F.col("whole"))
-    won = (F.col("t") >= len(phrases)) & (F.col("runs") * 100 >= F.col("size") * cover)
+    need = F.when(F.col("size") < LONG, 100).otherwise(cover)
+    won = (F.col("t") >= len(phrases)) & (F.col("runs") * 100 >= F.col("size") * need)
     each = found.select(
         "uid", "doc_id", "n_words", F.coalesce(F.size(base), F.lit(0)).alias("n"), F.array_min(base).alias("low"), F.array_max(base).alias("high"),
         F.when(F.size(base) > 0, label).alias("base_label"), F.when(won, label).alias("label"), (F.col("runs") / F.col("size")).alias("share"),
@@ -138,7 +140,7 @@ covered AS (SELECT uid, t, size, label, run, count(DISTINCT q) AS runs FROM numb
 base AS (SELECT uid, count(*) AS n_base, min(diagonal) AS first_word, max(diagonal) AS last_word,
   string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM votes WHERE t < {len(PHRASES)} AND n = size GROUP BY uid),
 named AS (SELECT uid, label FROM votes WHERE t < {len(PHRASES)} AND n = size
-  UNION SELECT uid, label FROM covered WHERE t >= {len(PHRASES)} AND runs * 100 >= size * {COVER}),
+  UNION SELECT uid, label FROM covered WHERE t >= {len(PHRASES)} AND runs * 100 >= size * CASE WHEN size < {LONG} THEN 100 ELSE {COVER} END),
 joined AS (SELECT uid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM named GROUP BY uid),
 best AS (SELECT uid, max(runs / size) AS score FROM covered GROUP BY uid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
