@@ -219,5 +219,5 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that hold no item; all columns stay."""
     columns = docs.columns
     for index in indexes(docs, items):
-        docs = docs.withColumn("_items", matches(F.col("text"), index, docs.sparkSession.sparkContext)).filter(F.size("_items") == 0).select(*columns)
+        docs = docs.withColumn("_grovesift_items", matches(F.col("text"), index, docs.sparkSession.sparkContext)).filter(F.size("_grovesift_items") == 0).select(*columns)
     return docs

@@ -187,7 +187,7 @@ def prediction(text: Column, model: Model) -> Column:
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """The documents with lang_pred, score and rejected."""
-    return docs.withColumn("_p", prediction(F.col("text"), model)).withColumns({k: F.col("_p")[k] for k in ("lang_pred", "score", "rejected")}).drop("_p")
+    return docs.withColumn("_grovesift_p", prediction(F.col("text"), model)).withColumns({k: F.col("_grovesift_p")[k] for k in ("lang_pred", "score", "rejected")}).drop("_grovesift_p")
 
 
 def held_out(docs: DataFrame, model: Model) -> DataFrame:

@@ -57,7 +57,7 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 def words(text: Column) -> Column:
     """The words of a text. The two characters whose lower case is or begins with an ASCII letter are put aside first."""
-    plain = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("K"), F.lit("ª")), F.lit("İ"), F.lit("ª"))
+    plain = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u00aa")), F.lit("\u0130"), F.lit("\u00aa"))
     return F.array_remove(F.split(F.lower(plain), NOT_WORD), "")
 
 
