@@ -16,11 +16,11 @@ import stat
 from collections import deque
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..operators.rules import MARKERS, ExcludeRules
+from ..operators.rules import MARKERS, ExcludeRules, IndexScope, effective
 
 SCHEMA = "parent_path string, name string, path string, size long, mtime long, mtime_ns long, is_dir boolean, hidden boolean, error int"
 
@@ -123,6 +123,21 @@ def scan(spark: SparkSession, roots: list[str], rules: ExcludeRules = ExcludeRul
     return spark.read.format("fstree").option("roots", json.dumps(roots)).option("rules", rules.to_json()).option("partitions", partitions).load()
 
 
+def scan_scope(spark: SparkSession, scope: IndexScope, rules: ExcludeRules = ExcludeRules(), mount_table: list[tuple[str, bool]] | None = None) -> tuple[DataFrame, list[tuple[str, int]]]:
+    """The rows of a scope, and issues of roots that no longer are the folders that were chosen.
+
+    Mounts that aren't local are left out like excluded paths. The scope of all local volumes is the whole disk.
+    """
+    good, lost = scope.valid_roots()
+    return scan(spark, good, effective(rules, mounts() if mount_table is None else mount_table)), lost
+
+
+def with_progress(scanned: DataFrame, name: str = "scan") -> tuple[DataFrame, Observation]:
+    """The rows, and an observation that tells how many have passed once they have been written."""
+    seen = Observation(name)
+    return scanned.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("error").isNotNull()).alias("errors")), seen
+
+
 def issues(scanned: DataFrame, most: int = 100) -> DataFrame:
     """(path, error_code) of what couldn't be read; a report, so its length is bounded."""
     return scanned.filter(F.col("error").isNotNull()).select("path", F.col("error").alias("error_code")).limit(most)

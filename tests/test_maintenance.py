@@ -56,6 +56,11 @@ def test_scan(spark, tmp_path):
     built = forest.build(fstree.as_rows(got))
     assert sorted(x.path for x in built.collect()) == sorted(x.path for x in got.collect())
     assert built.filter(F.col("path") == str(top)).first().size == 0
+    scope = rules.IndexScope("folders", (str(top / "p"), "/no/such"), {"/no/such": (1, 1)})
+    if scope.contains(str(top / "p")):
+        rows, lost = fstree.scan_scope(spark, scope, r, [("/", True)])
+        counted, seen = fstree.with_progress(rows)
+        assert counted.count() == 4 and seen.get == {"rows": 4, "errors": 0} and lost == [("/no/such", 2)]
     assert fstree.issues(fstree.scan(spark, [str(top / "missing")], r)).first().error_code == 2
 
 
