@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, glob_pattern, has_wildcard, whole_word_pattern, within
+from ..operators.trigrams import required_literal
 from .ast import And, Everything, Extensions, Folder, Kind, Modified, Node, Not, Or, PathText, Pattern, Size, Text, Xor
 
 
@@ -66,7 +67,16 @@ def to_column(node: Node, o: Options = Options()) -> Column:
         case Extensions(names):
             return F.col("ext_fold").isin([fold(n) for n in names if n.isascii()]) if any(n.isascii() for n in names) else F.lit(False)
         case Pattern(regex):
-            return F.col("path" if o.match_path else "name").rlike(("(?iu)" if o.ignore_case else "") + regex)
+            target = "path" if o.match_path else "name"
+            test = F.col(target).rlike(("(?iu)" if o.ignore_case else "") + regex)
+            literal = required_literal(regex)
+            # A plain text that every match holds is tested first; that test reaches the scan. Letters that Unicode
+            # case folding also gives to characters beyond ASCII (k, s) don't allow it.
+            if literal and not o.ignore_case:
+                return F.col(target).contains(literal) & test
+            if literal and literal.isascii() and not set(fold(literal)) & {"k", "s"}:
+                return F.col(f"{target}_fold").contains(fold(literal)) & test
+            return test
         case Kind(folder):
             return F.col("is_dir") if folder else ~F.col("is_dir")
         case Size(low, high):

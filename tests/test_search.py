@@ -66,6 +66,12 @@ def test_name_tests_reach_the_scan(files, spark, tmp_path):
     assert "StringContains(name_fold,report)" in plan and "GreaterThanOrEqual(size,6)" in plan
 
 
+def test_patterns_test_their_plain_part_first(files, spark, tmp_path):
+    files.write.parquet(str(tmp_path / "f"))
+    plan = lambda q: matches(spark.read.parquet(str(tmp_path / "f")), Request(q)).select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "StringContains(name_fold,.pdf)" in plan(r"regex:\.PDF$") and "StringContains" not in plan("regex:notes")
+
+
 def test_compaction_and_orphans(files):
     from pyspark.sql import functions as F
 
