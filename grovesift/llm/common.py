@@ -7,8 +7,10 @@ hash of every word in a buffer at once. All arithmetic is modulo 2**64; words ha
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -23,11 +25,17 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BASE = 0x9E3779B97F4A7C15
 #: Longest buffer that is hashed at once; longer ones are cut at white space.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sets Arrow batches to 1,000 rows: texts are long, and a batch exists several times over in the JVM and in Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -54,6 +62,20 @@ def drop_table(df: DataFrame) -> None:
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more, and lets Spark delete the shuffle files of finished plans.
+
+    Spark drops a shuffle's files once the driver's garbage collector has found that no plan refers to it; on a
+    driver with little to do that may be long after the job.
+    """
+    for t in tables:
+        drop_table(t)
+    for _ in range(2):  # Python's handles go first, then what they held in the JVM
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
 def fold(column: str, n: int) -> Column:
     """crc32 of an id as text, modulo ``n`` (null for a null id)."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

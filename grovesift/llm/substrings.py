@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, materialize, mix, powers
+from .common import binary, materialize, mix, powers, release
 
 LENGTH, GRAM = 50, 20
 #: Bytes that are hashed at once; longer texts are cut into overlapping parts.
@@ -49,13 +49,13 @@ def rolling(buf: np.ndarray, k: int) -> np.ndarray:
     return mix((sums[k:] - sums[:-k]) * down[:n])
 
 
-def parts(texts: list[bytes]):
+def parts(texts: list[bytes], most: int = PART):
     """(document numbers, offsets, buffer, starts in it): documents side by side; long ones in parts that overlap by a window less one byte."""
     number, offset, start, held, size = [], [], [], [], 0
     for k, t in enumerate(texts):
-        for at in range(0, max(1, len(t) - LENGTH + 1), PART - LENGTH + 1):
-            piece = t[at : at + PART]
-            if size + len(piece) > 2 * PART and held:
+        for at in range(0, max(1, len(t) - LENGTH + 1), most - LENGTH + 1):
+            piece = t[at : at + most]
+            if size + len(piece) > 2 * most and held:
                 yield np.array(number), np.array(offset), np.frombuffer(b"".join(held), np.uint8), np.array(start)
                 number, offset, start, held, size = [], [], [], [], 0
             number.append(k)
@@ -247,14 +247,41 @@ def least_ids(texts: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
     return np.split(out, np.cumsum(count)[:-1])
 
 
-def window_ids(distinct: DataFrame, buckets: int) -> DataFrame:
-    """(k1, k2, size, least): for distinct pieces (gram, c, k1, k2, first, copies) the smallest id of each window."""
+def combined(found: DataFrame) -> DataFrame:
+    """(gram, c, first, copies): equal pieces of a task as one, so that a piece with very many copies is moved once for a task."""
+
+    def make(batches):
+        held, rows = [], 0
+
+        def merged():
+            t = pa.Table.from_batches(held).group_by(["c", "off"]).aggregate([("doc_id", "min"), ("doc_id", "count")])
+            grams = [c[o : o + GRAM] for c, o in zip(t.column("c").to_pylist(), t.column("off").to_pylist(), strict=True)]
+            whole = pa.table({"gram": pa.array(grams, pa.binary()), "c": t.column("c"), "first": t.column("doc_id_min"), "copies": t.column("doc_id_count")})
+            return whole.combine_chunks().to_batches(max_chunksize=20_000)
+
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= 200_000:
+                yield from merged()
+                held, rows = [], 0
+        if held:
+            yield from merged()
+
+    return found.select("c", "off", "doc_id").mapInArrow(make, "gram binary, c binary, first long, copies long")
+
+
+def window_ids(pieces_: DataFrame, buckets: int) -> DataFrame:
+    """(k1, k2, size, least): for each distinct piece (gram, c, first, copies) the smallest id of each of its windows."""
 
     def work(held):
-        least = least_ids([r[1] for r in held], np.array([r[4] for r in held], np.int64))
-        use = [(r[2], r[3], len(r[1]), w.tobytes()) for r, w in zip(held, least, strict=True) if r[5] > 1 or (w < r[4]).any()]
+        least = least_ids([r[1] for r in held], np.array([r[2] for r in held], np.int64))
+        use: dict[bytes, tuple] = {}
+        for r, w in zip(held, least, strict=True):
+            if r[3] > 1 or (w < r[2]).any():
+                use[r[1]] = (r[4], r[5], len(r[1]), w.tobytes())  # equal pieces have equal windows
         if use:
-            c = list(zip(*use, strict=True))
+            c = list(zip(*use.values(), strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.binary())], ["k1", "k2", "size", "least"])
 
     def walk(batches):
@@ -270,8 +297,8 @@ def window_ids(distinct: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield from work(held)
 
-    ordered = distinct.repartitionByRange(buckets, "gram").sortWithinPartitions("gram")
-    return ordered.mapInArrow(walk, "k1 long, k2 int, size int, least binary")
+    ordered = pieces_.repartitionByRange(buckets, "gram").sortWithinPartitions("gram")
+    return ordered.select("gram", "c", "first", "copies", F.xxhash64("c").alias("k1"), F.hash("c").alias("k2")).mapInArrow(walk, "k1 long, k2 int, size int, least binary")
 
 
 def intervals(found: DataFrame, least: DataFrame) -> DataFrame:
@@ -300,13 +327,16 @@ def removable(docs: DataFrame) -> DataFrame:
     size = real.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(BUCKETS, size // BUCKET_BYTES)
     hits = materialize(shared_anchors(anchors(real, buckets)), "hits")
+    release(spark)
     key = {"k1": F.xxhash64("c"), "k2": F.hash("c"), "size": F.octet_length("c")}
     found = materialize(pieces(real, hits).withColumns(key), "pieces")
-    each = found.groupBy("c", "off").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
-    distinct = each.select(F.substring("c", F.col("off") + 1, F.lit(GRAM)).alias("gram"), "c", F.xxhash64("c").alias("k1"), F.hash("c").alias("k2"), "first", "copies")
+    release(spark, hits)
     wide = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 2)
-    least = materialize(window_ids(distinct, wide), "least")
-    return materialize(intervals(found.select("doc_id", "at", "k1", "k2", "size"), least), "intervals")
+    least = materialize(window_ids(combined(found), wide), "least")
+    release(spark)
+    out = materialize(intervals(found.select("doc_id", "at", "k1", "k2", "size"), least), "intervals")
+    release(spark, found, least)
+    return out
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
