@@ -22,6 +22,7 @@ import functools
 import hashlib
 import heapq
 import json
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -332,7 +333,7 @@ class Tokenizer:
         out: list[np.ndarray] = []
         marked = {k: t for k, t in enumerate(texts) if t and any(s in t for s in self.special)}
         plain = [None if k in marked else t for k, t in enumerate(texts)] if marked else texts
-        for first, end in blocks(plain, 1 << 20):
+        for first, end in blocks(plain, 1 << 18):
             ids, at = self.encode_block(plain[first:end])
             if self.join(ids) != "".join(t or "" for t in plain[first:end]).encode():
                 self.forget()
@@ -364,8 +365,12 @@ def tokenizer(path: str) -> Tokenizer:
 def encode(text: Column, path: str) -> Column:
     """array<int> of ids of a text column."""
     @F.arrow_udf("array<int>")
-    def ids(texts: pa.Array) -> pa.Array:
-        return pa.array([x.astype(np.int32) for x in tokenizer(path).encode_batch(texts.to_pylist())], pa.list_(pa.int32()))
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            found = tokenizer(path).encode_batch(texts.to_pylist())
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint32), *found]).astype(np.int32)))
+        tokenizer(path).forget()  # the worker lives on
 
     return ids(text)
 
@@ -374,7 +379,9 @@ def decode(ids: Column, path: str) -> Column:
     """The text of a column of ids (null for null)."""
     @F.arrow_udf("string")
     def text(rows: pa.Array) -> pa.Array:
-        return pa.array([None if r is None else tokenizer(path).decode(r) for r in rows.to_pylist()], pa.string())
+        # By views of the flat values: as Python lists the ids of a batch would take several hundred MB.
+        at, flat, there = rows.offsets.to_numpy(), rows.values.to_numpy(), rows.is_valid().to_numpy(zero_copy_only=False)
+        return pa.array([tokenizer(path).decode(flat[a:b]) if ok else None for a, b, ok in zip(at, at[1:], there, strict=False)], pa.string())
 
     return text(ids)
 
@@ -382,11 +389,13 @@ def decode(ids: Column, path: str) -> Column:
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens and the SHA-256 of the ids (little-endian, 32 bits each) and of the text decoded from them."""
     @F.arrow_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>")
-    def digest(texts: pa.Array) -> pa.Array:
+    def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         t = tokenizer(path)
-        ids = t.encode_batch(texts.to_pylist())
         sha = lambda raw: hashlib.sha256(raw).hexdigest()
-        columns = [len(x) for x in ids], [sha(x.astype("<u4").tobytes()) for x in ids], [sha(t.decode(x).encode()) for x in ids]
-        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True)], ["n_tokens", "ids_sha256", "decoded_sha256"])
+        for texts in batches:
+            ids = t.encode_batch(texts.to_pylist())
+            columns = [len(x) for x in ids], [sha(x.astype("<u4").tobytes()) for x in ids], [sha(t.decode(x).encode()) for x in ids]
+            yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True)], ["n_tokens", "ids_sha256", "decoded_sha256"])
+        t.forget()
 
     return docs.select("doc_id", digest("text").alias("d")).select("doc_id", "d.*")

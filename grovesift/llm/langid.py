@@ -90,7 +90,7 @@ class Model:
 
     def logits(self, texts: list[str | None]) -> np.ndarray:
         total, n = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts))
-        for first, end in blocks(texts, 1 << 19):
+        for first, end in blocks(texts, 1 << 17):
             for h, begin in subwords(texts[first:end]):
                 n[first:end] += np.diff(begin)
                 for k in range(len(self.langs)):
