@@ -10,17 +10,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grovesift.llm import bpe, decontam, langid, neardup, secrets
-from grovesift.llm.common import materialize, table, tokenizer_path
+from grovesift.llm.common import materialize, small_batches, table, tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language is rejected; fills missing languages in."""
+    small_batches(spark)
     named = docs.withColumn("_grovesift_p", langid.prediction(F.col("text"), langid.fit(docs))).filter(~F.col("_grovesift_p")["rejected"])
     return named.withColumn("lang", F.coalesce("lang", F.col("_grovesift_p")["lang_pred"])).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group: that of the smallest id, once. Documents without an id stay."""
+    small_batches(spark)
     kept = materialize(neardup.groups(docs).filter(F.col("doc_id").isNotNull() & F.col("kept")).select(F.col("doc_id").alias("_grovesift_id")).distinct(), "kept")
     held = docs.join(kept, docs["doc_id"] == kept["_grovesift_id"], "left_semi")
     once = Window.partitionBy("doc_id").orderBy("text")
@@ -30,17 +32,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item, or an edited copy of one."""
+    small_batches(spark)
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets within texts; all documents stay."""
+    small_batches(spark)
     hidden = secrets.redact(docs, secrets.fit(docs))
     return hidden.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else hidden
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text."""
+    small_batches(spark)
     path = tokenizer_path()
     ids = docs.select("doc_id", "lang", "source", "text", bpe.encode(F.col("text"), path).alias("ids"))
     back = ids.withColumn("round_trip", bpe.decode(F.col("ids"), path) == F.coalesce("text", F.lit("")))
