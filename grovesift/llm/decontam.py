@@ -1,17 +1,21 @@
-"""Benchmark decontamination: rare n-gram seeds and Smith-Waterman alignment.
-
-Words are runs of ASCII letters and digits (A-Z lower-cased) and bytes beyond ASCII. Runs of ``SEED`` words of the
-benchmark items are counted over the whole training corpus. An item's seeds are those of its runs that aren't
-common: at most ``COMMON`` times as frequent as its median run; at least half of an item's runs are seeds. A
-leaked item raises the counts of all of its runs alike, and so leaves its seeds.
-
-Where a document holds ``HITS`` seeds of an item near each other, the item is aligned with the words around
-them: a match scores 2, a replaced, added or lost word -1. The score of a pair is that of its best alignment
-divided by that of an exact copy; from ``LEAST`` on the pair is reported. Edited and paraphrased copies score in
-between.
+"""Benchmark decontamination: rare pairs of words as seeds, and Smith-Waterman alignment.
+
+Words are runs of ASCII letters and digits (A-Z lower-cased) and bytes beyond ASCII. An item is aligned with the
+words around its seeds in a document: a match scores 2, a replaced, added or lost word -1. The score of a pair is
+that of its best alignment divided by that of an exact copy; from ``LEAST`` on the pair is reported. Edited and
+paraphrased copies score in between.
+
+Seeds lose no such alignment. One of m matches and e edits has 2 m - e >= 2 LEAST n for an item of n words, so that
+at most m - LEAST n of the m - 1 steps from a match to the next cost two edits or more. The others, ``steps(n)`` =
+LEAST n - 1 at least, go on by one or two words on either side. So a place's keys are the pairs of its word with the
+first and the second word behind it, in items as in documents, and an aligned document has keys of ``steps(n)``
+different places of the item. Keys are counted over the whole training corpus; an item's seeds are those of its
+rarest n - 1 - ``steps(n)`` + ``HITS`` places, of which any aligned document has ``HITS``. This holds whatever the
+counts are. Where a document holds so many near each other, all keys are counted, and with ``steps(n)`` of them the
+item is aligned.
 
 Items go to the workers in blocks of ``ITEM_BYTES`` text each, a stated bound; the corpus is read twice for each
-block, and nothing of it is shuffled but the counts of the block's runs.
+block, and nothing of it is shuffled but the counts of the block's keys.
 
 Defined results: null and empty texts match nothing; items of fewer than ``SHORT`` words are never reported;
 repeated rows, and items that are copies of each other, give a pair each; null ids are kept; an empty table on
@@ -20,7 +24,6 @@ either side gives no pairs; other columns are ignored.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import PLACES, binary, blocks, mix, words_of
 
-SEED, HITS, COMMON, LEAST, SHORT = 3, 2, 8, 0.5, 8
+HITS, LEAST, SHORT = 2, 0.5, 8
 ITEM_BYTES = 1 << 24
 MATCH = "array<struct<item_id:bigint,score:double,start:int,end:int>>"
 #: Bytes that part words here: all of ASCII but letters and digits.
@@ -38,47 +41,65 @@ PARTS = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _FILTER = 20
 
 
-def runs(h: np.ndarray) -> np.ndarray:
-    """Hashes of all runs of ``SEED`` words."""
-    n = max(0, len(h) - SEED + 1)
-    out = np.zeros(n, np.uint64)
-    for j in range(SEED):
-        out += h[j : j + n] * PLACES[j]
-    return mix(out)
+def pairs(h: np.ndarray, gap: int) -> np.ndarray:
+    """Hashes of each word with the one ``gap`` words behind it."""
+    return mix(h[:-gap] * PLACES[0] + h[gap:] * PLACES[1])
+
+
+def steps(n):
+    """Of how many places of an item of n words any alignment from ``LEAST`` on has keys."""
+    return np.ceil(LEAST * n).astype(np.int64) - 1
 
 
 @dataclass
 class Index:
-    """The items of a block and where their seeds stand."""
+    """The items of a block and where their keys stand."""
 
     ids: list[int | None]
     words: list[np.ndarray]
-    keys: np.ndarray  # sorted distinct seeds
+    keys: np.ndarray  # sorted distinct keys
     first: np.ndarray  # for each key, where its places begin; one more than keys
     item: np.ndarray
     place: np.ndarray
     maybe: np.ndarray  # whether any key has these leading bits
 
     @staticmethod
-    def of(ids: list[int | None], texts: list[bytes | None], keep: dict[int, set[int]] | None = None) -> Index:
-        """An index of all runs, or of those kept for each item."""
+    def of(ids: list[int | None], texts: list[bytes | None]) -> Index:
+        """An index of all places."""
         h, a, b = words_of(texts, PARTS)
         words = [h[i:j] if j - i >= SHORT else h[:0] for i, j in zip(a, b, strict=True)]
-        each = [runs(w) for w in words]
-        key = np.concatenate([np.zeros(0, np.uint64), *each])
-        item = np.repeat(np.arange(len(words)), [len(r) for r in each])
-        place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(r)) for r in each)])
-        if keep is not None:
-            some = np.array([k in keep[i] for k, i in zip(key.tolist(), item.tolist(), strict=True)], bool)
-            key, item, place = key[some], item[some], place[some]
+        each = [pairs(w, gap) for w in words for gap in (1, 2)]
+        size = [len(r) for r in each]
+        place = np.concatenate([np.zeros(0, np.int64), *(np.arange(n) for n in size)])
+        return Index._sorted(ids, words, np.concatenate([np.zeros(0, np.uint64), *each]), np.repeat(np.arange(2 * len(words)) // 2, size), place)
+
+    @staticmethod
+    def _sorted(ids, words, key: np.ndarray, item: np.ndarray, place: np.ndarray) -> Index:
         order = np.argsort(key, kind="stable")
         keys, first = np.unique(key[order], return_index=True)
         maybe = np.zeros(1 << _FILTER, bool)
         maybe[keys >> np.uint64(64 - _FILTER)] = True
         return Index(ids, words, keys, np.append(first, len(key)), item[order], place[order], maybe)
 
+    def seeds(self, counts: np.ndarray) -> Index:
+        """An index of each item's rarest places, given how often each key stands in the corpus."""
+        count = np.diff(self.first)
+        n = np.array([len(w) for w in self.words], np.int64)
+        begin = np.cumsum(n) - n
+        at = begin[self.item] + self.place
+        rarity = np.zeros(n.sum(), np.int64)
+        np.add.at(rarity, at, np.repeat(counts, count))
+        owner = np.repeat(np.arange(len(n)), n)
+        last = np.zeros(len(rarity), bool)
+        last[(begin + n)[n > 0] - 1] = True  # no word behind it
+        order = np.lexsort((rarity, last, owner))
+        rank = np.empty(len(rarity), np.int64)
+        rank[order] = np.arange(len(rarity)) - begin[owner[order]]
+        kept = (rank < (n - 1 - steps(n) + HITS)[owner])[at]
+        return Index._sorted(self.ids, self.words, np.repeat(self.keys, count)[kept], self.item[kept], self.place[kept])
+
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places in h, numbers of keys) of the runs of h that are keys."""
+        """(places in h, numbers of keys) of the members of h that are keys."""
         at = np.flatnonzero(self.maybe[h >> np.uint64(64 - _FILTER)])
         if not len(at) or not len(self.keys):
             return at[:0], at[:0]
@@ -86,34 +107,57 @@ class Index:
         hit = self.keys[k] == h[at]
         return at[hit], k[hit]
 
-    def matches(self, words: np.ndarray) -> list[tuple[int, float, int, int]]:
-        """(item, score, first word, end) of the items that a document's words hold."""
-        at, k = self.find(runs(words))
+    def hits(self, h: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(documents, places in h, numbers of keys) of the keys within documents whose words end before b in h."""
+        found = []
+        for gap in (1, 2):
+            at, k = self.find(pairs(h, gap))
+            doc = np.searchsorted(b, at, "right")
+            inside = at + gap < b[doc]
+            found.append((doc[inside], at[inside], k[inside]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def matches(self, h: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[list[tuple[int, float, int, int]]]:
+        """(item, score, first word, end) of the items that each document holds; its words are h[a:b]."""
+        best: list[dict[int, tuple[float, int, int]]] = [{} for _ in a]
+        for doc, i, low, high in self.candidates(h, b):
+            item = self.words[i]
+            n, low, high = len(item), max(int(a[doc]), low), min(int(b[doc]), high)
+            near = h[low:high]
+            own = np.unique(np.concatenate([pairs(item, 1), pairs(item, 2)]))
+            total = np.zeros(len(near) + 1, np.int64)
+            for gap in (1, 2):
+                total[1 : len(near) - gap + 1] |= np.isin(pairs(near, gap), own)
+            total = np.cumsum(total)
+            if (total[2 * n :] - total[: -2 * n] if len(near) > 2 * n else total[-1:]).max() < steps(n):
+                continue
+            got, x, y = align(item, near)
+            if got >= LEAST * 2 * n:
+                at = low - int(a[doc])
+                best[doc][i] = max(best[doc].get(i, (0.0, 0, 0)), (got / (2 * n), at + x, at + y))
+        return [sorted((i, *m) for i, m in d.items()) for d in best]
+
+    def candidates(self, h: np.ndarray, b: np.ndarray):
+        """(document, item, first, end): where in h the seeds of ``HITS`` places of an item stand near each other.
+
+        An alignment of an item of n words adds n words at most and so spans 2 n, which is how near hits must be and how
+        far around them it may go.
+        """
+        doc, at, k = self.hits(h, b)
         if not len(at):
-            return []
+            return
         count = self.first[k + 1] - self.first[k]
         where = np.repeat(self.first[k] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        seen = defaultdict(list)
-        for i, q, p in zip(self.item[where].tolist(), self.place[where].tolist(), np.repeat(at, count).tolist(), strict=True):
-            seen[i].append((p, q))
-        out = []
-        for i, spots in seen.items():
-            item, best = self.words[i], (0.0, 0, 0)
-            n, pad = len(item), max(4, len(item) // 4)
-            cluster = [spots[0]]
-            for spot in [*spots[1:], None]:
-                if spot and spot[0] - cluster[-1][0] <= n:
-                    cluster.append(spot)
-                    continue
-                if len({q for _, q in cluster}) >= HITS:
-                    low = max(0, min(p - q for p, q in cluster) - pad)
-                    high = min(len(words), max(p + n - q for p, q in cluster) + pad)
-                    got, a, b = align(item, words[low:high])
-                    best = max(best, (got / (2 * n), low + a, low + b))
-                cluster = [spot]
-            if best[0] >= LEAST:
-                out.append((i, *best))
-        return sorted(out)
+        doc, p, i, q = np.repeat(doc, count), np.repeat(at, count), self.item[where], self.place[where]
+        order = np.lexsort((p, i, doc))
+        doc, p, i, q = doc[order], p[order], i[order], q[order]
+        n = np.array([len(w) for w in self.words], np.int64)[i]
+        new = np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(i) != 0) | (np.diff(p) > 2 * n[1:])])
+        start, cluster = np.flatnonzero(new), np.cumsum(new) - 1
+        places = np.bincount(np.unique(np.stack([cluster, q]), axis=1)[0])
+        low, high = np.minimum.reduceat(p - q - n, start), np.maximum.reduceat(p - q + 2 * n, start)
+        for c in np.flatnonzero(places >= HITS):
+            yield int(doc[start[c]]), int(i[start[c]]), int(low[c]), int(high[c])
 
 
 def ends_best(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
@@ -139,7 +183,7 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     return score, j - back, j
 
 
-def count_runs(docs: DataFrame, index: Index) -> np.ndarray:
+def count_keys(docs: DataFrame, index: Index) -> np.ndarray:
     """How often each key of the index stands in the corpus."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
@@ -149,10 +193,8 @@ def count_runs(docs: DataFrame, index: Index) -> np.ndarray:
         for batch in batches:
             texts = binary(batch.column(0))
             for first, end in blocks(texts):
-                h, a, b = words_of(texts[first:end], PARTS)
-                at, k = index.find(runs(h))
-                inside = at + SEED <= b[np.minimum(np.searchsorted(a, at, "right") - 1, len(a) - 1)] if len(at) else at
-                total += np.bincount(k[inside] if len(at) else k, minlength=len(total))
+                h, _, b = words_of(texts[first:end], PARTS)
+                total += np.bincount(index.hits(h, b)[2], minlength=len(total))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(total[some])], ["k", "c"])
 
@@ -165,16 +207,7 @@ def count_runs(docs: DataFrame, index: Index) -> np.ndarray:
 def rare(docs: DataFrame, ids: list[int | None], texts: list[bytes | None]) -> Index:
     """An index of the items' seeds."""
     index = Index.of(ids, texts)
-    counts = count_runs(docs, index)
-    frequency = np.repeat(counts, np.diff(index.first))
-    key = np.repeat(index.keys, np.diff(index.first))
-    keep: dict[int, set[int]] = {}
-    order = np.argsort(index.item, kind="stable")
-    cut = np.searchsorted(index.item[order], np.arange(len(ids) + 1))
-    for i in range(len(ids)):
-        own = order[cut[i] : cut[i + 1]]
-        keep[i] = set(key[own][frequency[own] <= max(COMMON * np.median(frequency[own]), 1)].tolist()) if len(own) else set()
-    return Index.of(ids, texts, keep)
+    return index.seeds(count_keys(docs, index))
 
 
 def indexes(docs: DataFrame, items: DataFrame):
@@ -198,8 +231,8 @@ def matches(text: Column, index, sc) -> Column:
         texts, out, index = binary(column), [], shared.value
         for first, end in blocks(texts):
             h, a, b = words_of(texts[first:end], PARTS)
-            for i, j in zip(a, b, strict=True):
-                out.append([{"item_id": index.ids[m], "score": s, "start": x, "end": y} for m, s, x, y in index.matches(h[i:j])])
+            for found in index.matches(h, a, b):
+                out.append([{"item_id": index.ids[m], "score": s, "start": x, "end": y} for m, s, x, y in found])
         return pa.array(out, kind)
 
     return find(text)

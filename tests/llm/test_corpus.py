@@ -227,6 +227,17 @@ def test_items_in_blocks(spark, monkeypatch):
     assert sorted((r.doc_id, r.item_id, r.score) for r in rows) == [(k, k, 1.0) for k in range(9)]
 
 
+def test_an_edited_passage_in_many_documents_is_found(spark):
+    item = [f"a{j}" for j in range(40)]
+    copy = [f"b{j}" if j % 4 == 3 else w for j, w in enumerate(item)]
+    docs = [(k, " ".join([*(f"d{k}x{j}" for j in range(20)), *copy, *(f"d{k}y{j}" for j in range(20))])) for k in range(30)]
+    docs += [(100 + k, " ".join(item[k : k + 3])) for k in range(1, 38, 4)]  # the lost runs occur elsewhere, once each
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    rows = decontam.contaminated(table(spark, docs), bench).collect()
+    assert sorted((r.doc_id, r.score) for r in rows) == [(k, (30 * 2 - 9) / 80) for k in range(30)]
+    assert {r.doc_id for r in decontam.clean(table(spark, docs), bench).collect()} == {i for i, _ in docs if i >= 100}
+
+
 def tokens(t):
     return re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)) + [None]
 
