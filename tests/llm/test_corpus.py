@@ -238,6 +238,29 @@ def test_an_edited_passage_in_many_documents_is_found(spark):
     assert {r.doc_id for r in decontam.clean(table(spark, docs), bench).collect()} == {i for i, _ in docs if i >= 100}
 
 
+def test_every_alignment_is_tried():
+    import numpy as np
+
+    item = [f"a{j}" for j in range(15)]
+    docs = [" ".join("b" if j in (3, 6, 9, 12) else w for j, w in enumerate(item)), " ".join(f"{w} b{j}" for j, w in enumerate(item))]
+    rng, want, texts = random.Random(12), [{0: 22 / 30 - 4 / 30}, {0: 16 / 30}], [" ".join(item)]
+    for k in range(1, 120):
+        words = [f"i{k}w{rng.randrange(20)}" for _ in range(rng.randint(8, 40))]
+        copy, share = [], rng.uniform(0.1, 0.6)
+        for w in words:
+            kind = rng.random() / share
+            copy += [w] if kind > 1 else [w, "more"] if kind > 0.6 else ["other"] if kind > 0.3 else []
+        texts.append(" ".join(words))
+        docs.append(" ".join(["so"] * rng.randint(0, 90) + copy + ["on"] * rng.randint(0, 90)))
+        score = smith_waterman(words, copy) / (2 * len(words))
+        want.append({k: score} if score >= decontam.LEAST else {})
+    index = decontam.Index.of(list(range(len(texts))), [t.encode() for t in texts])
+    counts = np.random.default_rng(2).integers(0, 50, len(index.keys))
+    h, a, b = decontam.words_of([t.encode() for t in docs], decontam.PARTS)
+    got = index.seeds(counts).matches(h, a, b)
+    assert [{i: s for i, s, *_ in found} for found in got] == want and 40 < sum(map(len, want)) < 100
+
+
 def tokens(t):
     return re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)) + [None]
 
