@@ -1,6 +1,7 @@
 """Benchmark decontamination: rare pairs of words as seeds, and Smith-Waterman alignment.
 
-Words are runs of ASCII letters and digits (A-Z lower-cased) and bytes beyond ASCII. An item is aligned with the
+Words are runs of ASCII letters and digits (A-Z lower-cased) and bytes beyond ASCII; each character of a script
+without spaces (``UNSPACED``) is a word. An item is aligned with the
 words around its seeds in a document: a match scores 2, a replaced, added or lost word -1. The score of a pair is
 that of its best alignment divided by that of an exact copy; from ``LEAST`` on the pair is reported. Edited and
 paraphrased copies score in between.
@@ -17,14 +18,17 @@ item is aligned.
 Items go to the workers in blocks of ``ITEM_BYTES`` text each, a stated bound; the corpus is read twice for each
 block, and nothing of it is shuffled but the counts of the block's keys.
 
-Defined results: null and empty texts match nothing; items of fewer than ``SHORT`` words are never reported;
-repeated rows, and items that are copies of each other, give a pair each; null ids are kept; an empty table on
+Items of fewer than ``SHORT`` words are reported, with a score of 1, where all of their words stand in a row, even if
+it is one word.
+
+Defined results: null and empty texts, and items without words, match nothing; repeated rows, and items that are copies of each other, give a pair each; null ids are kept; an empty table on
 either side gives no pairs; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +42,27 @@ ITEM_BYTES = 1 << 24
 MATCH = "array<struct<item_id:bigint,score:double,start:int,end:int>>"
 #: Bytes that part words here: all of ASCII but letters and digits.
 PARTS = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
+#: Characters of scripts without spaces, in UTF-8: Thai and Lao; Burmese; Khmer; Japanese and Chinese.
+UNSPACED = re.compile(rb"\xe0[\xb8-\xbb].|\xe1[\x80-\x82\x9e\x9f].|[\xe3-\xe9]..|\xef[\xa4-\xab].|\xef\xbd[\xa6-\xbf]|\xef\xbe[\x80-\x9f]|\xf0[\xa0-\xb3]..", re.DOTALL)
+#: Their punctuation, which parts words as that of ASCII does.
+MARKS = re.compile(rb"\xe3\x80[\x80-\x84\x88-\xa0\xb0]|\xe3\x83\xbb|\xef\xbc[\x81-\x8f\x9a-\xa0\xbb-\xbf]|\xef\xbd[\x80\x9b-\xa5]")
+_LOW = bytes(range(0xE0))
 _FILTER = 20
 
 
+def words_in(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of several documents, in order, and for each document where its words begin and end."""
+    return words_of([UNSPACED.sub(rb" \g<0> ", MARKS.sub(b" ", t)) if t and t.translate(None, _LOW) else t for t in texts], PARTS)
+
+
+def rows_of(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of n words."""
+    out = np.zeros(max(0, len(h) - n + 1), np.uint64)
+    for j in range(n):
+        out += h[j : j + len(out)] * PLACES[j]
+    return mix(out)
+
+
 def pairs(h: np.ndarray, gap: int) -> np.ndarray:
     """Hashes of each word with the one ``gap`` words behind it."""
     return mix(h[:-gap] * PLACES[0] + h[gap:] * PLACES[1])
@@ -62,24 +84,31 @@ class Index:
     item: np.ndarray
     place: np.ndarray
     maybe: np.ndarray  # whether any key has these leading bits
+    short: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  # by length: sorted hashes of short items, items
 
     @staticmethod
     def of(ids: list[int | None], texts: list[bytes | None]) -> Index:
         """An index of all places."""
-        h, a, b = words_of(texts, PARTS)
+        h, a, b = words_in(texts)
         words = [h[i:j] if j - i >= SHORT else h[:0] for i, j in zip(a, b, strict=True)]
         each = [pairs(w, gap) for w in words for gap in (1, 2)]
         size = [len(r) for r in each]
         place = np.concatenate([np.zeros(0, np.int64), *(np.arange(n) for n in size)])
-        return Index._sorted(ids, words, np.concatenate([np.zeros(0, np.uint64), *each]), np.repeat(np.arange(2 * len(words)) // 2, size), place)
+        short = {}
+        for n in sorted({int(j - i) for i, j in zip(a, b, strict=True)} & set(range(1, SHORT))):
+            item = np.flatnonzero(b - a == n)
+            key = np.concatenate([rows_of(h[a[i] : b[i]], n) for i in item])
+            order = np.argsort(key, kind="stable")
+            short[n] = key[order], item[order]
+        return Index._sorted(ids, words, np.concatenate([np.zeros(0, np.uint64), *each]), np.repeat(np.arange(2 * len(words)) // 2, size), place, short)
 
     @staticmethod
-    def _sorted(ids, words, key: np.ndarray, item: np.ndarray, place: np.ndarray) -> Index:
+    def _sorted(ids, words, key: np.ndarray, item: np.ndarray, place: np.ndarray, short: dict) -> Index:
         order = np.argsort(key, kind="stable")
         keys, first = np.unique(key[order], return_index=True)
         maybe = np.zeros(1 << _FILTER, bool)
         maybe[keys >> np.uint64(64 - _FILTER)] = True
-        return Index(ids, words, keys, np.append(first, len(key)), item[order], place[order], maybe)
+        return Index(ids, words, keys, np.append(first, len(key)), item[order], place[order], maybe, short)
 
     def seeds(self, counts: np.ndarray) -> Index:
         """An index of each item's rarest places, given how often each key stands in the corpus."""
@@ -96,7 +125,7 @@ class Index:
         rank = np.empty(len(rarity), np.int64)
         rank[order] = np.arange(len(rarity)) - begin[owner[order]]
         kept = (rank < (n - 1 - steps(n) + HITS)[owner])[at]
-        return Index._sorted(self.ids, self.words, np.repeat(self.keys, count)[kept], self.item[kept], self.place[kept])
+        return Index._sorted(self.ids, self.words, np.repeat(self.keys, count)[kept], self.item[kept], self.place[kept], self.short)
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places in h, numbers of keys) of the members of h that are keys."""
@@ -135,6 +164,16 @@ class Index:
             if got >= LEAST * 2 * n:
                 at = low - int(a[doc])
                 best[doc][i] = max(best[doc].get(i, (0.0, 0, 0)), (got / (2 * n), at + x, at + y))
+        for n, (key, item) in self.short.items():
+            at = np.arange(max(0, len(h) - n + 1))
+            run = rows_of(h, n)
+            low, high = np.searchsorted(key, run), np.searchsorted(key, run, "right")
+            doc = np.searchsorted(b, at, "right")
+            hit = np.flatnonzero((low < high) & (at + n <= b[doc]))
+            for p in hit[np.unique(np.stack([doc[hit], low[hit]]), axis=1, return_index=True)[1]]:
+                d, x = int(doc[p]), int(p - a[doc[p]])
+                for i in item[low[p] : high[p]].tolist():
+                    best[d][i] = (1.0, x, x + n)
         return [sorted((i, *m) for i, m in d.items()) for d in best]
 
     def candidates(self, h: np.ndarray, b: np.ndarray):
@@ -193,7 +232,7 @@ def count_keys(docs: DataFrame, index: Index) -> np.ndarray:
         for batch in batches:
             texts = binary(batch.column(0))
             for first, end in blocks(texts):
-                h, _, b = words_of(texts[first:end], PARTS)
+                h, _, b = words_in(texts[first:end])
                 total += np.bincount(index.hits(h, b)[2], minlength=len(total))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(total[some])], ["k", "c"])
@@ -230,7 +269,7 @@ def matches(text: Column, index, sc) -> Column:
     def find(column: pa.Array) -> pa.Array:
         texts, out, index = binary(column), [], shared.value
         for first, end in blocks(texts):
-            h, a, b = words_of(texts[first:end], PARTS)
+            h, a, b = words_in(texts[first:end])
             for found in index.matches(h, a, b):
                 out.append([{"item_id": index.ids[m], "score": s, "start": x, "end": y} for m, s, x, y in found])
         return pa.array(out, kind)

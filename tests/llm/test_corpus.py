@@ -261,6 +261,17 @@ def test_every_alignment_is_tried():
     assert [{i: s for i, s, *_ in found} for found in got] == want and 40 < sum(map(len, want)) < 100
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    han, thai = "今天天气很好我们去公园散步然后回家吃饭", "วันนี้อากาศดีมากเราไปเดินเล่นที่สวนสาธารณะ"
+    items = [(1, "What is it?"), (2, "Yes"), (3, han), (4, thai), (5, "东京在哪里"), (6, "what, is it"), (7, "?!"), (8, "naïve café"), (9, "𠀀𠀁𠀂")]
+    docs = [(1, "so what is it"), (2, "it is what"), (3, "what is"), (4, "(yes)"), (5, "yesterday"), (6, f"前面{han}后面"), (7, han.replace("气", "色").replace("家", "去")), (8, f"ก{thai}"), (9, "问东京在哪里吗"), (10, "东京在那里"), (11, "it"), (12, "naïve café"), (13, "naïve"), (14, "what"), (15, "is it"), (16, "今天天气"), (17, "「𠀀𠀁。𠀂」好、𠀀𠀁𠀂")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.contaminated(table(spark, docs), bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (1, 6), (4, 2), (6, 3), (7, 3), (8, 4), (9, 5), (12, 8), (17, 9)]
+    assert {r.doc_id: (r.score, r.start, r.end) for r in got if r.doc_id in (1, 6, 9)} == {1: (1.0, 1, 4), 6: (1.0, 2, 2 + len(han)), 9: (1.0, 1, 6)}
+    assert {r.doc_id for r in decontam.clean(table(spark, docs), bench).collect()} == {2, 3, 5, 10, 11, 13, 14, 15, 16}
+
+
 def tokens(t):
     return re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)) + [None]
 
