@@ -6,7 +6,7 @@ returns doc_id, lang, source, n_tokens, ids, and whether decoding gives the text
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grovesift.llm import bpe, decontam, langid, neardup, secrets
@@ -21,13 +21,26 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group: that of the smallest id, once. Documents without an id stay."""
+    """Keeps one document of each group: that of the smallest id, once. Documents without an id stay.
+
+    Rows that share an id and aren't similar are different documents; of those without words, one stays if its id has
+    no other row. For this, rows of a table with repeated ids are numbered in the order of their ids.
+    """
     small_batches(spark)
-    kept = materialize(neardup.groups(docs).filter(F.col("doc_id").isNotNull() & F.col("kept")).select(F.col("doc_id").alias("_grovesift_id")).distinct(), "kept")
-    held = docs.join(kept, docs["doc_id"] == kept["_grovesift_id"], "left_semi")
-    once = Window.partitionBy("doc_id").orderBy("text")
-    single = held.withColumn("_grovesift_n", F.row_number().over(once)).filter("_grovesift_n = 1").select(*docs.columns)
-    return single.unionByName(docs.filter(F.col("doc_id").isNull()))
+    named, n, bare = docs.filter(F.col("doc_id").isNotNull()), "_grovesift_n", "_grovesift_bare"
+    if named.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        rows = named.withColumn(n, F.col("doc_id"))
+        kept = neardup.groups(rows.select("doc_id", "text")).filter("kept").select("doc_id")
+    else:
+        wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+        order = ["doc_id", bare, F.xxhash64("text")]
+        sorted_ = named.withColumn(bare, wordless).repartitionByRange(*order, F.monotonically_increasing_id()).sortWithinPartitions(*order)
+        rows = materialize(sorted_.withColumn(n, F.monotonically_increasing_id()), "numbered")
+        kept = neardup.groups(rows.filter(~F.col(bare)).select(F.col(n).alias("doc_id"), "text")).filter("kept").select("doc_id")
+        alone = rows.groupBy("doc_id").agg(F.min_by(bare, n).alias(bare), F.min(n).alias(n)).filter(bare).select(n)
+        kept = kept.union(alone)
+    kept = materialize(kept.select(F.col("doc_id").alias("_grovesift_id")).distinct(), "kept")
+    return rows.join(kept, rows[n] == kept["_grovesift_id"], "left_semi").select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

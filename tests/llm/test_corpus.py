@@ -375,6 +375,19 @@ def test_pipeline_stages(spark, corpus, tmp_path):
     assert {(r.doc_id, r.n_tokens) for r in again.collect()} == {(r.doc_id, r.n_tokens) for r in now.collect()}
 
 
+def test_rows_that_share_an_id_and_differ_stay(spark):
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    a, b, c, d, e = (" ".join(rng.choices([f"w{i}" for i in range(500)], k=60)) for _ in range(5))
+    rows = [(1, a), (1, ""), (1, None), (2, b), (2, c), (3, d), (3, d + " more"), (3, d), (4, c + " end"), (5, None), (5, " "), (6, e), (7, e), (7, "a " + b), (None, a), (None, None)]
+    got = corpus_pipeline.near_dedup(spark, table(spark, rows), "")
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    assert got.columns == table(spark, rows).columns and kept.count((None, a)) == kept.count((None, None)) == 1
+    named = sorted((x for x in kept if x[0] is not None and x[0] not in (3, 5)), key=str)
+    assert named == sorted([(1, a), (2, b), (2, c), (6, e)], key=str) and [i for i, _ in kept].count(3) == [i for i, _ in kept].count(5) == 1
+
+
 def test_queries_are_registered():
     import __spark_entry__
 
