@@ -195,6 +195,8 @@ register("project_marker_exclude", lambda s, d: rules.apply_rules(_project_entri
 x AS (SELECT *, '/c' || parent || '/' || name AS path, name = 'node_modules' OR (project AND name = 'build') OR (NOT is_dir AND lower(name) LIKE '%.tmp') AS gone FROM m)
 SELECT id, name FROM x WHERE NOT gone AND path NOT IN (SELECT path FROM x WHERE gone AND is_dir)""")
 register("nested_root_elim", lambda s, d: rules.outermost_rows(files(s, d).filter("id % 3 = 1").select("path")), f"{FILES}, r2 AS (SELECT DISTINCT path FROM files WHERE id % 3 = 1) SELECT path FROM r2 a WHERE NOT EXISTS (SELECT 1 FROM r2 b WHERE starts_with(a.path, b.path || '/'))")
+# The same over whole levels, without SQL: a prefix join is quadratic.
+register("nested_root_elim_whole", lambda s, d: rules.outermost_rows(files(s, d).filter("depth >= 3").select("path")))
 register("canonical_paths", lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", canonical_column(F.concat(F.element_at(F.array(*map(F.lit, ("/var", "/tmp", "/etcetera", "/System/Volumes/Data/x"))), (F.col("event_id") % 4 + 1).cast("int")), F.lit("/"), "event_type")).alias("path")), "SELECT event_id, CASE event_id % 4 WHEN 0 THEN '/private/var/' WHEN 1 THEN '/private/tmp/' WHEN 2 THEN '/etcetera/' ELSE '/x/' END || event_type AS path FROM events")
 
 

@@ -176,3 +176,13 @@ def test_entry_without_the_corpus_operators():
 
     code = "import sys; sys.modules['grovesift.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert 'text_ci' in e.queries() and not any(q.startswith('op') for q in e.queries()) and set(e.oracle_sql()) <= set(e.queries())"
     assert subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__)))).returncode == 0
+
+
+def test_nested_roots_of_whole_levels(spark):
+    from grovesift import queries
+
+    folder = "/root/testdata/sf0.001"
+    paths = {r.path for r in queries.files(spark, folder).filter("depth >= 3").select("path").collect()}
+    outer = sorted(p for p in paths if not any(p[:i] in paths for i, c in enumerate(p) if c == "/"))
+    got = sorted(r.path for r in queries.QUERIES["nested_root_elim_whole"](spark, folder).collect())
+    assert got == outer and 0 < len(outer) < len(paths)
