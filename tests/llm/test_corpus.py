@@ -145,12 +145,74 @@ def test_runs_hold_every_window_once_and_name_its_anchor_by_content(corpus, part
     assert seen == Counter({(k, q): 1 for k, t in enumerate(texts) for q in range(len(t) - 49)})
 
 
-def test_least_ids_of_windows():
+def cut_runs(texts):
+    """(text, first window, windows, anchor's place) of all runs, and digests of them."""
+    keys = substrings.random_keys()
+    for number, offset, buf, start in substrings.parts(texts):
+        p, first, last, anchor, _ = substrings.runs(buf, start)
+        d = substrings.run_digests(buf, first, last - first + substrings.LENGTH, anchor - first, keys)
+        yield from zip(number[p].tolist(), (first - start[p] + offset[p]).tolist(), (last - first + 1).tolist(), (anchor - first).tolist(), d.tolist(), strict=True)
+
+
+def test_digests_of_runs_tell_their_bytes_and_anchor(corpus):
+    texts, seen = [(t or "").encode() for _, t in corpus], {}
+    for k, at, windows, off, d in cut_runs(texts):
+        run = texts[k][at : at + windows + 49], off
+        assert seen.setdefault(run, d) == d
+    assert len(set(seen.values())) == len(seen) > 1000
+
+
+def test_windows_that_suffixes_share():
     import numpy as np
 
-    texts = [b"a" * 55, b"b" * 10 + b"a" * 50, b"c" * 50]
-    got = [x.tolist() for x in substrings.least_ids(texts, np.array([7, 3, 9]))]
-    assert got == [[3] * 6, [3] * 11, [9]]
+    rng = random.Random(14)
+    say = lambda n: bytes(rng.choice(b"ab") for _ in range(n))
+    left, gram, right = [say(30) for _ in range(4)], b"an anchor's 20 bytes", [say(30) for _ in range(4)]
+    suffixes = []
+    for k in range(300):
+        windows = rng.randint(1, 31)
+        off = rng.randint(windows - 1, 30)
+        suffixes.append((rng.randint(0, 40), off, windows, ((say(30 - k % 30) + rng.choice(left)[30 - k % 30 :])[-off or 60 :] + gram + rng.choice(right)[: rng.randint(0, 30)] + say(30))[: windows + 49]))
+    first = {}
+    for i, off, windows, c in suffixes:
+        for w in range(windows):
+            first[off - w, c[w : w + 50]] = min(i, first.get((off - w, c[w : w + 50]), i))
+    want = [[off - w for w in range(windows) if first[off - w, c[w : w + 50]] < i] for i, off, windows, c in suffixes]
+    buf, begin = np.frombuffer(b"".join(s[3] for s in suffixes), np.uint8), np.cumsum([0, *(len(s[3]) for s in suffixes)])
+    ids, off, windows = (np.array([s[k] for s in suffixes]) for k in range(3))
+    most, least = substrings.repeated(substrings.sides(buf, begin, off), ids, off, windows)
+    assert list(zip(most.tolist(), least.tolist(), strict=True)) == [(max(w, default=-1), min(w, default=-1)) for w in want] and sum(map(bool, want)) > 50
+
+
+@pytest.mark.parametrize(("suffixes", "slice_", "docs"), [(3, 1 << 23, 4000), (50, 300, 4000), (16_384, 5000, 0)])
+def test_repeated_substrings_across_borders(spark, corpus, suffixes, slice_, docs, monkeypatch):
+    """Many buckets, so that equal windows are parted; small slices, so that tasks meet; anchors dealt out by digest, or not."""
+    monkeypatch.setattr(substrings, "SUFFIXES", suffixes)
+    monkeypatch.setattr(substrings, "SLICE", slice_)
+    monkeypatch.setattr(substrings, "SAMPLE_DOCS", docs)
+    monkeypatch.setattr(substrings, "SMALL", 4)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.digests(table(spark, corpus)).collect()}
+    assert got == removed(corpus)
+
+
+def test_one_anchor_in_every_document(spark, monkeypatch):
+    """A string of 20 bytes with other surroundings in each document, some of which are shared, goes to several buckets."""
+    rng = random.Random(15)
+    say = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    ends = [say(40) for _ in range(30)]
+    rows = [(k, say(40) + rng.choice(ends)[rng.randint(0, 12) :] + "AN ANCHOR'S 20 BYTES" + rng.choice(ends) + say(40)) for k in range(400)]
+    monkeypatch.setattr(substrings, "SUFFIXES", 20)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.digests(table(spark, rows)).collect()}
+    want = removed(rows)
+    assert got == want and sum(w[1] > 0 for w in want.values()) > 100
+    n, docs = 0, table(spark, rows).selectExpr("doc_id", "xxhash64(text) AS key", "text")
+    frequent = substrings.frequent_anchors(docs)
+    state = substrings.decided(substrings.packed_runs(docs, 64, frequent, substrings.random_keys()), 64, frequent)
+    found = substrings.suffixes(docs, state.filter("off >= 0"))
+    n = found.count()
+    put = substrings.placed(found, substrings.splitters(found, n, n // 20))
+    sizes = [r["count"] for r in put.filter("bucket >= 0").groupBy("bucket").count().collect()]
+    assert len(frequent) and sum(sizes) == n and max(sizes) < 5 * 20
 
 
 def test_substrings_of_odd_rows(spark):
@@ -161,13 +223,14 @@ def test_substrings_of_odd_rows(spark):
     assert substrings.digests(table(spark, rows).limit(0)).collect() == []
 
 
-def test_multikey_sort():
+@pytest.mark.parametrize("small", [2, 64, 1000])
+def test_multikey_sort(small, monkeypatch):
     import numpy as np
 
+    monkeypatch.setattr(substrings, "SMALL", small)
     x = np.random.default_rng(2).integers(0, 3, (500, 4)).astype(np.uint64)
-    order, fresh = substrings.multikey(x)
-    rows = [tuple(r) for r in x[order].tolist()]
-    assert rows == sorted(rows) and fresh.tolist() == [True] + [a != b for a, b in zip(rows, rows[1:], strict=False)]
+    rows = [tuple(r) for r in x[substrings.multikey(x)].tolist()]
+    assert rows == sorted(map(tuple, x.tolist())) and len(substrings.multikey(x[:0])) == 0
 
 
 def smith_waterman(a, b):
