@@ -72,9 +72,14 @@ def ancestors(path: Column) -> Column:
 
 
 def natural_key(path: Column) -> Column:
-    """A key under which numbers within paths sort by value."""
+    """A key under which numbers within paths sort by value, whatever their length.
+
+    A number is spelled without leading zeros, behind its count of digits, and that behind the count's own.
+    """
     runs = F.regexp_extract_all(F.lower(path), F.lit(r"([0-9]+|[^0-9]+)"), 1)
-    return F.concat_ws("", F.transform(runs, lambda t: F.when(t.rlike("^[0-9]"), F.lpad(t, 20, "0")).otherwise(t)))
+    bare = lambda t: F.regexp_replace(t, r"^0+(?=[0-9])", "")
+    counted = lambda t: F.concat(F.length(F.length(t).cast("string")).cast("string"), F.length(t).cast("string"), t)
+    return F.concat_ws("", F.transform(runs, lambda t: F.when(t.rlike("^[0-9]"), counted(bare(t))).otherwise(t)))
 
 
 # Directories that are links into the private volume, and the data volume's mount.
@@ -90,6 +95,11 @@ def canonical_path(path: str) -> str:
     return f"/private{path}" if any(path == p or path.startswith(p + "/") for p in PRIVATE) else path
 
 
+def is_volume_root(path: str) -> bool:
+    """Whether a path is the root of the system's volumes or of a mounted one."""
+    return path in ("/", DATA_VOLUME) or bool(re.fullmatch(r"/Volumes/[^/]*", path))
+
+
 def canonical_column(path: Column) -> Column:
     plain = F.when(path == DATA_VOLUME, "/").otherwise(F.regexp_replace(path, f"^{DATA_VOLUME}(?=/)", ""))
     return F.regexp_replace(plain, r"^(?=/(?:var|tmp|etc)(?:/|$))", "/private")

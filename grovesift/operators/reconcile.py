@@ -11,14 +11,15 @@ from .forest import SCHEMA, with_folds
 FIELDS = ("id", "size", "mtime", "is_dir")
 
 
-def diff(existing: DataFrame, listed: DataFrame) -> DataFrame:
+def diff(existing: DataFrame, listed: DataFrame, inspected: DataFrame | None = None) -> DataFrame:
     """(parent, name, action, id, size, mtime, is_dir): how children as stored differ from children as listed.
 
     ``insert``: listed only; ``delete``: stored only; ``replace``: a file became a folder or the other way round;
     ``update``: another size or mtime; ``same``. Names are compared exactly. ``listed`` has (parent, name, size,
-    mtime, is_dir) of the folders that were inspected; only these folders' stored children count.
+    mtime, is_dir) of the folders that were inspected; only these folders' stored children count. ``inspected`` (parent)
+    names these folders, the emptied ones too; without it they are those that have listed children.
     """
-    inspected = listed.select("parent").distinct()
+    inspected = listed.select("parent").distinct() if inspected is None else inspected.select("parent")
     return diff_in(existing.join(inspected, "parent", "left_semi"), listed)
 
 
@@ -28,10 +29,10 @@ def diff_in(existing: DataFrame, listed: DataFrame) -> DataFrame:
     new = listed.select("parent", "name", *(F.col(c).alias(f"new_{c}") for c in FIELDS[1:]), F.lit(True).alias("there"))
     both = old.join(new, ["parent", "name"], "full_outer")
     action = (
-        F.when(F.col("old_id").isNull(), "insert").when(F.col("there").isNull(), "delete").when(F.col("old_is_dir") != F.col("new_is_dir"), "replace")
-        .when((F.col("old_size") != F.col("new_size")) | (F.col("old_mtime") != F.col("new_mtime")), "update").otherwise("same")
+        F.when(F.col("old_id").isNull(), "insert").when(F.col("there").isNull(), "delete").when(~F.col("old_is_dir").eqNullSafe(F.col("new_is_dir")), "replace")
+        .when(~(F.col("old_size").eqNullSafe(F.col("new_size")) & F.col("old_mtime").eqNullSafe(F.col("new_mtime"))), "update").otherwise("same")
     )
-    return both.select("parent", "name", action.alias("action"), F.col("old_id").alias("id"), *(F.coalesce(f"new_{c}", f"old_{c}").alias(c) for c in FIELDS[1:]))
+    return both.select("parent", "name", action.alias("action"), F.col("old_id").alias("id"), *(F.when(F.col("there"), F.col(f"new_{c}")).otherwise(F.col(f"old_{c}")).alias(c) for c in FIELDS[1:]))
 
 
 def stale(existing: DataFrame, listed: DataFrame) -> DataFrame:
@@ -46,23 +47,49 @@ def below(path: Column, roots: DataFrame, files: DataFrame, itself: bool = True)
     return every.join(roots.select(F.col("path").alias("_above")).distinct(), "_above", "left_semi").select("id").distinct()
 
 
-def apply(files: DataFrame, changes: DataFrame, first_id: int) -> DataFrame:
-    """A new table: the rows that stay, with new sizes and times, and the inserted ones.
+def overlay(files: DataFrame, changed: DataFrame) -> DataFrame:
+    """The table with some rows in another state: ``changed`` has them whole, and those that aren't live are left out."""
+    kept = files.join(changed.select("id"), "id", "left_anti")
+    return kept.select(*SCHEMA.fieldNames()).unionByName(changed.filter("is_live").select(*SCHEMA.fieldNames()))
+
+
+def child_path(front: Column, name: Column) -> Column:
+    return F.when(front == "/", F.concat(F.lit("/"), name)).otherwise(F.concat(front, F.lit("/"), name))
+
+
+def changed_rows(files: DataFrame, changes: DataFrame, first_id: int) -> DataFrame:
+    """What changes do to a table, for :func:`overlay`: rows with new sizes and times, new rows, and rows that are live no more.
 
     Whatever is deleted or replaced goes with all that is below it. New ids count from ``first_id`` within a range
     each for a partition, so they are unique and need no common counter.
     """
     todo = changes.filter("action != 'same'")
     gone = todo.filter(F.col("action").isin("delete", "replace")).select("id").join(files.select("id", "path"), "id").select("path")
-    kept = files.join(below(F.col("path"), gone, files), "id", "left_anti")
+    dead = files.join(below(F.col("path"), gone, files), "id", "left_semi").withColumn("is_live", F.lit(False))
     news = todo.filter("action = 'update'").select("id", F.col("size").alias("_size"), F.col("mtime").alias("_mtime"))
-    kept = kept.join(news, "id", "left").withColumns({"size": F.coalesce("_size", "size"), "mtime": F.coalesce("_mtime", "mtime")}).drop("_size", "_mtime")
+    newer = files.join(news, "id").join(dead.select("id"), "id", "left_anti").withColumns({"size": F.col("_size"), "mtime": F.col("_mtime")})
     parents = files.select(F.col("id").alias("parent"), F.col("path").alias("_front"), (F.col("depth") + 1).alias("depth"), "vol_id")
-    path = F.when(F.col("_front") == "/", F.concat(F.lit("/"), "name")).otherwise(F.concat("_front", F.lit("/"), "name"))
     added = todo.filter(F.col("action").isin("insert", "replace")).drop("id").join(parents, "parent").withColumns(
-        {"id": F.monotonically_increasing_id() + first_id, "path": path, "is_live": F.lit(True)}
+        {"id": F.monotonically_increasing_id() + first_id, "path": child_path(F.col("_front"), F.col("name")), "is_live": F.lit(True)}
     )
-    return kept.select(*SCHEMA.fieldNames()).unionByName(with_folds(added).select(*SCHEMA.fieldNames()))
+    columns = SCHEMA.fieldNames()
+    return dead.select(*columns).unionByName(newer.select(*columns)).unionByName(with_folds(added).select(*columns))
+
+
+def apply(files: DataFrame, changes: DataFrame, first_id: int) -> DataFrame:
+    """A new table: the rows that stay, with new sizes and times, and the inserted ones."""
+    return overlay(files, changed_rows(files, changes, first_id))
+
+
+def resolve(files: DataFrame, paths: DataFrame) -> DataFrame:
+    """(path, id): the live rows of exact paths (path)."""
+    return files.filter("is_live").join(paths.select("path").distinct(), "path", "left_semi").select("path", "id")
+
+
+def children(files: DataFrame, parent: int, name: str | None = None) -> DataFrame:
+    """The live children of a folder, or the one of an exact name."""
+    found = files.filter(F.col("is_live") & (F.col("parent") == parent))
+    return found if name is None else found.filter(F.col("name") == name)
 
 
 def deny(files: DataFrame, roots: DataFrame) -> DataFrame:

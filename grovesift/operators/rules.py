@@ -36,6 +36,8 @@ MARKERS = frozenset(
 VCS_FOLDERS = frozenset((".git", ".hg", ".svn"))
 TRASH_FOLDERS = frozenset((".Trash", ".Trashes"))
 DEFAULT_PREFIXES = ("/private/var/folders", "/System/Volumes/Data/private/var/folders")
+# Volumes of the system, of which the first is seen a second time at the root; a whole-disk scan leaves them out.
+SYSTEM_VOLUMES = tuple(f"/System/Volumes/{name}" for name in ("Data", "Preboot", "VM", "Update", "xarts", "iSCPreboot", "Hardware"))
 
 
 @dataclass(frozen=True)
@@ -185,6 +187,6 @@ def inspectable(paths: DataFrame, mounts: DataFrame) -> DataFrame:
     return paths.join(found, "path", "left").withColumn("local", F.coalesce("local", F.lit(False)))
 
 
-def effective(rules: ExcludeRules, mounts: list[tuple[str, bool]], firmlinks: tuple[str, ...] = ()) -> ExcludeRules:
+def effective(rules: ExcludeRules, mounts: list[tuple[str, bool]], firmlinks: tuple[str, ...] = SYSTEM_VOLUMES) -> ExcludeRules:
     """Rules with the second names of linked folders and all mounts that aren't local."""
     return replace(rules, path_prefixes=(*rules.path_prefixes, *firmlinks, *(m for m, local in mounts if not local and m != "/")))

@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import QueryError
 from ..functions.text import natural_key
 from ..plans.ast import Plan
 from ..plans.compile import Options, to_column
@@ -68,6 +69,14 @@ def search(files: DataFrame, request: Request) -> DataFrame:
     return matches(files, request).orderBy(*order(request.sort, request.ascending)).limit(request.most).select(*RECORD)
 
 
+def search_or_nothing(files: DataFrame, request: Request) -> DataFrame:
+    """The same, but no rows for a query that can't be understood."""
+    try:
+        return search(files, request)
+    except QueryError:
+        return files.limit(0).select(*RECORD)
+
+
 def respond(files: DataFrame, request: Request, scanning: bool = False) -> dict:
     """The answer as a message. One row more than asked for is read, which tells whether there are more."""
     most = request.most

@@ -28,6 +28,11 @@ def selectivity(index: DataFrame) -> DataFrame:
     return index.groupBy("trigram").agg(F.count("*").alias("n"))
 
 
+def index_bytes(index: DataFrame) -> DataFrame:
+    """The bytes of the postings: those of each trigram, and 8 of each id."""
+    return index.agg(F.coalesce(F.sum(F.octet_length("trigram") + 8), F.lit(0)).cast("long").alias("bytes"))
+
+
 def statistics(index: DataFrame) -> DataFrame:
     return index.agg(F.countDistinct("id").alias("indexed_records"), F.count("*").alias("postings"), F.countDistinct("trigram").alias("trigrams"))
 
@@ -53,7 +58,8 @@ def lookup(files: DataFrame, index: DataFrame, term: str) -> DataFrame:
 def required_literal(pattern: str) -> str | None:
     """The longest run of plain characters that every match of a pattern holds; None if there is none of three.
 
-    Anything that may make a character optional ends a run; alternatives and groups, classes and flags make no run.
+    Anything that may make a character optional ends a run; groups and classes make no run. Patterns with alternatives,
+    flags, classes within classes, or escapes of letters and digits other than the usual classes and borders have none.
     """
     if "|" in pattern or "(?" in pattern:
         return None
@@ -63,9 +69,13 @@ def required_literal(pattern: str) -> str | None:
         if c == "\\" and i + 1 < len(pattern):
             c, step = pattern[i + 1], 2
             plain = not c.isalnum()
+            if not plain and c not in "dDsSwWbB":
+                return None
         elif c == "[":
-            end = re.compile(r"\[\^?\]?(?:\[:\w+:\]|\\.|[^\]\\])*\]").match(pattern, i)
-            step = end.end() - i if end else 1
+            end = re.compile(r"\[\^?(?:\\[pP]\{\w+\}|\\[dDsSwW]|\\\W|[^\]\[\\])+\]").match(pattern, i)
+            if not end:
+                return None
+            step = end.end() - i
         elif c in "()":
             depth += 1 if c == "(" else -1
         else:

@@ -14,6 +14,10 @@ from ..operators.trigrams import required_literal
 from .ast import And, Everything, Extensions, Folder, Kind, Modified, Node, Not, Or, PathText, Pattern, Size, Text, Xor
 
 
+#: Letters that a pattern without case also finds in characters beyond ASCII (dotted and dotless i, Kelvin, long s).
+FOLDED_FROM_AFAR = frozenset("iks")
+
+
 @dataclass(frozen=True)
 class Options:
     match_path: bool = False
@@ -70,11 +74,10 @@ def to_column(node: Node, o: Options = Options()) -> Column:
             target = "path" if o.match_path else "name"
             test = F.col(target).rlike(("(?iu)" if o.ignore_case else "") + regex)
             literal = required_literal(regex)
-            # A plain text that every match holds is tested first; that test reaches the scan. Letters that Unicode
-            # case folding also gives to characters beyond ASCII (k, s) don't allow it.
+            # A plain text that every match holds is tested first; that test reaches the scan.
             if literal and not o.ignore_case:
                 return F.col(target).contains(literal) & test
-            if literal and literal.isascii() and not set(fold(literal)) & {"k", "s"}:
+            if literal and literal.isascii() and not set(fold(literal)) & FOLDED_FROM_AFAR:
                 return F.col(f"{target}_fold").contains(fold(literal)) & test
             return test
         case Kind(folder):

@@ -1,16 +1,17 @@
-"""An engine that answers requests over published snapshots: admission, replacement, cancellation and status."""
+"""An engine that answers requests over published snapshots: admission, replacement, cancellation, settings and status."""
 
 from __future__ import annotations
 
 import threading
 import uuid
-from dataclasses import replace
+from dataclasses import asdict, replace
 
 from pyspark.sql import SparkSession
 
-from .errors import Busy, Cancelled, Denied, NotReady, QueryError
+from .errors import Busy, Cancelled, Denied, NotReady, QueryError, Unavailable
 from .operators.forest import counts
-from .operators.search import Request, respond
+from .operators.rules import ExcludeRules, IndexScope
+from .operators.search import Request, matches, respond
 from .plans.parser import admit, parse
 from .plans.values import MOST_ROWS
 from .sources.snapshots import SnapshotStore
@@ -19,7 +20,11 @@ MOST_REQUESTS, MOST_BACKGROUND = 32, 2
 
 
 class Engine:
-    """Searches run on the snapshot that is current when they begin; publishing another doesn't disturb them."""
+    """Searches run on the snapshot that is current when they begin; publishing another doesn't disturb them.
+
+    Jobs of interactive and background requests run in Spark's pools of these names, which share the executors fairly
+    where the session has the fair scheduler.
+    """
 
     def __init__(self, spark: SparkSession, store: SnapshotStore):
         self.spark, self.store, self.allowed = spark, store, True
@@ -27,8 +32,11 @@ class Engine:
         self.lock = threading.Lock()
         self.slots = threading.Semaphore(MOST_REQUESTS)
         self.background = threading.Semaphore(MOST_BACKGROUND)
+        self.active: set[str] = set()
         self.cancelled: set[str] = set()
         self.ordered: tuple | None = None
+        self.scans = threading.Condition()
+        self.scanning, self.asked, self.served = False, 0, 0
 
     def search(self, text: str, session: str = "", interactive: bool = True, **options) -> dict:
         """The answer to a query. A newer interactive request of a session replaces the one that runs."""
@@ -45,30 +53,47 @@ class Engine:
         if not slot.acquire(blocking=not interactive):
             raise Busy("Too many requests.")
         tag = f"grovesift-{uuid.uuid4().hex}"
+        self.active.add(tag)
         try:
             if interactive and session:
                 with self.lock:
                     before, self.running[session] = self.running.get(session), tag
                 if before:
                     self.cancel(before)
-            self.spark.addTag(tag)
+            return self._run(tag, lambda: respond(found[0], request), "interactive" if interactive else "background")
+        finally:
+            with self.lock:
+                if self.running.get(session) == tag:
+                    del self.running[session]
+                self.active.discard(tag)
+                self.cancelled.discard(tag)
+            slot.release()
+
+    def _run(self, tag: str, work, pool: str):
+        """Runs a job that can be cancelled by its tag: before it begins, while it runs, and until its result is out."""
+        self.spark.addTag(tag)
+        self.spark.sparkContext.setLocalProperty("spark.scheduler.pool", pool)
+        try:
+            if tag in self.cancelled:
+                raise Cancelled("The search was cancelled.")
             try:
-                return respond(found[0], request)
+                out = work()
             except Exception as e:
                 if tag in self.cancelled:
                     raise Cancelled("The search was cancelled.") from e
                 raise
-            finally:
-                self.spark.removeTag(tag)
-                self.cancelled.discard(tag)
+            if tag in self.cancelled:
+                raise Cancelled("The search was cancelled.")
+            return out
         finally:
-            with self.lock:
-                if self.running.get(session) == tag:
-                    del self.running[session]
-            slot.release()
+            self.spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+            self.spark.removeTag(tag)
 
     def cancel(self, tag: str) -> None:
-        self.cancelled.add(tag)
+        with self.lock:
+            if tag not in self.active:
+                return
+            self.cancelled.add(tag)
         self.spark.interruptTag(tag)
 
     def cancel_session(self, session: str) -> None:
@@ -82,8 +107,6 @@ class Engine:
         files, manifest = self.store.load()
         key = (manifest.revision, replace(request, sort="id", ascending=True))
         if self.ordered is None or self.ordered[0] != key:
-            from .operators.search import matches
-
             if self.ordered:
                 self.ordered[1].unpersist()
             self.ordered = (key, matches(files, request).persist())
@@ -96,13 +119,51 @@ class Engine:
         files, m = found
         return {"ready": True, "count": counts(files).first()["live"], "revision": m.revision, "lastEventID": m.last_event_id, "issues": m.issues}
 
-    def ping(self) -> bool:
+    def ping(self, seconds: float = 2.0) -> bool:
+        """Whether a trivial job is done in time; outside of all limits on requests."""
+        done = threading.Event()
+        threading.Thread(target=lambda: (self.spark.range(1).count(), done.set()), daemon=True).start()
+        if not done.wait(seconds):
+            raise Unavailable("The engine doesn't answer.")
         return True
 
     def rebuild(self, fingerprint: str, build) -> None:
-        """Publishes what ``build`` makes; searches see the old snapshot until then."""
-        files, issues, event = build()
-        self.store.save(files, fingerprint, event, issues)
+        """Publishes what ``build`` makes; searches see the old snapshot until then.
+
+        Requests that come while a scan runs share one that follows it.
+        """
+        with self.scans:
+            self.asked += 1
+            mine = self.asked
+            while self.scanning and self.served < mine:
+                self.scans.wait()
+            if self.served >= mine:
+                return
+            self.scanning, covered = True, self.asked
+        try:
+            files, issues, event = build()
+            self.store.save(files, fingerprint, event, issues)
+            with self.scans:
+                self.served = max(self.served, covered)
+        finally:
+            with self.scans:
+                self.scanning = False
+                self.scans.notify_all()
+
+    def settings(self) -> tuple[ExcludeRules, IndexScope]:
+        """The rules and the scope as last set."""
+        kept = self.store.settings() or {}
+        rules = ExcludeRules.from_json(kept["rules"]) if "rules" in kept else ExcludeRules()
+        scope = kept.get("scope", {})
+        return rules, IndexScope(scope.get("mode", "localVolumes"), tuple(scope.get("roots", ())), {k: tuple(v) for k, v in scope.get("identities", {}).items()})
+
+    def configure(self, rules: ExcludeRules, scope: IndexScope, build) -> None:
+        """Keeps rules and scope, forgets what was indexed under others, and publishes what ``build(rules, scope)`` makes."""
+        self.store.put_settings({"rules": rules.to_json(), "scope": asdict(scope)})
+        fingerprint, now = scope.fingerprint(rules), self.store.manifest()
+        if now is None or now.fingerprint != fingerprint:
+            self.store.invalidate()
+            self.rebuild(fingerprint, lambda: build(rules, scope))
 
     def revoke(self) -> None:
         """Forgets everything, after access to the scope was withdrawn."""

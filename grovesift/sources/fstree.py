@@ -143,8 +143,12 @@ def issues(scanned: DataFrame, most: int = 100) -> DataFrame:
     return scanned.filter(F.col("error").isNotNull()).select("path", F.col("error").alias("error_code")).limit(most)
 
 
-def as_rows(scanned: DataFrame, first_id: int = 0) -> DataFrame:
-    """Rows for ``forest.build``: ids from hashes of paths' order within partitions, parents found by path. Roots carry no size and time."""
+def as_rows(scanned: DataFrame, first_id: int = 0, under: int | None = None, vol_id: int = 1) -> DataFrame:
+    """Rows for ``forest.build``: ids that count within partitions, parents found by path. Roots carry no size and time.
+
+    With ``under`` the roots are left out, and what lies in them has that id as its parent: the subtree of a row that
+    is there already.
+    """
     from ..scratch import written
 
     good = scanned.filter("error is null")
@@ -152,7 +156,10 @@ def as_rows(scanned: DataFrame, first_id: int = 0) -> DataFrame:
     parents = numbered.filter("is_dir").select(F.col("path").alias("parent_path"), F.col("id").alias("parent"))
     top = F.col("parent_path").isNull()
     rows = numbered.join(parents, "parent_path", "left")
-    return rows.select("id", "parent", "name", F.when(top, 0).otherwise(F.col("size")).cast("long").alias("size"), F.when(top, 0).otherwise(F.col("mtime")).cast("long").alias("mtime"), "is_dir", F.lit(1).alias("vol_id"), F.lit(True).alias("is_live"))
+    if under is not None:
+        roots = numbered.filter("parent_path is null").select(F.col("id").alias("_root"))
+        rows = rows.filter(~top).join(roots, F.col("parent") == F.col("_root"), "left").withColumn("parent", F.when(F.col("_root").isNotNull(), under).otherwise(F.col("parent")))
+    return rows.select("id", "parent", "name", F.when(top, 0).otherwise(F.col("size")).cast("long").alias("size"), F.when(top, 0).otherwise(F.col("mtime")).cast("long").alias("mtime"), "is_dir", F.lit(vol_id).alias("vol_id"), F.lit(True).alias("is_live"))
 
 
 def mounts(text: str | None = None) -> list[tuple[str, bool]]:

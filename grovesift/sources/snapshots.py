@@ -1,7 +1,9 @@
-"""Versioned snapshots of a files table: Parquet folders, and a manifest that names the current one.
+"""Versioned snapshots of a files table: a base of Parquet files, folders of changes over it, and manifests.
 
-A version is written whole before the manifest is replaced, so readers see the old table or the new one. The
-manifest is a small JSON file; all files are reached through Spark's file systems, local or remote.
+A manifest names what belongs to a version. It is written under another name and moved to a number of its own, which
+no file had before; the newest one that can be read counts. So readers see the old version or the new one, also while a
+writer is between its steps or has died there. Changes cost their own size; :meth:`SnapshotStore.maintain` folds them
+into the base from time to time. All files are reached through Spark's file systems, local or remote.
 """
 
 from __future__ import annotations
@@ -9,15 +11,21 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.forest import SCHEMA
+from ..functions.text import DATA_VOLUME
+from ..operators.forest import SCHEMA, compacted, counts, needs_compaction
+from ..operators.reconcile import overlay
 
-FORMAT = 1
+FORMAT = 2
 MOST_ISSUES = 100
+#: Folders of changes over a base, at most, until it is written anew.
+MOST_CHANGES = 32
+#: Manifests that are kept beside the newest one.
+KEPT_MANIFESTS = 2
 
 
 @dataclass(frozen=True)
@@ -29,6 +37,8 @@ class Manifest:
     issues: list[list] = field(default_factory=list)
     format: int = FORMAT
     saved: float = 0.0
+    changes: list[str] = field(default_factory=list)  # folders, oldest first
+    retries: str = ""  # folder of paths to be inspected again
 
 
 class SnapshotStore:
@@ -39,71 +49,178 @@ class SnapshotStore:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _put(self, path: str, text: str) -> None:
-        """Writes a file beside its place and moves it there."""
-        fs, part = self._fs(f"{path}.{uuid.uuid4().hex}")
+    def _read(self, path: str) -> str | None:
+        fs, p = self._fs(path)
+        try:
+            stream = fs.open(p)
+        except Exception:  # not there
+            return None
+        try:
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _put(self, path: str, text: str) -> bool:
+        """Writes a file beside its place and moves it there; False if the place is taken."""
+        fs, part = self._fs(f"{self.root}/part-{uuid.uuid4().hex}")
         out = fs.create(part, True)
         try:
             out.write(bytearray(text.encode()))
         finally:
             out.close()
         _, whole = self._fs(path)
-        fs.delete(whole, False)
-        fs.rename(part, whole)
+        if not fs.exists(whole) and fs.rename(part, whole):
+            return True
+        fs.delete(part, False)
+        return False
+
+    def _numbers(self) -> list[int]:
+        """The numbers of all manifests, newest first."""
+        fs, root = self._fs(self.root)
+        if not fs.exists(root):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(root)]
+        return sorted((int(n[9:-5]) for n in names if n.startswith("manifest-") and n.endswith(".json") and n[9:-5].isdigit()), reverse=True)
+
+    def _path(self, number: int) -> str:
+        return f"{self.root}/manifest-{number:012d}.json"
 
     def manifest(self) -> Manifest | None:
-        """The current manifest; None if there is none, or it can't be read or is of another format."""
-        fs, path = self._fs(f"{self.root}/manifest.json")
-        try:
-            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(fs.open(path), "UTF-8")
-            m = Manifest(**json.loads(text))
-        except Exception:  # missing, cut short, or not ours: the caller builds anew
-            return None
-        return m if m.format == FORMAT else None
+        """The newest manifest that can be read; None if there is none of this format."""
+        for number in self._numbers():
+            try:
+                m = Manifest(**json.loads(self._read(self._path(number)) or ""))
+            except (ValueError, TypeError):  # cut short, or not ours
+                continue
+            return m if m.format == FORMAT else None
+        return None
+
+    def _publish(self, now: Manifest) -> Manifest:
+        """Makes a manifest the newest one; raises if another writer has published meanwhile."""
+        numbers = self._numbers()
+        if not self._put(self._path(numbers[0] + 1 if numbers else 1), json.dumps(asdict(now))):
+            raise RuntimeError("Another writer has published a version meanwhile.")
+        fs, _ = self._fs(self.root)
+        for number in numbers[KEPT_MANIFESTS:]:
+            fs.delete(self._fs(self._path(number))[1], False)
+        return now
 
-    def save(self, files: DataFrame, fingerprint: str, last_event_id: int = 0, issues: list | None = None) -> Manifest:
-        """Writes the live rows as a new version and makes it the current one."""
+    def _write(self, rows: DataFrame, kind: str) -> str:
+        folder = f"{kind}-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.root}/{folder}")
+        return folder
+
+    def _with_retries(self, retries: DataFrame | None) -> str:
+        return "" if retries is None or retries.isEmpty() else self._write(retries.select("path", "attempt"), "r")
+
+    def save(self, files: DataFrame, fingerprint: str, last_event_id: int = 0, issues: list | None = None, retries: DataFrame | None = None) -> Manifest:
+        """Writes the live rows as a new base and makes it the current version."""
         before = self.manifest()
-        folder = f"v-{uuid.uuid4().hex}"
         # In the order of paths, so that a folder's rows lie in few row groups and the others are skipped.
         rows = files.filter("is_live").select(*SCHEMA.fieldNames()).repartitionByRange("path_fold").sortWithinPartitions("path_fold")
-        rows.write.parquet(f"{self.root}/{folder}")
-        now = Manifest(folder, fingerprint, last_event_id, before.revision + 1 if before else 1, [list(i) for i in (issues or [])[:MOST_ISSUES]], FORMAT, time.time())
-        self._put(f"{self.root}/manifest.json", json.dumps(asdict(now)))
-        return now
+        folder = self._write(rows, "v")
+        listed = [list(i) for i in (issues or [])[:MOST_ISSUES]]
+        return self._publish(Manifest(folder, fingerprint, last_event_id, before.revision + 1 if before else 1, listed, FORMAT, time.time(), [], self._with_retries(retries)))
+
+    def append(self, changed: DataFrame, last_event_id: int, issues: list | None = None, retries: DataFrame | None = None) -> Manifest:
+        """Publishes a version that differs in some rows: those of ``changed``, of which the ones that aren't live are gone."""
+        before = self.manifest()
+        if before is None:
+            raise RuntimeError("There is no version to change.")
+        folders = [] if changed.isEmpty() else [self._write(changed.select(*SCHEMA.fieldNames()), "c")]
+        listed = before.issues if issues is None else [list(i) for i in issues[:MOST_ISSUES]]
+        return self._publish(replace(before, last_event_id=last_event_id, revision=before.revision + 1, issues=listed, saved=time.time(), changes=[*before.changes, *folders], retries=self._with_retries(retries)))
 
     def load(self) -> tuple[DataFrame, Manifest] | None:
         m = self.manifest()
         if m is None:
             return None
+        read = self.spark.read.schema(SCHEMA)
         try:
-            files = self.spark.read.schema(SCHEMA).parquet(f"{self.root}/{m.folder}")
-        except Exception:  # the folder is gone
+            files = read.parquet(f"{self.root}/{m.folder}")
+            if m.changes:
+                files = overlay(files, self._changes(m))
+        except Exception:  # a folder is gone
             return None
         return files, m
 
+    def _changes(self, m: Manifest) -> DataFrame:
+        """The latest row of each changed id."""
+        every = None
+        for k, folder in enumerate(m.changes):
+            one = self.spark.read.schema(SCHEMA).parquet(f"{self.root}/{folder}").withColumn("_order", F.lit(k))
+            every = one if every is None else every.unionByName(one)
+        latest = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("_order")))
+        return every.withColumn("_latest", latest).filter("_latest = 1").drop("_latest", "_order")
+
+    def retries(self, m: Manifest) -> DataFrame:
+        """(path, attempt): what has to be inspected again."""
+        kinds = "path string, attempt int"
+        return self.spark.read.schema(kinds).parquet(f"{self.root}/{m.retries}") if m.retries else self.spark.createDataFrame([], kinds)
+
+    def maintain(self, compact: bool = False) -> bool:
+        """Writes the base anew where many changes lie over it, or much of it is gone; ``compact`` also numbers the rows anew.
+
+        Tells whether it did.
+        """
+        found = self.load()
+        if found is None:
+            return False
+        files, m = found
+        gone = self._changes(m).filter("not is_live").count() if m.changes else 0
+        if not (compact or len(m.changes) >= MOST_CHANGES or (gone and needs_compaction(counts(files).first()["live"], gone))):
+            return False
+        self.save(compacted(files) if compact else files, m.fingerprint, m.last_event_id, m.issues, self.retries(m))
+        return True
+
     def open_or_build(self, fingerprint: str, build) -> tuple[DataFrame, Manifest]:
-        """The saved table if it was made under the same rules and scope; otherwise what ``build`` makes, saved."""
+        """The saved table if it was made under the same rules and scope and is sound; otherwise what ``build`` makes, saved."""
         found = self.load()
-        if found and found[1].fingerprint == fingerprint:
+        if found and found[1].fingerprint == fingerprint and not contaminated(found[0]):
             return found
         files, issues, event = build()
         self.save(files, fingerprint, event, issues)
         return self.load()
 
     def drop_old(self, keep: int = 2) -> None:
-        """Deletes all but the newest versions."""
+        """Deletes all but the newest folders, and those of the current version."""
         fs, root = self._fs(self.root)
-        found = sorted((s for s in fs.listStatus(root) if s.isDirectory() and s.getPath().getName().startswith("v-")), key=lambda s: -s.getModificationTime())
+        found = sorted((s for s in fs.listStatus(root) if s.isDirectory() and s.getPath().getName()[:2] in ("v-", "c-", "r-")), key=lambda s: -s.getModificationTime())
         now = self.manifest()
+        needed = {now.folder, now.retries, *now.changes} if now else set()
         for s in found[keep:]:
-            if now is None or s.getPath().getName() != now.folder:
+            if s.getPath().getName() not in needed:
                 fs.delete(s.getPath(), True)
 
     def invalidate(self) -> None:
-        """Forgets the current version, after a scope was revoked."""
-        fs, path = self._fs(f"{self.root}/manifest.json")
-        fs.delete(path, False)
+        """Forgets all versions, after a scope was revoked; the newest manifest goes last, so that no older one comes back."""
+        fs, _ = self._fs(self.root)
+        for number in reversed(self._numbers()):
+            fs.delete(self._fs(self._path(number))[1], False)
+
+    def put_settings(self, settings: dict) -> None:
+        """Keeps rules and scope, for the next start."""
+        number = max(self._settings_numbers(), default=0)
+        if not self._put(f"{self.root}/settings-{number + 1:012d}.json", json.dumps(settings)):
+            raise RuntimeError("Another writer has changed the settings meanwhile.")
+
+    def settings(self) -> dict | None:
+        for number in sorted(self._settings_numbers(), reverse=True):
+            try:
+                return json.loads(self._read(f"{self.root}/settings-{number:012d}.json") or "")
+            except ValueError:
+                continue
+        return None
+
+    def _settings_numbers(self) -> list[int]:
+        fs, root = self._fs(self.root)
+        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+        return [int(n[9:-5]) for n in names if n.startswith("settings-") and n[9:-5].isdigit()]
+
+
+def contaminated(files: DataFrame) -> bool:
+    """Whether the data volume was indexed a second time under its own name, which no scan does."""
+    return not files.filter(F.col("is_live") & (F.col("path") == DATA_VOLUME)).isEmpty()
 
 
 def largest_id(files: DataFrame) -> int:

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import retry_delay, within
+from ..functions.text import DATA_VOLUME, retry_delay, within
+from .inspection import GONE
 
 # Bits of an event's flags.
 FLAGS = {"must_scan": 0x1, "dropped": 0x2 | 0x4 | 0x8, "mount": 0x20 | 0x40 | 0x80, "structural": 0x100 | 0x200 | 0x800, "metadata": 0x400 | 0x1000 | 0x2000 | 0x4000 | 0x8000}
@@ -28,7 +29,8 @@ def parent_of(path: Column) -> Column:
 def route(events: DataFrame, roots: list[str]) -> DataFrame:
     """(path, task, deep): what each event asks for; ``rebuild`` rows ask for a whole new scan.
 
-    Lost history rebuilds, and within the roots so do mounts, and structural events at a root. Outside of the roots nothing is done. A subtree
+    Lost history rebuilds, and within the roots so do mounts, structural events at a root, and subtree events at the root
+    of a volume. Outside of the roots nothing is done. A subtree
     event lists its folder and all below; a structural one the parent; a metadata one refreshes the item; an event
     may be both. One without any flag lists the folder itself.
     """
@@ -36,7 +38,8 @@ def route(events: DataFrame, roots: list[str]) -> DataFrame:
     for r in roots:
         inside = inside | within(F.col("path"), r)
     at_root = F.col("path").isin(roots)
-    rebuild = F.col("dropped") | (inside & (F.col("mount") | (F.col("structural") & at_root)))
+    volume = F.col("path").isin("/", DATA_VOLUME) | F.col("path").rlike(r"^/Volumes/[^/]*$")
+    rebuild = F.col("dropped") | (inside & (F.col("mount") | (F.col("structural") & at_root) | (F.col("must_scan") & volume)))
     task = lambda kind, path, deep=False: F.struct(path.alias("path"), F.lit(kind).alias("task"), F.lit(deep).alias("deep"))
     none = F.lit(None).cast("struct<path:string,task:string,deep:boolean>")
     plain = ~(F.col("must_scan") | F.col("structural") | F.col("metadata"))
@@ -72,43 +75,124 @@ def cursor(before: int, batch: DataFrame, failed: bool) -> int:
 class LiveTable:
     """Keeps a snapshot store in line with a stream of events.
 
-    ``inspect(df)`` gets coalesced tasks (path, task, deep) and returns (listed, missing, failed): listings as
-    ``reconcile.diff`` takes them, paths that are gone, and paths to retry. ``rebuild()`` scans anew.
+    ``inspect`` is what :func:`inspection.inspector` makes. ``rebuild()`` scans anew and returns a files table. What is
+    published, also what has to be tried again and the last event, is in the store, so that a new driver goes on where
+    the last one was. When folders were inspected is kept for this run only: the first event of a run always inspects.
     """
 
-    def __init__(self, store, fingerprint: str, roots: list[str], inspect, rebuild):
+    def __init__(self, store, fingerprint: str, roots: list[str], inspect, rebuild, listeners=()):
         self.store, self.fingerprint, self.roots, self.inspect, self.rebuild = store, fingerprint, roots, inspect, rebuild
-        self.attempts: dict[str, int] = {}
-        self.revision = 0
+        self.listeners = list(listeners)
+        self.gate: DataFrame | None = None
 
     def apply(self, batch: DataFrame, _id: int = 0) -> None:
-        from ..operators import reconcile
-        from ..scratch import written
-        from ..sources.snapshots import largest_id
+        """Brings the store in line with a batch of events; several requests to rebuild are one scan."""
+        from ..scratch import drop, written
 
         files, manifest = self.store.load()
+        waiting = self.store.retries(manifest)
         tasks = written(coalesced(route(batch, self.roots)), "tasks")
+        end = cursor(manifest.last_event_id, batch, False)  # taken before anything is looked at; what happens meanwhile comes again
         if not tasks.filter("task = 'rebuild'").isEmpty():
-            end = cursor(manifest.last_event_id, batch, False)  # taken before the scan; what happens meanwhile comes again
-            self.store.save(self.rebuild(), self.fingerprint, end)
-            self.attempts.clear()
-        else:
-            waiting = [(p, "list", False) for p in self.attempts]
-            if waiting:
-                tasks = coalesced(tasks.union(tasks.sparkSession.createDataFrame(waiting, tasks.schema)))
-            listed, missing, failed = self.inspect(tasks, files)
-            changes = written(reconcile.diff(files, listed), "changes")
-            after = reconcile.apply(files, changes, largest_id(files) + 1)
-            gone = reconcile.below(F.col("path"), missing, after)
-            after = after.join(gone, "id", "left_anti")
-            self.attempts = {p: self.attempts.get(p, 0) + 1 for p in failed}
-            self.store.save(after, self.fingerprint, cursor(manifest.last_event_id, batch, bool(failed)))
-        self.revision += 1
+            self._tell(self.store.save(self.rebuild(), self.fingerprint, end))
+            drop(tasks)
+            return
+        again = waiting.select("path", F.lit("list").alias("task"), F.lit(False).alias("deep"))
+        seen = written(self.inspect(coalesced(tasks.unionByName(again)), files, self.gate), "seen")
+        changed = self.changed(files, seen)
+        failed = seen.filter(F.col("error").isNotNull() & ~F.col("error").isin(*GONE)).select("path").distinct()
+        retry = written(failed.join(waiting, "path", "left").select("path", (F.coalesce("attempt", F.lit(0)) + 1).cast("int").alias("attempt")), "retry")
+        self._remember(seen)
+        if retry.isEmpty():
+            retry = None
+        issues = [[r["path"], r["error"]] for r in seen.filter("error is not null").select("path", "error").limit(100).collect()]
+        self._tell(self.store.append(changed, cursor(manifest.last_event_id, batch, retry is not None), issues or None, retry))
+        drop(tasks, seen, changed, *([retry] if retry is not None else []))
+        self.store.maintain()
+
+    def changed(self, files: DataFrame, seen: DataFrame) -> DataFrame:
+        """What was seen, as rows for :func:`reconcile.overlay` (a written table).
+
+        Of folders that are gone all children go; of folders that couldn't be read whole none does. New folders
+        come with all that is below them.
+        """
+        from ..operators import reconcile
+        from ..operators.forest import SCHEMA, with_folds
+        from ..scratch import drop, written
+        from ..sources.snapshots import largest_id
+
+        ids = files.filter("is_live and is_dir").select(F.col("path").alias("parent_path"), F.col("id").alias("parent"))
+        whole = F.col("error").isNull() | F.col("error").isin(*GONE)
+        inspected = seen.filter("kind = 'folder'").select(F.col("path").alias("parent_path"), whole.alias("whole")).join(ids, "parent_path")
+        listed = seen.filter("kind = 'child'").join(ids, "parent_path").select("parent", "name", "size", "mtime", "is_dir")
+        diff = reconcile.diff(files.filter("is_live"), listed, inspected)
+        partly = inspected.filter(~F.col("whole")).select("parent").withColumn("action", F.lit("delete"))
+        diff = written(diff.join(partly, ["parent", "action"], "left_anti"), "diff")
+        first = written(reconcile.changed_rows(files, diff, largest_id(files) + 1), "changed")
+        out = first
+        roots = first.join(diff.filter("is_dir and action in ('insert', 'replace')").select("parent", "name"), ["parent", "name"], "left_semi").filter("is_live")
+        more = None
+        if not roots.isEmpty():
+            depth = roots.select(F.col("path").alias("_top"), "depth", F.size(F.split("path", "/")).alias("_parts"), "vol_id")
+            start = max(largest_id(files), largest_id(first)) + 1
+            more = written(self.inspect.subtrees(roots.select("path")).filter("error is null").withColumn("id", F.monotonically_increasing_id() + start), "below")
+            parents = roots.select(F.col("path").alias("parent_path"), F.col("id").alias("parent")).unionByName(more.filter("is_dir").select(F.col("path").alias("parent_path"), F.col("id").alias("parent")))
+            from ..functions.text import ancestors
+
+            tops = more.select("id", "path", F.explode(ancestors(F.col("path"))).alias("_top")).join(depth, "_top").select("id", (F.col("depth") + F.size(F.split("path", "/")) - F.col("_parts")).cast("int").alias("depth"), "vol_id")
+            rows = more.join(parents, "parent_path").join(tops, "id").withColumn("is_live", F.lit(True))
+            out = out.unionByName(with_folds(rows).select(*SCHEMA.fieldNames()))
+        items = seen.filter("kind = 'item' and error is null").select("path", F.col("size").alias("_size"), F.col("mtime").alias("_mtime"), F.col("is_dir").alias("_dir"))
+        fresh = files.filter("is_live").join(items, "path").filter("is_dir = _dir and not (size <=> _size and mtime <=> _mtime)").withColumns({"size": F.col("_size"), "mtime": F.col("_mtime")})
+        out = out.unionByName(fresh.join(first.select("id"), "id", "left_anti").select(*SCHEMA.fieldNames()))
+        out = written(out, "changes")
+        drop(diff, first, *([more] if more is not None else []))
+        return out
+
+    def _remember(self, seen: DataFrame) -> None:
+        from ..scratch import drop, written
+
+        now = seen.filter("kind = 'folder' and error is null").select("path", "mtime_ns")
+        if now.isEmpty():
+            return
+        before = self.gate
+        self.gate = written(now if before is None else before.join(now, "path", "left_anti").unionByName(now), "gate")
+        if before is not None:
+            drop(before)
+
+    def _tell(self, manifest) -> None:
+        for listener in self.listeners:
+            listener(manifest)
+
+    def deny(self, roots: list[str]) -> None:
+        """Takes out subtrees that may not be read any more; searches that begin now don't see them."""
+        from ..operators import reconcile
+
+        files, m = self.store.load()
+        gone = files.sparkSession.createDataFrame([(r,) for r in roots], "path string")
+        dead = files.join(reconcile.below(F.col("path"), gone, files), "id", "left_semi").withColumn("is_live", F.lit(False))
+        self._tell(self.store.append(dead, m.last_event_id, None, self.store.retries(m)))
 
     def next_retry(self) -> int | None:
         """Seconds until something has to be tried again."""
-        return min((retry_delay(n) for n in self.attempts.values()), default=None)
+        least = self.store.retries(self.store.manifest()).agg(F.min("attempt").alias("n")).first()["n"]
+        return None if least is None else retry_delay(least)
 
     def start(self, events: DataFrame, checkpoint: str):
-        """Runs over a stream of events, twice a second."""
-        return events.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint).trigger(processingTime="500 milliseconds").start()
+        """Runs over a stream of events, twice a second, from the last event that the store has seen."""
+        m = self.store.manifest()
+        later = events.filter(F.col("event_id") > (m.last_event_id if m else -1))
+        return later.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint).trigger(processingTime="500 milliseconds").start()
+
+    def keep_running(self, events: DataFrame, checkpoint: str, tries: int = 5, wait: float = 2.0) -> None:
+        """Runs until the stream ends; starts it again ``wait`` seconds after a failure, ``tries`` times in a row at most."""
+        import time
+
+        for k in range(tries):
+            try:
+                self.start(events, checkpoint).awaitTermination()
+                return
+            except Exception:
+                if k == tries - 1:
+                    raise
+                time.sleep(wait)

@@ -10,7 +10,7 @@ from grovesift.operators import forest, reconcile, rules
 from grovesift.service import Engine
 from grovesift.sources import fstree, sinks
 from grovesift.sources.snapshots import SnapshotStore
-from grovesift.streaming import changes
+from grovesift.streaming import changes, inspection
 
 KINDS = "id long, parent long, name string, size long, mtime long, is_dir boolean, vol_id int, is_live boolean"
 
@@ -68,6 +68,10 @@ def test_reconcile(files, spark):
     listed = spark.createDataFrame([(1, "x.txt", 6, 5, False), (1, "d", 0, 1, False), (1, "new", 1, 1, False)], "parent long, name string, size long, mtime long, is_dir boolean")
     diff = reconcile.diff(files, listed)
     assert {(r.name, r.action) for r in diff.collect()} == {("x.txt", "update"), ("d", "replace"), ("new", "insert")}
+    emptied = reconcile.diff(files, listed.limit(0), spark.createDataFrame([(3,)], "parent long"))
+    assert [(r.name, r.action) for r in emptied.collect()] == [("deep.md", "delete")]
+    blank = files.withColumn("size", F.when(F.col("id") != 2, F.col("size")))
+    assert {r.name: r.action for r in reconcile.diff(blank, listed).collect()}["x.txt"] == "update"
     after = {r.path: r for r in reconcile.apply(files, diff, 100).collect()}
     assert set(after) == {"/", "/a", "/a/x.txt", "/a/d", "/a/new", "/b.md"} and after["/a/x.txt"].size == 6 and not after["/a/d"].is_dir and after["/a/new"].id >= 100
     assert [r.name for r in reconcile.stale(files.filter("parent = 1"), listed.filter("name <> 'd'")).collect()] == ["d"]
@@ -88,10 +92,54 @@ def test_snapshots(files, spark, tmp_path):
     store.save(files, "f2")
     store.drop_old(1)
     assert store.load()[0].count() == 6 and len([p for p in os.listdir(f"{tmp_path}/s") if p.startswith("v-")]) == 1
-    (tmp_path / "s/manifest.json").write_text("{cut")
+    newest = sorted((tmp_path / "s").glob("manifest-*.json"))[-1]
+    revision = store.manifest().revision
+    (tmp_path / f"s/manifest-{int(newest.name[9:-5]) + 1:012d}.json").write_text("{cut")  # a writer that died half-way
+    assert store.manifest().revision == revision
+    store.invalidate()
     assert store.load() is None
 
 
+def test_a_writer_that_dies_between_its_steps_loses_nothing(files, spark, tmp_path, monkeypatch):
+    store = SnapshotStore(spark, f"file://{tmp_path}/s")
+    store.save(files, "f", 3)
+    monkeypatch.setattr(SnapshotStore, "_publish", lambda self, now: (_ for _ in ()).throw(OSError("killed")))
+    changed = files.filter("id = 5").withColumn("is_live", F.lit(False))
+    for step in (lambda: store.save(files.limit(1), "f", 9), lambda: store.append(changed, 9)):
+        with pytest.raises(OSError):
+            step()
+        assert store.load()[0].count() == 6 and store.manifest().last_event_id == 3
+    monkeypatch.undo()
+    other = SnapshotStore(spark, store.root)
+    monkeypatch.setattr(SnapshotStore, "_numbers", lambda self, n=store._numbers(): n)  # two writers that saw the same manifests
+    other.append(changed, 4)
+    with pytest.raises(RuntimeError):
+        store.append(changed, 5)
+    monkeypatch.undo()
+    assert store.manifest().last_event_id == 4 and store.load()[0].count() == 5
+
+
+def test_changes_lie_over_the_base(files, spark, tmp_path, monkeypatch):
+    from grovesift.sources import snapshots
+
+    store = SnapshotStore(spark, f"file://{tmp_path}/s")
+    store.save(files, "f", 1)
+    row = lambda k, **new: files.filter(f"id = {k}").withColumns({c: F.lit(v) for c, v in new.items()})
+    store.append(row(5, size=90), 2)
+    store.append(row(5, size=91).unionByName(row(4, is_live=False)), 3)
+    store.append(files.limit(0), 4)
+    now, m = store.load()
+    assert {r.id: r.size for r in now.collect()} == {0: 0, 1: 0, 2: 5, 3: 0, 5: 91} and len(m.changes) == 2 and m.last_event_id == 4 and not store.maintain()
+    bases = [p for p in os.listdir(f"{tmp_path}/s") if p.startswith("v-")]
+    assert len(bases) == 1  # changes cost their own size
+    monkeypatch.setattr(snapshots, "MOST_CHANGES", 2)
+    assert store.maintain() and store.manifest().changes == [] and store.load()[0].count() == 5 and store.manifest().last_event_id == 4
+    assert store.maintain(compact=True) and sorted(r.id for r in store.load()[0].collect()) == [0, 1, 2, 3, 4]
+    twice = files.withColumn("path", F.when(F.col("id") == 5, "/System/Volumes/Data").otherwise(F.col("path")))
+    store.save(twice, "f")
+    assert snapshots.contaminated(store.load()[0]) and store.open_or_build("f", lambda: (files, [], 9))[1].last_event_id == 9
+
+
 def test_engine_and_command(files, spark, tmp_path, capsys):
     store = SnapshotStore(spark, f"file://{tmp_path}/s")
     engine = Engine(spark, store)
@@ -141,35 +189,187 @@ def test_routing(spark):
     assert got == [(False, False, False, True, True), (False, False, True, False, False), (False, True, False, False, False), (True, False, False, False, False)]
 
 
-def test_stream_keeps_the_store_in_line(files, spark, tmp_path):
-    store = SnapshotStore(spark, f"file://{tmp_path}/s")
-    store.save(files, "f", 1)
-    (tmp_path / "in").mkdir()
+EVENTS = "path string, event_id long, must_scan boolean, structural boolean, metadata boolean, mount boolean, dropped boolean"
 
-    def inspect(tasks, now):
-        listed = spark.createDataFrame([(1, "x.txt", 50, 5, False), (1, "d", 0, 1, True)], "parent long, name string, size long, mtime long, is_dir boolean")
-        failed = [r.path for r in tasks.filter("path = '/locked'").collect()]
-        return listed, spark.createDataFrame([("/b.md",)], "path string"), failed
 
-    live = changes.LiveTable(store, "f", ["/"], inspect, lambda: files)
-    kinds = "path string, event_id long, must_scan boolean, structural boolean, metadata boolean, mount boolean, dropped boolean"
-    put = lambda rows: spark.createDataFrame(rows, kinds).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    put([("/a/x.txt", 5, False, True, False, False, False)])
-    q = live.start(spark.readStream.schema(kinds).parquet(f"{tmp_path}/in"), f"{tmp_path}/cp")
+def event(path, number, *kinds):
+    return (path, number, *(k in kinds for k in ("must_scan", "structural", "metadata", "mount", "dropped")))
+
+
+@pytest.fixture
+def disk(spark, tmp_path):
+    """A folder on disk, its store, and a live table over both."""
+    top = tmp_path / "top"
+    for d in ("kept/inner", "full"):
+        (top / d).mkdir(parents=True)
+    for f in ("kept/a.txt", "kept/inner/b.txt", "full/only.txt", "root.txt"):
+        (top / f).write_text("abc")
+    store = SnapshotStore(spark, f"file://{tmp_path}/s")
+    rules_ = rules.ExcludeRules(path_prefixes=(), file_patterns=("*.tmp",))
+    build = lambda: forest.build(fstree.as_rows(fstree.scan(spark, [str(top)], rules_)))
+    store.save(build(), "f", 1)
+    told = []
+    live = changes.LiveTable(store, "f", [str(top)], inspection.inspector(rules_, [("/", True)]), build, [told.append])
+    send = lambda *events: live.apply(spark.createDataFrame([event(f"{top}/{e[0]}".rstrip("/"), *e[1:]) for e in events], EVENTS))
+    paths = lambda: {os.path.relpath(r.path, top): r for r in store.load()[0].filter("is_live").collect()}
+    return top, store, live, send, paths, told
+
+
+def on_disk(top):
+    return {os.path.relpath(os.path.join(d, n), top) for d, ds, fs in os.walk(top) for n in [*ds, *fs]} | {"."}
+
+
+def test_feed_follows_what_happens_on_disk(disk):
+    import shutil
+
+    top, store, live, send, paths, told = disk
+    assert set(paths()) == on_disk(top)
+    (top / "full/only.txt").unlink()  # the last child of a folder
+    (top / "kept/a.txt").write_text("longer text")
+    (top / "new/deep/er").mkdir(parents=True)  # a folder with all below it
+    (top / "new/deep/er/x.txt").write_text("x")
+    (top / "new/skipped.tmp").write_text("x")
+    send(("full/only.txt", 2, "structural"), ("kept/a.txt", 3, "metadata"), ("new/deep", 4, "structural"), ("new", 5, "structural"))
+    (top / "new/skipped.tmp").unlink()
+    now = paths()
+    assert set(now) == on_disk(top) - {"new/skipped.tmp"} and now["kept/a.txt"].size == 11 and store.manifest().last_event_id == 5 and told[-1].revision == 2
+    assert len({r.id for r in now.values()}) == len(now) and now["new/deep/er/x.txt"].depth == 4 and now["new/deep/er/x.txt"].parent == now["new/deep/er"].id
+    shutil.rmtree(top / "new")
+    (top / "new").write_text("a file now")
+    (top / "kept/inner/b.txt").unlink()
+    (top / "kept/inner/c.txt").write_text("c")
+    send(("new", 6, "structural"), ("kept", 7, "must_scan"))
+    assert set(paths()) == on_disk(top) and not paths()["new"].is_dir
+    shutil.rmtree(top / "kept/inner")
+    send(("kept/inner/c.txt", 8, "structural"))  # the folder itself is gone: its children go, its row waits for its parent
+    assert set(paths()) == on_disk(top) | {"kept/inner"}
+    send(("kept/inner", 9, "structural"))
+    assert set(paths()) == on_disk(top) and len([p for p in os.listdir(store.root.removeprefix("file://")) if p.startswith("v-")]) == 1
+    live.deny([f"{top}/full"])
+    assert "full" not in paths()
+
+
+def test_feed_keeps_what_it_cannot_read(disk, spark):
+    import errno
+
+    top, store, live, send, paths, _ = disk
+    inspect, broken = live.inspect, [True]
+
+    def faulty(tasks, files, gate=None):
+        seen = inspect(tasks, files, gate)
+        lost = (F.col("path") == f"{top}/kept") & F.lit(broken[0])
+        return seen.filter(~((F.col("kind") == "child") & (F.col("name") == "a.txt") & F.lit(broken[0]))).withColumn("error", F.when(lost & (F.col("kind") == "folder"), errno.EACCES).otherwise(F.col("error")))
+
+    faulty.subtrees = inspect.subtrees
+    live.inspect = faulty
+    (top / "kept/more.txt").write_text("m")
+    send(("kept/more.txt", 5, "structural"), ("root.txt", 6, "metadata"))
+    assert set(paths()) == on_disk(top) and store.manifest().last_event_id == 1 and live.next_retry() == 1  # added, nothing removed, no event left behind
+    send(("root.txt", 7, "metadata"))
+    assert live.next_retry() == 2
+    broken[0] = False
+    again = changes.LiveTable(SnapshotStore(spark, store.root), "f", [str(top)], inspect, live.rebuild)  # another driver takes over
+    again.apply(spark.createDataFrame([event(f"{top}/root.txt", 8, "metadata")], EVENTS))
+    assert set(paths()) == on_disk(top) and store.manifest().last_event_id == 8 and again.next_retry() is None
+
+
+def test_folders_that_have_not_changed_are_not_listed(disk, spark):
+    top, store, live, send, paths, _ = disk
+    tasks = spark.createDataFrame([(f"{top}/kept", "list", False)], "path string, task string, deep boolean")
+    send(("kept/a.txt", 2, "structural"))
+    assert live.gate.count() == 1 and live.inspect(tasks, store.load()[0], live.gate).count() == 0 and live.inspect(tasks, store.load()[0], None).count() == 3
+    assert live.inspect(tasks.withColumn("deep", F.lit(True)), store.load()[0], live.gate).filter("kind = 'folder'").count() == 2
+    (top / "kept/z.txt").write_text("z")
+    send(("kept/z.txt", 3, "structural"))
+    assert "kept/z.txt" in paths()
+    far = inspection.inspector(rules.ExcludeRules(), [("/", True), (str(top), False)])
+    assert [(r.kind, r.error) for r in far(tasks, store.load()[0]).collect()] == [("folder", 95)]
+    send(("kept", 4, "mount"))  # a whole new scan
+    assert set(paths()) == on_disk(top) and store.manifest().last_event_id == 4
+
+
+def test_stream_goes_on_from_the_last_event(disk, spark, tmp_path):
+    top, store, live, _, paths, _ = disk
+    (tmp_path / "in").mkdir()
+    put = lambda *rows: spark.createDataFrame(list(rows), EVENTS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    (top / "kept/s.txt").write_text("s")
+    put(event(f"{top}/kept/s.txt", 5, "structural"))
+    q = live.start(spark.readStream.schema(EVENTS).parquet(f"{tmp_path}/in"), f"{tmp_path}/cp")
     try:
         q.processAllAvailable()
-        now, m = store.load()
-        assert {r.path: r.size for r in now.collect()} == {"/": 0, "/a": 0, "/a/x.txt": 50, "/a/d": 0, "/a/d/deep.md": 7} and m.last_event_id == 5
-        put([("/locked", 6, False, False, False, False, False)])
-        q.processAllAvailable()
-        assert store.manifest().last_event_id == 5 and live.next_retry() == 1
-        put([("/", 9, False, False, False, False, True)])
+        assert set(paths()) == on_disk(top) and store.manifest().last_event_id == 5
+    finally:
+        q.stop()
+    (top / "full/t.txt").write_text("t")
+    put(event(f"{top}/full/t.txt", 6, "structural"))
+    q = live.start(spark.readStream.schema(EVENTS).parquet(f"{tmp_path}/in"), f"{tmp_path}/cp2")  # without its checkpoint: old events are left out
+    try:
         q.processAllAvailable()
-        assert store.manifest().last_event_id == 9 and store.load()[0].count() == 6 and live.next_retry() is None
+        assert set(paths()) == on_disk(top) and store.manifest().last_event_id == 6
     finally:
         q.stop()
 
 
+def test_subtree_below_a_row_that_is_there(spark, tmp_path):
+    (tmp_path / "t/d").mkdir(parents=True)
+    (tmp_path / "t/d/f").write_text("x")
+    rows = {r.name: r for r in fstree.as_rows(fstree.scan(spark, [str(tmp_path / "t")]), 500, under=7, vol_id=3).collect()}
+    assert set(rows) == {"d", "f"} and rows["d"].parent == 7 and rows["f"].parent == rows["d"].id >= 500 and rows["f"].vol_id == 3
+
+
+def test_volume_roots_and_system_volumes():
+    from grovesift.functions.text import is_volume_root
+
+    assert is_volume_root("/") and is_volume_root("/Volumes/usb") and is_volume_root("/System/Volumes/Data") and not is_volume_root("/Volumes/usb/x") and not is_volume_root("/home")
+    assert rules.effective(rules.ExcludeRules(), []).excludes("VM", "/System/Volumes/VM", False) and not rules.ExcludeRules().excludes("VM", "/System/Volumes/VM", False)
+
+
+def test_settings_scans_and_cancelling(files, spark, tmp_path):
+    import threading
+    import time
+
+    from grovesift.errors import Busy, Cancelled, code_of
+
+    store = SnapshotStore(spark, f"file://{tmp_path}/s")
+    engine = Engine(spark, store)
+    assert engine.settings() == (rules.ExcludeRules(), rules.IndexScope())
+    asked = []
+    scope, own = rules.IndexScope("folders", ("/a",), {"/a": (1, 2)}), rules.ExcludeRules(names=("x",))
+    engine.configure(own, scope, lambda r, s: (asked.append((r, s)), (files, [], 4))[1])
+    assert asked == [(own, scope)] and Engine(spark, store).settings() == (own, scope) and store.manifest().fingerprint == scope.fingerprint(own)
+    engine.configure(own, scope, None)  # the same: nothing is scanned
+    engine.configure(own, rules.IndexScope(), lambda r, s: (files.limit(2), [], 5))
+    assert store.load()[0].count() == 2 and engine.ping(60)
+    scans, go = [], threading.Event()
+
+    def slow():
+        scans.append(1)
+        go.wait(60)
+        return files, [], 6
+
+    threads = [threading.Thread(target=engine.rebuild, args=("f", slow)) for _ in range(5)]
+    threads[0].start()
+    while not scans:
+        time.sleep(0.01)
+    for t in threads[1:]:
+        t.start()
+    while engine.asked < engine.served + 5:
+        time.sleep(0.01)
+    go.set()
+    for t in threads:
+        t.join()
+    assert len(scans) == 2  # the one that ran, and one for all that came meanwhile
+
+    def cancel_at_once(tag, work, pool, run=engine._run):
+        engine.cancel(tag)
+        return run(tag, work, pool)
+
+    engine._run = cancel_at_once
+    with pytest.raises(Cancelled) as e:
+        engine.search("x")
+    assert code_of(e.value) == "cancelled" and code_of(KeyError()) == "internalError" and code_of(Busy()) == "overloaded" and not engine.cancelled and not engine.active
+
+
 def test_entry_without_the_corpus_operators():
     import subprocess
     import sys

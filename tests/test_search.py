@@ -1,13 +1,20 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
-from grovesift.operators import forest
-from grovesift.operators.search import Request, matches, respond, search
-from grovesift.operators.trigrams import appended, candidates, lookup, postings, required_literal
+from grovesift.operators import forest, reconcile
+from grovesift.operators.search import Request, matches, respond, search, search_or_nothing
+from grovesift.operators.trigrams import appended, candidates, index_bytes, lookup, postings, required_literal
+from grovesift.plans.compile import FOLDED_FROM_AFAR
 
+# A store of goods: two folders with one more below, and files of odd names.
 ROWS = [
-    (0, None, "/", 0, 20001, True), (1, 0, "Docs", 0, 20002, True), (2, 1, "Archive", 0, 20003, True), (3, 1, "REPORT.PDF", 10, 20004, False), (4, 2, "reportold.txt", 20, 20005, False),
-    (5, 1, "notes.md", 15, 20006, False), (6, 1, "Résumé.txt", 12, 20007, False), (7, 0, "other.pdf", 30, 20008, False),
+    (0, None, "/", 0, 100, True), (10, 0, "EUROPE", 0, 101, True), (11, 0, "Asia", 0, 102, True), (12, 11, "Nation_9", 0, 103, True),
+    (20, 10, "Parts List.CSV", 1200, 200, False), (21, 10, "parts-old.csv.gz", 300, 201, False), (22, 11, "Île-de-Ré.map", 45, 202, False), (23, 12, "part_7.csv", 1200, 203, False),
+    (24, 12, "README", 1, 204, False), (25, 0, "counterparts.txt", 9000, 205, False),
 ]
+FILES = [r[0] for r in ROWS if not r[5]]
 
 
 @pytest.fixture(scope="module")
@@ -19,23 +26,29 @@ def files(spark):
 @pytest.mark.parametrize(
     ("text", "options", "ids"),
     [
-        ("name:report", {}, [3, 4]), (r"path:Archive\report", {}, [4]), ("in:/", {}, list(range(8))), ("filetype:PDF", {}, [3, 7]), (r"regex:^REPORT\.PDF$", {"ignore_case": False}, [3]),
-        ("type:folder", {}, [0, 1, 2]), ("size:>=20", {}, [4, 7]), ("NOT filetype:pdf", {}, [0, 1, 2, 4, 5, 6]), ("filetype:pdf XOR name:notes", {}, [3, 5, 7]), ("report", {"whole_word": True}, [3]),
-        ("report*", {"whole_word": True}, [3, 4]), ("REPORT", {"ignore_case": False}, [3]), ("résumé", {}, [6]), ("RÉSUMÉ", {"ignore_case": False}, []),
-        ("Docs/REPORT.PDF", {"match_path": True, "ignore_case": False}, [3]), ("/filetype c", {}, []), ("/filetype md /not Archive", {}, [5]), ("/in /missing report", {}, []),
-        ("/in /Docs", {}, [1, 2, 3, 4, 5, 6]), ("/filetype md /or report", {}, [3, 4, 5]), ("/regex report|notes", {}, [3, 4, 5]), ("docs", {"match_path": True}, [1, 2, 3, 4, 5, 6]),
-        ("r?sum?.txt", {}, [6]), ("type:file size:>15 modified:1970-01-01", {}, [4, 7]), ("notes|other", {"pattern_mode": True}, [5, 7]), ("in:/docs", {"ignore_case": False}, []),
-        ("filetype:pdf,md NOT name:other", {}, [3, 5]), ("/in /Docs /in /Docs/Archive", {}, [2, 4]), ("regex:[[:digit:]]", {}, []),
+        ("", {}, [r[0] for r in ROWS]), ("part", {}, [20, 21, 23, 25]), ("part", {"whole_word": True}, [23]), ("parts", {"whole_word": True}, [20, 21]), ("part*", {"whole_word": True}, [20, 21, 23]),
+        ("Parts", {"ignore_case": False}, [20]), ("*.csv", {}, [20, 23]), ("part?7*", {}, [23]), ("île", {}, [22]), ("ÎLE", {}, [22]), ("ÎLE", {"ignore_case": False}, []),
+        (r"path:asia\nation", {}, [12, 23, 24]), ("asia csv", {"match_path": True}, [23]), ("asia/*/part*", {"match_path": True}, []), ("*asia/*part*", {"match_path": True}, [23]),
+        ("in:/asia", {}, [11, 12, 22, 23, 24]), ("in:/asia", {"ignore_case": False}, []), ("in:/Asi", {}, []), ("in:/", {"ignore_case": False}, [r[0] for r in ROWS]),
+        ("ext:csv,map", {}, [20, 22, 23]), ("ext:gz", {}, [21]), ("ext:readme", {}, []), ("type:folder", {}, [0, 10, 11, 12]), ("size:1200", {}, [20, 23]), ("size:<1kb type:file", {}, [21, 22, 24]),
+        ("modified:1970-01-01 type:file", {}, FILES), ("NOT ext:csv type:file", {}, [21, 22, 24, 25]), ("ext:csv XOR parts", {}, [21, 23, 25]), ("in:/EUROPE OR size:1", {}, [10, 20, 21, 24]),
+        ("in:/Asia (ext:map OR part) NOT in:/Asia/Nation_9", {}, [22]), ("/in /Asia /in /Asia/Nation_9", {}, [12, 23, 24]), ("/in /Africa part", {}, []), ("/not europe part", {}, [23, 25]),
+        ("/filetype csv parts /or part_", {}, [20, 23]), ("/filetype map /or readme", {}, [22, 24]), ("/type file /size >=1200 /filetype csv", {}, [20, 23]), ("/regex ^part[^s]", {}, [23]),
+        ("[ds]-old|^readme$", {"pattern_mode": True}, [21, 24]), ("regex:^PART", {"ignore_case": False}, []), ("rx:[[:digit:]]", {}, [12, 23]), (r"regex:\.csv$", {}, [20, 23]),
+        (r"rx:\x50arts", {}, [20, 21, 25]), (r'rx:"\QParts L\E"', {}, [20]), ("rx:/asia/n", {"match_path": True}, [12, 23, 24]),
     ],
 )
 def test_matches(files, text, options, ids):
-    assert sorted(r.id for r in matches(files, Request(text, **options)).select("id").collect()) == ids
+    assert sorted(r.id for r in matches(files, Request(text, **options)).select("id").collect()) == sorted(ids)
 
 
-def test_paths_and_counts(files):
-    assert {r.id: r.path for r in files.collect()}[4] == "/Docs/Archive/reportold.txt"
-    assert forest.counts(files).first().asDict() == {"live": 8, "deleted": 0, "folders": 3, "bytes": 87}
-    assert forest.needs_compaction(0, 100_000) and not forest.needs_compaction(10, 5)
+def test_paths_and_counts(files, spark):
+    assert {r.id: (r.path, r.depth) for r in files.collect()}[23] == ("/Asia/Nation_9/part_7.csv", 3)
+    assert forest.counts(files).first().asDict() == {"live": 10, "deleted": 0, "folders": 4, "bytes": 11_746}
+    assert forest.needs_compaction(900_000, 100_000) and not forest.needs_compaction(900_001, 99_999) and not forest.needs_compaction(2_000_000, 200_000)
+    paths = spark.createDataFrame([("/Asia/Nation_9",), ("/asia",), ("/Asia/none",), ("/",)], "path string")
+    assert {tuple(r) for r in reconcile.resolve(files, paths).collect()} == {("/Asia/Nation_9", 12), ("/", 0)}
+    assert {r.id for r in reconcile.children(files, 11).collect()} == {12, 22} and [r.id for r in reconcile.children(files, 12, "README").collect()] == [24] and reconcile.children(files, 12, "readme").count() == 0
 
 
 @pytest.mark.parametrize("key", ["name", "path", "size", "mtime", "kind"])
@@ -46,54 +59,96 @@ def test_orders_turn_round_whole(files, key):
 
 
 def test_kind_order(files):
-    assert [r.id for r in search(files, Request("", sort="kind")).collect()] == [0, 2, 1, 5, 7, 3, 4, 6]
+    assert [r.id for r in search(files, Request("", sort="kind")).collect()] == [0, 11, 10, 12, 24, 23, 20, 21, 22, 25]
+
+
+def test_natural_order_of_numbers_of_any_length(spark):
+    from grovesift.functions.text import natural_key
+
+    rng = random.Random(4)
+    numbers = [0, 7, 9, 10, 99, 100, 10**19, 10**20, 10**24, 5 * 10**24, 10**25, 10**120, *(rng.randrange(10 ** rng.randint(1, 40)) for _ in range(60))]
+    names = spark.createDataFrame([(str(n), f"/Part-{'0' * (k % 3)}{n}.x") for k, n in enumerate(numbers)], "n string, name string")
+    got = [int(r.n) for r in names.orderBy(natural_key(F.col("name"))).collect()]
+    assert got == sorted(numbers)
 
 
 def test_answers(files):
-    assert respond(files, Request("type:file", limit=5))["truncated"] is False
+    assert respond(files, Request("type:file", limit=6))["truncated"] is False
     answer = respond(files, Request("type:file limit:4"))
     assert answer["truncated"] is True and answer["returnedCount"] == 4
+    assert search_or_nothing(files, Request("part OR")).collect() == [] and search_or_nothing(files, Request("part")).count() == 4
 
 
 def test_top_k_is_pushed_into_tasks(files):
-    plan = search(files, Request("report"))._jdf.queryExecution().executedPlan().toString()
+    plan = search(files, Request("part"))._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "BatchEvalPython" not in plan
 
 
 def test_name_tests_reach_the_scan(files, spark, tmp_path):
     files.write.parquet(str(tmp_path / "f"))
-    plan = matches(spark.read.parquet(str(tmp_path / "f")), Request("report size:>5")).select("id")._jdf.queryExecution().executedPlan().toString()
-    assert "StringContains(name_fold,report)" in plan and "GreaterThanOrEqual(size,6)" in plan
+    plan = matches(spark.read.parquet(str(tmp_path / "f")), Request("part size:>5")).select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "StringContains(name_fold,part)" in plan and "GreaterThanOrEqual(size,6)" in plan
 
 
 def test_patterns_test_their_plain_part_first(files, spark, tmp_path):
     files.write.parquet(str(tmp_path / "f"))
     plan = lambda q: matches(spark.read.parquet(str(tmp_path / "f")), Request(q)).select("id")._jdf.queryExecution().executedPlan().toString()
-    assert "StringContains(name_fold,.pdf)" in plan(r"regex:\.PDF$") and "StringContains" not in plan("regex:notes")
+    assert "StringContains(name_fold,.gz)" in plan(r"regex:\.GZ$") and "StringContains" not in plan("regex:parts") and "StringContains" not in plan("regex:read|part")
+
+
+def test_letters_that_fold_from_afar(spark):
+    """All code points beyond ASCII, against every letter."""
+    letters = [chr(c) for c in range(97, 123)]
+    beyond = spark.range(128, 0x110000).filter("not id between 55296 and 57343").select(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("c"))
+    found = beyond.filter(F.col("c").rlike("(?iu)[a-z]")).collect()
+    assert {letter for r in found for letter in letters if spark.range(1).select(F.lit(r.c).rlike(f"(?iu){letter}").alias("y")).first().y} == FOLDED_FROM_AFAR
+    assert "ı" in {r.c for r in found}
+
+
+def test_the_plain_part_of_a_pattern_changes_no_answer(spark):
+    rng = random.Random(11)
+    parts = ["abc", "Liman", "x1", "\\.", ".", "a?", "b+", "c*", "[a-c]", "[^x]", "[[:alpha:]]", "\\d", "\\w+", "\\x41", "\\Qab\\E", "(ab)", "(?:b)", "^", "$", "d{2}", "e{0}", "\\-", "\\b", "\\p{L}", "[a[bc]]", "[]a]", "\\cA", "li", "\\u0061", "k"]
+    names = ["Liman.txt", "lıman", "LİMAN.x", "abc", "Abcd", "xx1abc", "41bcd", "a.b-c", "ddabc", "Kabc", "e", "aab", "Qab", "]abc", "x41", "\x01abc", "abıc"]
+    names += ["".join(rng.choice(["a", "b", "c", "d", "x1", "Li", "man", ".", "-", "A", "41", "ı"]) for _ in range(rng.randint(0, 9))) for _ in range(120)]
+    rows = forest.with_folds(spark.createDataFrame([(k, n, "/" + n) for k, n in enumerate(names)], "id long, name string, path string").withColumn("is_live", F.lit(True))).cache()
+    tried, literal = 0, 0
+    for _ in range(90):
+        pattern = "".join(rng.choice(parts) for _ in range(rng.randint(1, 5)))
+        try:
+            request = Request(f'regex:"{pattern}"', ignore_case=rng.random() < 0.6)
+            tree = request.plan.tree
+        except ValueError:
+            continue
+        literal += required_literal(tree.regex) is not None
+        want = {r.id for r in rows.filter(F.col("name").rlike(("(?iu)" if request.ignore_case else "") + tree.regex)).select("id").collect()}
+        assert {r.id for r in matches(rows, request).select("id").collect()} == want, pattern
+        tried += 1
+    assert tried > 60 and literal > 15
 
 
 def test_compaction_and_orphans(files):
-    from pyspark.sql import functions as F
+    out = forest.compacted(files.withColumn("is_live", F.col("id") != 11)).orderBy("id").collect()
+    assert [(r.id, r.parent, r.path) for r in out] == [(0, None, "/"), (1, 0, "/EUROPE"), (2, 1, "/EUROPE/Parts List.CSV"), (3, 1, "/EUROPE/parts-old.csv.gz"), (4, 0, "/counterparts.txt")]
+    assert forest.counts(files.withColumn("is_live", F.col("id") != 25)).first().asDict() == {"live": 9, "deleted": 1, "folders": 4, "bytes": 2746}
 
-    out = forest.compacted(files.withColumn("is_live", F.col("id") != 1)).orderBy("id").collect()
-    assert [(r.id, r.parent, r.path) for r in out] == [(0, None, "/"), (1, 0, "/other.pdf")]
 
+def test_trigram_index(files):
+    index = postings(files.filter("id < 23"))
+    index = appended(index, files, 23)
+    assert sorted(r.id for r in lookup(files, index, "PARTS").collect()) == [20, 21, 25]
+    assert candidates(index, "pa") is None and candidates(index, "île") is None
+    assert sorted(r.id for r in lookup(files.withColumn("is_live", F.col("id") != 25), index, "parts").collect()) == [20, 21]
+    assert index_bytes(index).first().bytes == 11 * index.count() and index_bytes(index.limit(0)).first().bytes == 0
 
-def test_trigram_index(files, spark):
-    from pyspark.sql import functions as F
 
-    index = postings(files.filter("id < 4"))
-    index = appended(index, files, 4)
-    assert sorted(r.id for r in lookup(files, index, "REPORT").collect()) == [3, 4]
-    assert candidates(index, "re") is None and candidates(index, "résumé") is None
-    assert sorted(r.id for r in lookup(files.withColumn("is_live", F.col("id") != 4), index, "report").collect()) == [3]
-
-
-@pytest.mark.parametrize(("pattern", "literal"), [("^report", "report"), ("a|report", None), ("repo?rt", "rep"), (r"\.swift$", ".swift"), ("[abc]", None), ("(?i)abc", None), ("abcd+ef", "abcd"), ("abc*", None), (r"\d+abc", "abc")])
+@pytest.mark.parametrize(
+    ("pattern", "literal"),
+    [("order", "order"), ("order|f", None), ("orders?-f", "order"), (r"\.csv\b", ".csv"), ("[order]", None), ("(?i)order", None), ("ordder+x", "ordder"), ("ord*er", None), (r"\d+order", "order"), (r"\x41order", None), (r"\cAorder", None), (r"\Qorder\E", None), ("(order)f", None), ("ab[a-c]order", "order"), ("[a[bc]]order", None), ("a{3}order", "order"), ("order{2}", "orde")],
+)
 def test_required_literal(pattern, literal):
     assert required_literal(pattern) == literal
 
 
 def test_empty_table(files):
-    assert search(files.limit(0), Request("report")).collect() == []
+    assert search(files.limit(0), Request("part")).collect() == []
     assert forest.counts(files.limit(0)).first().bytes == 0
