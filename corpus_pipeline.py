@@ -2,6 +2,11 @@
 
 Each stage gets what the stage before it kept. Stages 1 to 4 return the columns of ``documents``; the last one
 returns doc_id, lang, source, n_tokens, ids, and whether decoding gives the text back.
+
+Defined results: only doc_id and text are needed, and all other columns pass through; of lang and source, the last stage
+gives those that there are. Without labelled rows no language is learned, and nothing is rejected; otherwise null texts
+and those without letters are. Documents without an id stay in ``near_dedup``, rows that share an id and aren't
+similar too, repeated rows become one. Null texts hold no items and no secrets, and have no ids. Empty tables go through.
 """
 
 from __future__ import annotations
@@ -11,12 +16,17 @@ from pyspark.sql import functions as F
 
 from grovesift.llm import bpe, decontam, langid, neardup, secrets
 from grovesift.llm.common import materialize, small_batches, table, tokenizer_path
+from grovesift.scratch import drop
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language is rejected; fills missing languages in."""
     small_batches(spark)
-    named = docs.withColumn("_grovesift_p", langid.prediction(F.col("text"), langid.fit(docs))).filter(~F.col("_grovesift_p")["rejected"])
+    docs = docs if "lang" in docs.columns else docs.withColumn("lang", F.lit(None).cast("string"))
+    model = langid.fit(docs)
+    if not model.langs:
+        return docs
+    named = docs.withColumn("_grovesift_p", langid.prediction(F.col("text"), model)).filter(~F.col("_grovesift_p")["rejected"])
     return named.withColumn("lang", F.coalesce("lang", F.col("_grovesift_p")["lang_pred"])).select(*docs.columns)
 
 
@@ -59,10 +69,10 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text."""
     small_batches(spark)
-    path = tokenizer_path()
-    ids = docs.select("doc_id", "lang", "source", "text", bpe.encode(F.col("text"), path).alias("ids"))
+    path, named = tokenizer_path(), [c for c in ("lang", "source") if c in docs.columns]
+    ids = docs.select("doc_id", *named, "text", bpe.encode(F.col("text"), path).alias("ids"))
     back = ids.withColumn("round_trip", bpe.decode(F.col("ids"), path) == F.coalesce("text", F.lit("")))
-    return back.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
+    return back.select("doc_id", *named, F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES = [
@@ -77,7 +87,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        drop(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

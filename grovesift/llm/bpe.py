@@ -37,7 +37,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Pre-tokens whose ids are kept, at most, and the longest that is.
 CACHED, CACHED_LENGTH = 300_000, 64
 NEVER = 1 << 40
-#: Pre-tokens of more bytes are merged one by one.
+#: Pre-tokens of more bytes are cut one by one, and verified together.
 WIDE = 32
 OTHER, LETTER, NUMBER, SPACE, BREAK = range(5)
 _class: list[np.ndarray] = []
@@ -144,6 +144,7 @@ class Tokenizer:
         steps = steps[np.argsort(steps[:, 0])]
         self.step_keys, self.step_nodes = steps[:, 0].copy(), steps[:, 1].copy()
         self.node_token = np.array([self.guess.get(b, -1) for b in nodes], np.int64)
+        self.longest = max(map(len, self.guess), default=0)
         self.single = np.array([self.id[bytes([b])] for b in range(256)])
         self.lengths = np.array([len(b) for b in self.bytes])
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])
@@ -244,6 +245,17 @@ class Tokenizer:
             row, at, node, token, upto = row[left], at[left], node[left], token[left], upto[left]
         return out, counts
 
+    def greedy(self, word: bytes) -> list[int]:
+        """The longest guessable token at each place of one pre-token."""
+        out, at, guess = [], 0, self.guess
+        while at < len(word):
+            n = min(self.longest, len(word) - at)
+            while n > 1 and word[at : at + n] not in guess:
+                n -= 1
+            out.append(guess[word[at : at + n]])
+            at += n
+        return out
+
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether BPE keeps the border between neighbouring tokens a and b, for many pairs."""
         last = np.iinfo(np.int64).max
@@ -285,10 +297,18 @@ class Tokenizer:
                 ids[wrong], n[wrong] = self.exact_all(letters[wrong], lengths[wrong])
                 counts[some] = n
                 parts.append((some, n, ids[np.arange(high) < n[:, None]]))
-        for k in np.flatnonzero(sizes > WIDE):
-            ids = np.array(self.exact(raw[k]), np.int64)
-            counts[k] = len(ids)
-            parts.append((np.array([k]), counts[k : k + 1], ids))
+        wide = np.flatnonzero(sizes > WIDE)
+        if len(wide):
+            guesses = [np.array(self.greedy(raw[k]), np.int64) for k in wide]
+            ids, n = np.concatenate(guesses), np.fromiter(map(len, guesses), np.int64, len(wide))
+            owner = np.repeat(np.arange(len(wide)), n)
+            pair = np.flatnonzero(owner[1:] == owner[:-1])
+            each, back = np.unique(ids[pair] << 32 | ids[pair + 1], return_inverse=True)
+            for w in np.unique(owner[pair][~self.compatible(each >> 32, each & 0xFFFFFFFF)[back]]).tolist():
+                guesses[w] = np.array(self.exact(raw[wide[w]]), np.int64)
+            n = np.fromiter(map(len, guesses), np.int64, len(wide))
+            counts[wide] = n
+            parts.append((wide, n, np.concatenate(guesses)))
         starts = np.cumsum(counts) - counts
         flat = np.zeros(int(counts.sum()), np.int64)
         for some, n, ids in parts:

@@ -8,15 +8,14 @@ hash of every word in a buffer at once. All arithmetic is modulo 2**64; words ha
 from __future__ import annotations
 
 import gc
-import os
-import tempfile
 import time
-import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import drop, written
+
 #: White space of the word rule ``[^\x20\x09-\x0D]+``.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -30,7 +29,10 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Sets Arrow batches to 1,000 rows: texts are long, and a batch exists several times over in the JVM and in Python."""
+    """Sets Arrow batches to 1,000 rows: texts are long, and a batch exists several times over in the JVM and in Python.
+
+    Plans read the setting when they run, so it stays: it is one of the session that runs them.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
@@ -39,27 +41,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder for written intermediate tables: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = f"file://{tempfile.gettempdir()}/grovesift-{os.getuid()}"
-    return f"{shared}/tables"
-
-
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back, which cuts its lineage at a copy that outlives executors."""
-    path = f"{scratch(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_table(df: DataFrame) -> None:
-    """Deletes the files behind a :func:`materialize` result that nothing reads any more."""
-    spark = df.sparkSession
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    return written(df, tag, "zstd")
 
 
 def release(spark: SparkSession, *tables: DataFrame) -> None:
@@ -68,8 +52,7 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
     Spark drops a shuffle's files once the driver's garbage collector has found that no plan refers to it; on a
     driver with little to do that may be long after the job.
     """
-    for t in tables:
-        drop_table(t)
+    drop(*tables)
     for _ in range(2):  # Python's handles go first, then what they held in the JVM
         gc.collect()
         spark.sparkContext._jvm.System.gc()

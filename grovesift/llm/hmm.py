@@ -1,18 +1,20 @@
 r"""Language-model scoring with a hidden Markov model over word classes.
 
-Tokens are the words ``[^\x20\x09-\x0D]+`` of a text with A-Z lower-cased, then one end mark. The ``OWN`` most
-frequent tokens are classes of their own; all others fall into ``SHARED`` classes by their hash. A latent state
+Tokens are the words ``[^\x20\x09-\x0D]+`` of a text with A-Z lower-cased, then one end mark. The most frequent
+tokens are classes of their own: one in ``PER_OWN`` of the vocabulary, ``OWN`` at least and ``MOST_OWN`` at most (a bound of
+the model's memory). All others fall into ``SHARED`` classes by their hash. A latent state
 emits a class, and a class emits a token with the probability (c + 0.1) / (N + 0.1 (V + 1)) over the counts of
 the training corpus within the class; a class of its own emits its token with certainty. So every token, seen
 or not, has a probability, and those of a class add up to one.
 
-Training: token counts over the whole training corpus; first states from a bounded sample; then ``ROUNDS``
-rounds of Baum-Welch over the whole training corpus, whose expected counts are added up across partitions.
+Training: token counts over the whole training corpus; first states from a bounded sample; then rounds of
+Baum-Welch over the whole training corpus, whose expected counts are added up across partitions, until the
+log-likelihood of a token gains less than ``SETTLED`` of itself, ``ROUNDS`` at most.
 For training, texts are cut into runs of ``RUN`` tokens, so that many go through the recursion side by side.
 Scoring runs the scaled forward recursion over each whole text.
 
-Counts live in a written table. Those of the ``KNOWN`` most frequent tokens go to every worker, which is a fixed
-bound; the others are joined to the documents' rare tokens.
+Counts live in a written table. Those of the most frequent tokens, ``KNOWN`` at most, go to every worker; the others are
+joined to the documents' rare tokens. Which way a count takes doesn't change a score.
 
 Defined results: a null or empty text is the end mark alone; repeated rows are counted and scored each; rows of
 a null id are learned from; without training rows the score is that of one uniform class; other columns are
@@ -29,10 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, blocks, bounded_sample, drop_table, fold, materialize, words_of
+from .common import binary, blocks, bounded_sample, fold, materialize, words_of
 
-STATES, OWN, SHARED, KNOWN = 8, 4096, 1024, 131_072
-RUN, ROUNDS, SAMPLE_ROWS, SAMPLE_ROUNDS = 128, 2, 1200, 12
+STATES, SHARED, KNOWN = 8, 1024, 131_072
+OWN, PER_OWN, MOST_OWN = 4096, 64, 65_536
+RUN, SAMPLE_ROWS, SAMPLE_ROUNDS = 128, 1200, 12
+ROUNDS, SETTLED = 6, 0.002
 ADD = 0.1
 END = np.uint64(0xE9D0F1A52C3B4D67)
 #: Bytes of text that are hashed, or scored side by side, at once.
@@ -114,8 +118,11 @@ class Model:
         emit = counts[2 * k + k * k :].reshape(-1, k) + 50 * prior[:, None]
         return Model(start / start.sum(), inner / inner.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
-    def expected(self, classes: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        """Baum-Welch: expected counts of first states, of run starts, of moves and of emissions, in one vector."""
+    def expected(self, classes: np.ndarray, begin: np.ndarray, likelihood: list[float] | None = None) -> np.ndarray:
+        """Baum-Welch: expected counts of first states, of run starts, of moves and of emissions, in one vector.
+
+        ``likelihood`` gets the log10-likelihoods of parts of what was seen.
+        """
         k = STATES
         out = np.zeros(2 * k + k * k + self.emit.size)
         moves = np.zeros((k, k))
@@ -135,7 +142,10 @@ class Model:
                 e = self.emit[classes[a[: live[t]] + t]]
                 p = np.where(inside[:, None], self.inner, self.start) if t == 0 else alpha[-1][: live[t]] @ self.move
                 p = p * e
-                alpha.append(p / p.sum(1, keepdims=True))
+                s = p.sum(1, keepdims=True)
+                if likelihood is not None:
+                    likelihood.append(float(np.log10(s).sum()))
+                alpha.append(p / s)
             later, index, weight = None, [], []
             for t in range(steps - 1, -1, -1):
                 seen = classes[a[: live[t]] + t]
@@ -225,7 +235,7 @@ def count_tokens(training: DataFrame) -> DataFrame:
 
 
 def lexicon(counts: DataFrame) -> Lexicon:
-    """Reads the bounded parts of a table of counts: ``KNOWN`` tokens at most, and sums by class."""
+    """Reads the bounded parts of a table of counts: frequent tokens, those of classes of their own among them, and sums by class."""
     level = F.floor(F.log2("c") * 16)
     by_level = {r[0]: r for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.sum("c").alias("c")).collect()}
     least, held = None, 0
@@ -234,12 +244,16 @@ def lexicon(counts: DataFrame) -> Lexicon:
         if held > KNOWN:
             break
         least = k
-    top = counts.filter(level >= least).toPandas() if least is not None else pd.DataFrame({"h": np.zeros(0, np.int64), "c": np.zeros(0, np.int64)})
+    total, distinct = int(sum(r["c"] for r in by_level.values())), int(sum(r["n"] for r in by_level.values()))
+    n_own = min(max(OWN, distinct // PER_OWN), MOST_OWN)
+    most = counts.orderBy(F.desc("c"), "h").limit(n_own)
+    top = most if least is None else counts.filter(level >= least).union(most).distinct()
+    top = top.toPandas()
     h, c = top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
     order = np.argsort(h)
     h, c = h[order], c[order]
     own = np.full(len(h), -1, np.int64)
-    first = np.lexsort((h, -c))[:OWN]
+    first = np.lexsort((h.view(np.int64), -c))[:n_own]
     own[first] = np.arange(len(first))
     n = np.zeros(SHARED)
     v = np.zeros(SHARED)
@@ -248,14 +262,14 @@ def lexicon(counts: DataFrame) -> Lexicon:
         n[r["kind"]], v[r["kind"]] = r["n"], r["v"]
     np.subtract.at(n, (h[first] >> np.uint64(40)).astype(np.int64) % SHARED, c[first])
     np.subtract.at(v, (h[first] >> np.uint64(40)).astype(np.int64) % SHARED, 1)
-    own_counts = np.zeros(OWN)
+    own_counts = np.zeros(n_own)
     own_counts[: len(first)] = c[first]
     share = np.concatenate([own_counts, n]) + ADD
-    total, distinct = int(sum(r["c"] for r in by_level.values())), int(sum(r["n"] for r in by_level.values()))
     return Lexicon(h, c, own, total, distinct, np.log10(n + ADD * (v + 1)), share / share.sum())
 
 
-def fit(training: DataFrame, counts: DataFrame) -> tuple[Lexicon, Model]:
+def fit(training: DataFrame, counts: DataFrame, gains: list[float] | None = None) -> tuple[Lexicon, Model]:
+    """The lexicon and the trained model; ``gains`` gets the log10-likelihood of a training token before each round over the corpus."""
     spark = training.sparkSession
     lex = lexicon(counts)
     shared = spark.sparkContext.broadcast(lex)
@@ -273,23 +287,28 @@ def fit(training: DataFrame, counts: DataFrame) -> tuple[Lexicon, Model]:
     flat, begin = np.concatenate(sample), np.concatenate([[0], np.cumsum([len(x) for x in sample])])
     for _ in range(SAMPLE_ROUNDS):
         model = model.learned(model.expected(flat, begin), lex.prior)
+    gains = [] if gains is None else gains
     for _ in range(ROUNDS):
         now = spark.sparkContext.broadcast(model)
 
         def expect(batches, now=now):
-            total = None
+            total, likelihood = None, []
             for _, texts in _blocks(batches):
                 h, begin = tokens(texts)
-                part = now.value.expected(shared.value.classes(h, shared.value.find(h)), begin)
+                part = now.value.expected(shared.value.classes(h, shared.value.find(h)), begin, likelihood)
                 total = part if total is None else total + part
             if total is not None:
+                total = np.append(total, sum(likelihood))
                 slot = np.flatnonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(total[slot])], ["slot", "v"])
 
         found = training.select("text").mapInArrow(expect, "slot int, v double").groupBy("slot").agg(F.sum("v").alias("v")).toPandas()
-        expected = np.zeros(2 * STATES + STATES * STATES + model.emit.size)
+        expected = np.zeros(2 * STATES + STATES * STATES + model.emit.size + 1)
         expected[found["slot"].to_numpy()] = found["v"].to_numpy()
-        model = model.learned(expected, lex.prior)
+        model = model.learned(expected[:-1], lex.prior)
+        gains.append(float(expected[-1]) / max(lex.total, 1))
+        if len(gains) > 1 and gains[-1] - gains[-2] < SETTLED * abs(gains[-1]):
+            break
     return lex, model
 
 
@@ -349,5 +368,3 @@ def score(docs: DataFrame) -> DataFrame:
         (mass - F.col("n_tokens") * F.lit(lex.log_total)).alias("base_score"), (mass + F.col("model")).alias("score"),
     )
 
-
-__all__ = ["Lexicon", "Model", "count_tokens", "drop_table", "fit", "lexicon", "score", "tokens"]

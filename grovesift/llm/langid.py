@@ -113,8 +113,8 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(x: np.ndarray, y: list[str], epochs: int = 16, rate: float = 1.0, batch: int = 16, seed: int = 1) -> Model:
-    """Stochastic gradient descent on features ``x`` with labels ``y``; every eighth row calibrates."""
+def train(at: list[np.ndarray], share: list[np.ndarray], y: list[str], epochs: int = 16, rate: float = 1.0, batch: int = 16, seed: int = 1) -> Model:
+    """Stochastic gradient descent on rows of buckets and their shares, with labels ``y``; every eighth row calibrates."""
     langs = sorted(set(y))
     if not langs:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, REJECT)
@@ -131,18 +131,20 @@ def train(x: np.ndarray, y: list[str], epochs: int = 16, rate: float = 1.0, batc
             rows = order[i : i + batch]
             lr = rate * (1 - step / steps)
             step += 1
-            xb = x[rows]
-            m = xb @ e
+            # The rows' buckets, each once, and their shares as a small dense table.
+            used, place = np.unique(np.concatenate([at[r] for r in rows]), return_inverse=True)
+            xb = np.zeros((len(rows), len(used)), np.float32)
+            xb[np.repeat(np.arange(len(rows)), [len(at[r]) for r in rows]), place] = np.concatenate([share[r] for r in rows])
+            m = xb @ e[used]
             g = softmax(m @ w + b).astype(np.float32)
             g[np.arange(len(rows)), label[rows]] -= 1
             back = g @ w.T
             w -= lr * (m.T @ g)
             b -= lr * 0.1 * g.sum(axis=0)
-            used = np.flatnonzero(xb.any(axis=0))
-            e[used] -= lr * (xb[:, used].T @ back)
+            e[used] -= lr * (xb.T @ back)
     table = (e @ w).astype(np.float32)
     rows = np.flatnonzero(apart) if apart.any() else learn
-    z, t = (x[rows] @ table + b).astype(np.float64), label[rows]
+    z, t = np.array([share[r] @ table[at[r]] + b for r in rows], np.float64), label[rows]
     losses = {k: -np.log(np.maximum(softmax(z / k)[np.arange(len(t)), t], 1e-12)).mean() for k in (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0)}
     temperature = min(losses, key=losses.get)
     sure = np.sort(softmax(z / temperature).max(axis=1))
@@ -168,21 +170,18 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
                 yield out
 
     found = bounded_sample(labelled, rows).mapInPandas(count, "lang string, at array<smallint>, share array<float>").toPandas()
-    x = np.zeros((len(found), BUCKETS), np.float32)
-    for i, (at, share) in enumerate(zip(found["at"], found["share"], strict=True)):
-        x[i, np.asarray(at, np.int64)] = share
-    return train(x, list(found["lang"]))
+    return train([np.asarray(a, np.int64) for a in found["at"]], [np.asarray(v, np.float32) for v in found["share"]], list(found["lang"]))
 
 
 def prediction(text: Column, model: Model) -> Column:
-    """struct(lang_pred, score, rejected) of a text column."""
+    """struct(lang_pred, score, rejected) of a text column. A filter on it stays behind it, so that each text is predicted once."""
     @F.arrow_udf("struct<lang_pred:string,score:double,rejected:boolean>")
     def predict(texts: pa.Array) -> pa.Array:
         lang, score = model.predict(texts.to_pylist())
         rejected = [k == "und" or s < model.reject for k, s in zip(lang, score, strict=True)]
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], ["lang_pred", "score", "rejected"])
 
-    return predict(text)
+    return predict.asNondeterministic()(text)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -19,13 +19,14 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEAF = re.compile(r"[^\n.!?;|,]{1,32}[^\s.!?;|,]{0,32}[\n.!?;|,]*|[\n.!?;|,]+")
-#: Documents in a range of ids, and ranges, at most.
-RANGE_ROWS, RANGES = 2000, 4096
+#: Bytes of text in a range of ids, and sampled ids for each range.
+RANGE_BYTES, SAMPLED = 1 << 23, 32
 
 
 def fingerprint(text: str) -> str:
@@ -107,41 +108,68 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - k] + after[:k]
 
 
+def borders_of(docs: DataFrame) -> list[int]:
+    """The first ids of ranges of about ``RANGE_BYTES`` of text, largest first; from a sample of ids and sizes."""
+    size = F.octet_length("text").cast("long")
+    n, total = docs.filter(F.col("doc_id").isNotNull()).agg(F.count("*"), F.sum(size)).first()
+    ranges = (total or 0) // RANGE_BYTES + 1
+    if ranges < 2:
+        return []
+    share = min(1.0, SAMPLED * ranges / n)
+    chosen = F.xxhash64("doc_id", F.lit(17)).bitwiseAND(F.lit((1 << 30) - 1)) < int(share * (1 << 30))
+    sample = docs.filter(F.col("doc_id").isNotNull() & chosen).select("doc_id", size.alias("size")).toPandas().sort_values("doc_id", ascending=False)
+    upto = sample["size"].cumsum().to_numpy()
+    at = np.searchsorted(upto, np.arange(1, ranges) * (upto[-1] / ranges)) if len(upto) else []
+    return sorted({int(x) for x in sample["doc_id"].to_numpy()[at]}, reverse=True)
+
+
 def in_ranges(docs: DataFrame) -> DataFrame:
     """(part, last, doc_id, text): ranges of descending ids, sorted, and after each range the first row of the next.
 
-    The row after the last range is the very first. Only range borders and range heads (``RANGES`` at most) pass
-    through the driver; texts are shuffled once.
+    The row after the last range is the very first. Only sampled ids and the largest id of each range pass through the
+    driver; texts are shuffled once, each range to a partition of its own.
     """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    n = docs.count()
-    ranges = max(1, min(RANGES, n // RANGE_ROWS))
-    borders = []
-    if ranges > 1:
-        at = [i / ranges for i in range(1, ranges)]
-        found = docs.agg(F.percentile_approx("doc_id", at, 10_000)).first()[0] or []
-        borders = sorted(set(found), reverse=True)
-    # Ids at or above the first border are in range 0, and so on; below the last one, and nulls, in the last.
-    part = F.size(F.filter(F.array(*[F.lit(b) for b in borders]), lambda b: F.coalesce(F.col("doc_id") < b, F.lit(True)))) if borders else F.lit(0)
-    ranged = docs.withColumn("part", part.cast("int"))
-    heads = [tuple(r) for r in ranged.groupBy("part").agg(F.max("doc_id").alias("head")).orderBy("part").collect()]
-    goes = [(head, heads[k - 1][0]) for k, (_, head) in enumerate(heads)]
-    put = F.lit(None).cast("int")
-    first = docs.filter(F.lit(False))
-    if goes:
-        known = [h for h, _ in goes if h is not None]
-        chosen = F.col("doc_id").isin(known) if known else F.lit(False)
-        if len(known) < len(goes):
-            chosen = chosen | F.col("doc_id").isNull()
-        first = docs.filter(chosen).groupBy("doc_id").agg(F.min("text").alias("text"))
-        to = {h: p for h, p in goes}
-        if known:
-            put = F.element_at(F.create_map(*[x for h in known for x in (F.lit(h), F.lit(to[h]))]), F.col("doc_id"))
-        if None in to:
-            put = F.when(F.col("doc_id").isNull(), F.lit(to[None])).otherwise(put)
-    ahead = first.select(put.cast("int").alias("part"), F.lit(1).alias("last"), "doc_id", "text")
-    every = ranged.select("part", F.lit(0).alias("last"), "doc_id", "text").unionByName(ahead)
-    return every.repartition(max(1, len(heads)), "part").sortWithinPartitions("part", "last", F.desc_nulls_last("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    # A border is the smallest id of its range; ids below the last one, and nulls, are in the last range.
+    rising = np.array(borders_of(docs)[::-1], np.int64)
+    places = len(rising) + 1
+
+    def place(ids: np.ndarray) -> np.ndarray:
+        return len(rising) - np.searchsorted(rising, ids, "right")
+
+    @F.arrow_udf("int")
+    def part_of(ids: pa.Array) -> pa.Array:
+        there = ids.is_valid().to_numpy(zero_copy_only=False)
+        return pa.array(np.where(there, place(ids.fill_null(0).to_numpy()), places - 1).astype(np.int32))
+
+    found = docs.select("doc_id", part_of("doc_id").alias("part")).groupBy("part").agg(F.max("doc_id").alias("head")).orderBy("part").collect()
+    heads = [r["head"] for r in found]
+    parts = np.array([r["part"] for r in found], np.int64)
+    # The head of each range that has rows goes to the range before it, too; that of the first to the last.
+    known = np.array(sorted(h for h in heads if h is not None), np.int64)
+    before = {h: int(parts[k - 1]) for k, h in enumerate(heads)}
+    goes = np.array([before[h] for h in known.tolist()], np.int64)
+
+    @F.arrow_udf("array<struct<part:int,last:int>>")
+    def places_of(ids: pa.Array) -> pa.Array:
+        there = ids.is_valid().to_numpy(zero_copy_only=False)
+        x = ids.fill_null(0).to_numpy()
+        own = np.where(there, place(x), places - 1)
+        k = np.minimum(np.searchsorted(known, x), max(len(known) - 1, 0))
+        head = there & (known[k] == x) if len(known) else np.zeros(len(x), bool)
+        to = goes[k] if len(known) else own
+        if None in before:
+            head, to = head | ~there, np.where(there, to, before[None])
+        each = 1 + head.astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(each)])
+        part, last = np.empty(ends[-1], np.int32), np.zeros(ends[-1], np.int32)
+        part[ends[:-1]] = own
+        part[ends[1:][head] - 1], last[ends[1:][head] - 1] = to[head], 1
+        rows = pa.StructArray.from_arrays([pa.array(part), pa.array(last)], ["part", "last"])
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), rows)
+
+    every = docs.select(F.explode(places_of("doc_id")).alias("p"), "doc_id", "text").select("p.part", "p.last", "doc_id", "text")
+    return every.repartitionById(places, "part").sortWithinPartitions("part", "last", F.desc_nulls_last("doc_id"), "text")
 
 
 def compare_with_next(docs: DataFrame) -> DataFrame:

@@ -5,18 +5,20 @@ of ``BANDS * ROWS`` buckets the least hash of the set is kept as one byte: its c
 and the bits behind the leading one (3). Bands of ``ROWS`` registers are the keys under which candidates meet.
 A pair of similarity 0.75 shares no band with a probability of (1 - 0.75**6)**64, under 4 in a million.
 
-1. Equal sets are one class, represented by its smallest id; only representatives go on.
+1. Equal sets, by a cryptographic digest of the full set, are one class, represented by its smallest id; only
+   representatives go on.
 2. In each bucket every member is a candidate of the smallest one (a star, not all pairs). Candidates whose
    Jaccard estimate, corrected for registers that agree by chance, is clearly too low are dropped; the full sets
    of the others are compared.
 3. Connected components of these links.
-4. Buckets that still hold several components are compared whole, on the full sets, in blocks of ``BLOCK`` rows
-   by ``BLOCK`` rows, as products of incidence matrices; of the links found, a spanning forest goes on. So no
-   link between members of a bucket is lost, and no list of pairs is ever made.
+4. Buckets that still hold several components are compared on, on the full sets, in blocks of ``BLOCK`` rows
+   by ``BLOCK`` rows, as products of incidence matrices; of the links found, a spanning forest goes on. Blocks are made
+   by set size, and meet only where sizes allow a link; the members of a bucket's largest component meet the others but
+   not each other. So no link between members of a bucket is lost, and no list of pairs is ever made.
 5. Components again, over the links of both rounds.
 
-Full sets are made for members of buckets only; a bit map of hashed ids, of a bounded size, tells the scan which
-texts these are.
+Full sets are made for members of buckets only: texts meet these ids in a join, for which a small list of ids is
+broadcast. Only a bucket with very many members that are alike, but under the threshold, costs the square of their number.
 
 Defined results: a null or empty text has an empty set and is its own component; rows that share an id are one
 document to its links (each row's set is tested), and repeated rows keep their rows; a row of a null id is
@@ -25,12 +27,16 @@ linked with nothing, its component is null and it is kept; an empty table gives
 
 from __future__ import annotations
 
+import hashlib
+import struct
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, blocks, drop_table, materialize, mix, shingles, words_of
+from ..scratch import drop
+from .common import binary, blocks, materialize, mix, shingles, words_of
 
 K, PERCENT = 5, 75
 ROWS, BANDS = 6, 64
@@ -38,8 +44,10 @@ SIZE = ROWS * BANDS
 #: Standard errors of the estimate by which a candidate may miss the threshold before it is dropped.
 SLACK = 5.5
 BLOCK = 512
-#: Bits of the map of wanted ids, at most.
-MAP_BITS = 1 << 26
+#: Wanted ids that are broadcast, at most; more meet the texts in a shuffled join.
+BROADCAST_IDS = 500_000
+#: Sets whose sizes differ by at most this factor (a trifle over 4/3) are in the same class of sizes or in neighbouring ones.
+CLASS = 4 / 3 * 1.0001
 _rng = np.random.default_rng(20)
 FACTOR = (_rng.integers(0, 1 << 32, SIZE, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 SHIFT = _rng.integers(0, 1 << 32, SIZE, dtype=np.uint64).astype(np.uint32)
@@ -100,14 +108,14 @@ def features(docs: DataFrame) -> DataFrame:
                 part = batch.slice(at, 2000)
                 ids, out = part.column(0).to_pylist(), ([], [], [], [])
                 for doc_id, s in zip(ids, sets_of(binary(part.column(1))), strict=True):
-                    f = (int(s.sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(mix(s + np.uint64(0x5851F42D4C957F2D)), initial=0)))
+                    f = struct.unpack("<qq", hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     r = None
                     if len(s) and doc_id is not None and doc_id < seen.get(f, 1 << 63):
                         if len(seen) > 200_000:
                             seen.clear()
                         seen[f] = doc_id
                         r = registers(s).tobytes()
-                    for column, v in zip(out, (len(s), f[0] - (1 << 64) * (f[0] >> 63), f[1] - (1 << 64) * (f[1] >> 63), r), strict=True):
+                    for column, v in zip(out, (len(s), *f, r), strict=True):
                         column.append(v)
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.binary())], ["doc_id", "n", "f1", "f2", "r"])
 
@@ -127,35 +135,19 @@ def bands(representatives: DataFrame) -> DataFrame:
     return representatives.select("id", "r").mapInArrow(make, "key long, id long")
 
 
-def wanted_map(ids: DataFrame, n: int) -> np.ndarray:
-    """A map of bits with that of ``pmod(xxhash64(id), bits)`` set for each id."""
-    bits = 1 << 16
-    while bits < min(16 * n, MAP_BITS):
-        bits *= 2
-    slot = F.pmod(F.xxhash64("id"), F.lit(bits))
-    words = ids.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))).alias("b")).toPandas()
-    out = np.zeros(bits // 64, np.int64)
-    out[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
-    return out
-
-
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, s): the sets, as bytes of sorted 64-bit hashes, of the documents whose ids are wanted (id, each once)."""
-    n = wanted.count()
-    shared = docs.sparkSession.sparkContext.broadcast(wanted_map(wanted, n))
+    few = wanted.count() <= BROADCAST_IDS
 
     def make(batches):
-        words = shared.value
         for batch in batches:
-            slot = batch.column(1).to_numpy() % (len(words) * 64)
-            hit = np.flatnonzero((words[slot >> 6] >> (slot & 63)) & 1)
-            for at in range(0, len(hit), 500):
-                part = batch.take(pa.array(hit[at : at + 500]))
-                made = [s.tobytes() for s in sets_of(binary(part.column(2)))]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(made, pa.binary())], ["id", "s"])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                made = [s.tobytes() for s in sets_of(binary(part.column(1)))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], ["id", "s"])
 
-    with_id = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long")).alias("h"), "text")
-    return with_id.mapInArrow(make, "id long, s binary").join(wanted, "id", "left_semi")
+    with_id = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), "text")
+    return with_id.join(F.broadcast(wanted) if few else wanted, "id", "left_semi").mapInArrow(make, "id long, s binary")
 
 
 def both_ends(edges: DataFrame, values: DataFrame, value: str) -> DataFrame:
@@ -240,15 +232,22 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, left: np
     return out
 
 
-def across(band: DataFrame, centers: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) between components that share a bucket: every pair of it is compared, block by block."""
-    named = band.join(centers.select("key", "members"), "key").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    named = materialize(named, "named")
-    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    rows = named.join(materialize(mixed, "mixed"), "key")
-    count = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id", F.lit(7)), count).cast("int")
-    placed = rows.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), count - 1))})
+def across(band: DataFrame, sizes: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between components that share a bucket of ``band`` (key, id): pairs that sizes allow are compared, block by block."""
+    named = band.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    named = materialize(named.join(sizes.select("id", "n"), "id").withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(CLASS))).cast("int")), "named")
+    held = named.groupBy("key", "label").agg(F.count("*").alias("held"))
+    mixed = held.groupBy("key").agg(F.max_by("label", F.struct("held", -F.col("label"))).alias("largest"), F.count("*").alias("components")).filter("components > 1")
+    rows = materialize(named.join(mixed.select("key", "largest"), "key").withColumn("side", (F.col("label") != F.col("largest")).cast("int")).drop("largest"), "mixed")
+    # The blocks of each bucket: for each class of sizes and side how many there are.
+    counts = rows.groupBy("key", "class", "side").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
+    blocks_ = counts.groupBy("key").agg(F.collect_list(F.struct("class", "side", "n_blocks")).alias("blocks"))
+    code = lambda kind, side, b: (kind * 2 + side).cast("long") * (1 << 32) + b
+    of_own = F.filter("blocks", lambda x: (x["class"] == F.col("class")) & (x["side"] == F.col("side")))[0]["n_blocks"]
+    own = code(F.col("class"), F.col("side"), F.pmod(F.xxhash64("id", F.lit(7)), of_own))
+    fits = F.filter("blocks", lambda x: (F.abs(x["class"] - F.col("class")) <= 1) & ((x["side"] == 1) | (F.col("side") == 1)))
+    others = F.flatten(F.transform(fits, lambda x: F.transform(F.sequence(F.lit(0), x["n_blocks"] - 1), lambda b: code(x["class"], x["side"], b))))
+    placed = rows.join(blocks_, "key").withColumns({"own": own}).withColumn("other", F.explode(others))
     placed = placed.select("id", "label", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") < F.col("other")).alias("left"))
 
     def compare(group: pa.Table) -> pa.Table:
@@ -258,7 +257,9 @@ def across(band: DataFrame, centers: DataFrame, labels: DataFrame, sets: DataFra
             out = forest(ids, [np.frombuffer(s, np.uint64) for s in group.column("s").to_pylist()], labels, left)
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
-    return placed.join(sets, "id").groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+    out = materialize(placed.join(sets, "id").groupBy("key", "i", "j").applyInArrow(compare, "a long, b long"), "across")
+    drop(named, rows)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame | None:
@@ -271,18 +272,21 @@ def components(edges: DataFrame) -> DataFrame | None:
     edges = materialize(edges.distinct(), "edges")
     while not edges.isEmpty():
         either = edges.union(edges.select("b", "a")).toDF("id", "near")
-        low = materialize(either.groupBy("id").agg(F.least("id", F.min("near")).alias("label")), "low")
+        steps = [materialize(either.groupBy("id").agg(F.least("id", F.min("near")).alias("label")), "low")]
         for _ in range(2):
-            ahead = low.select(F.col("id").alias("label"), F.col("label").alias("further"))
-            low = materialize(low.join(ahead, "label").select("id", F.col("further").alias("label")), "low")
+            ahead = steps[-1].select(F.col("id").alias("label"), F.col("label").alias("further"))
+            steps.append(materialize(steps[-1].join(ahead, "label").select("id", F.col("further").alias("label")), "low"))
+        low, before = steps.pop(), found
         if found is None:
-            found = low
+            found = materialize(low, "found")
         else:
             ahead = low.select(F.col("id").alias("label"), F.col("label").alias("further"))
             found = materialize(found.join(ahead, "label", "left").select("id", F.coalesce("further", "label").alias("label")), "found")
         to = low.select(F.col("id").alias("a"), F.col("label").alias("x")), low.select(F.col("id").alias("b"), F.col("label").alias("y"))
         ends = edges.join(to[0], "a").join(to[1], "b").filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        edges = materialize(ends.distinct(), "edges")
+        done, edges = edges, materialize(ends.distinct(), "edges")
+        drop(done, low, *steps, *([before] if before is not None else []))
+    drop(edges)
     return found
 
 
@@ -298,6 +302,7 @@ def groups(docs: DataFrame) -> DataFrame:
     band = materialize(bands(reps), "bands")
     centers = materialize(band.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("members")).filter("members > 1"), "centers")
     members = materialize(band.join(centers.select("key", "a"), "key"), "members")
+    drop(band)
     stars = members.filter("a != id").select("a", F.col("id").alias("b")).distinct()
     likely_ = materialize(likely(stars, reps), "likely")
     sets = materialize(full_sets(docs, members.select("id").distinct()), "sets")
@@ -305,17 +310,16 @@ def groups(docs: DataFrame) -> DataFrame:
     found = components(links)
     if found is not None or not centers.isEmpty():
         labels = found if found is not None else members.select("id", F.col("id").alias("label")).limit(0)
-        more = across(members.select("key", "id"), centers, labels, sets)
+        more, before = across(members.select("key", "id"), reps.select("id", "n").distinct(), labels, sets), found
         found = components(links.union(more))
-    named = classes
+        drop(more, *([before] if before is not None else []))
     if found is not None:
         named = materialize(classes.join(found, "id", "left").select("f1", "f2", F.coalesce("label", "id").alias("component_id")), "named")
+        drop(found, classes)
     else:
         named = classes.withColumnRenamed("id", "component_id")
+    drop(reps, centers, members, likely_, sets, links)
     joined = made.select("doc_id", "n", "f1", "f2").join(named, ["f1", "f2"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
-
-
-__all__ = ["components", "drop_table", "estimate", "groups", "registers", "sets_of"]

@@ -1,9 +1,9 @@
 r"""Secret scans: fixed patterns, and strings that two character Markov models tell to be random.
 
-Both models are first-order chains over ``ALPHABET``: one learned from random strings, one from ordinary
-identifiers, numbers and words. A run of 16 or more characters that overlaps no pattern match is a secret when
-its log-likelihood ratio is over a threshold, which is set above the ratio of every ordinary string of a
-calibration part that neither chain has seen.
+Both models are second-order chains over ``ALPHABET``, smoothed by first-order ones: one learned from random strings,
+one from ordinary identifiers, numbers and words. A run of 16 or more characters that overlaps no pattern match is a
+secret when its log-likelihood ratio is over a threshold: the ratio that one in ``1 / FALSE`` ordinary strings of a
+calibration part, which neither chain has seen, goes beyond.
 
 The labelled samples are strings made by a seeded generator (random) and, as ordinary ones, the words of a
 bounded sample of the corpus, numbers, and identifiers composed of such words.
@@ -42,8 +42,10 @@ _CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
 SPAN = "array<struct<kind:string,start:int,end:int>>"
 #: Rows of the corpus from which ordinary words are learned, at most.
 SAMPLE_ROWS = 1000
-#: Least log-likelihood ratio of a secret, and how far it must be above every ordinary calibration string.
-LEAST, ABOVE = 12.0, 4.0
+#: Least log-likelihood ratio of a secret, and the share of ordinary calibration strings that may be beyond the threshold.
+LEAST, FALSE = 8.0, 1 / 2000
+#: Of how many counts the first-order chain's say in the second-order one is worth.
+PRIOR = 4.0
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -60,12 +62,12 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 @dataclass
 class Model:
-    ratio: np.ndarray  # log P(next | last, random) - log P(next | last, ordinary)
+    ratio: np.ndarray  # log P(next | last two, random) - log P(next | last two, ordinary)
     threshold: float
 
     def score(self, s: str) -> float:
         codes = _CODE[np.frombuffer(s.encode("ascii"), np.uint8)]
-        return float(self.ratio[codes[:-1], codes[1:]].sum())
+        return float(self.ratio[codes[:-2], codes[1:-1], codes[2:]].sum())
 
     def spans(self, text: str) -> list[tuple[str, int, int]]:
         """All spans of a text, by start and then kind."""
@@ -80,12 +82,15 @@ class Model:
 
 
 def chain(samples: list[str]) -> np.ndarray:
-    """Log transition probabilities, smoothed by half a count."""
-    counts = np.full((len(ALPHABET), len(ALPHABET)), 0.5)
+    """Log probabilities of a character after two others; after one other, where these two are rare."""
+    n = len(ALPHABET)
+    two, three = np.full((n, n), 0.5), np.zeros((n, n, n))
     for s in samples:
         codes = _CODE[np.frombuffer(s.encode("ascii"), np.uint8)]
-        np.add.at(counts, (codes[:-1], codes[1:]), 1)
-    return np.log(counts / counts.sum(axis=1, keepdims=True))
+        np.add.at(two, (codes[:-1], codes[1:]), 1)
+        np.add.at(three, (codes[:-2], codes[1:-1], codes[2:]), 1)
+    first = two / two.sum(axis=1, keepdims=True)
+    return np.log((three + PRIOR * first) / (three.sum(axis=2, keepdims=True) + PRIOR))
 
 
 def random_strings(n: int, seed: int = 5) -> list[str]:
@@ -119,13 +124,14 @@ def ordinary_strings(words: list[str], n: int, seed: int = 6) -> list[str]:
     return words + [one(i) for i in range(n)]
 
 
-def train(words: list[str], n: int = 6000) -> Model:
+def train(words: list[str], n: int = 20_000) -> Model:
     words = sorted({w for w in words if len(w) > 1})
     ordinary = ordinary_strings(words, n)
     held, learned = ordinary[::5], [s for i, s in enumerate(ordinary) if i % 5]
     ratio = chain(random_strings(n)) - chain(learned)
     model = Model(ratio, -math.inf)
-    model.threshold = max(LEAST, ABOVE + max((model.score(s) for s in held if len(s) > 1), default=0.0))
+    scores = np.sort([model.score(s) for s in held if len(s) > 15])
+    model.threshold = max(LEAST, float(scores[-1 - int(FALSE * len(scores))]) if len(scores) else LEAST)
     return model
 
 
