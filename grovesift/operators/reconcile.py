@@ -63,22 +63,35 @@ def changed_rows(files: DataFrame, changes: DataFrame, first_id: int) -> DataFra
     Whatever is deleted or replaced goes with all that is below it. New ids count from ``first_id`` within a range
     each for a partition, so they are unique and need no common counter.
     """
-    todo = changes.filter("action != 'same'")
-    gone = todo.filter(F.col("action").isin("delete", "replace")).select("id").join(files.select("id", "path"), "id").select("path")
-    dead = files.join(below(F.col("path"), gone, files), "id", "left_semi").withColumn("is_live", F.lit(False))
-    news = todo.filter("action = 'update'").select("id", F.col("size").alias("_size"), F.col("mtime").alias("_mtime"))
-    newer = files.join(news, "id").join(dead.select("id"), "id", "left_anti").withColumns({"size": F.col("_size"), "mtime": F.col("_mtime")})
+    dead = files.join(_lost(files, changes), "id", "left_semi").withColumn("is_live", F.lit(False))
+    newer = files.join(_news(changes), "id").join(dead.select("id"), "id", "left_anti").withColumns({"size": F.col("_size"), "mtime": F.col("_mtime")})
+    columns = SCHEMA.fieldNames()
+    return dead.select(*columns).unionByName(newer.select(*columns)).unionByName(_added(files, changes, first_id))
+
+
+def _lost(files: DataFrame, changes: DataFrame) -> DataFrame:
+    """Ids of all that goes."""
+    gone = changes.filter(F.col("action").isin("delete", "replace")).select("id").join(files.select("id", "path"), "id").select("path")
+    return below(F.col("path"), gone, files)
+
+
+def _news(changes: DataFrame) -> DataFrame:
+    return changes.filter("action = 'update'").select("id", F.col("size").alias("_size"), F.col("mtime").alias("_mtime"), F.lit(True).alias("_new"))
+
+
+def _added(files: DataFrame, changes: DataFrame, first_id: int) -> DataFrame:
     parents = files.select(F.col("id").alias("parent"), F.col("path").alias("_front"), (F.col("depth") + 1).alias("depth"), "vol_id")
-    added = todo.filter(F.col("action").isin("insert", "replace")).drop("id").join(parents, "parent").withColumns(
+    added = changes.filter(F.col("action").isin("insert", "replace")).drop("id").join(parents, "parent").withColumns(
         {"id": F.monotonically_increasing_id() + first_id, "path": child_path(F.col("_front"), F.col("name")), "is_live": F.lit(True)}
     )
-    columns = SCHEMA.fieldNames()
-    return dead.select(*columns).unionByName(newer.select(*columns)).unionByName(with_folds(added).select(*columns))
+    return with_folds(added).select(*SCHEMA.fieldNames())
 
 
 def apply(files: DataFrame, changes: DataFrame, first_id: int) -> DataFrame:
-    """A new table: the rows that stay, with new sizes and times, and the inserted ones."""
-    return overlay(files, changed_rows(files, changes, first_id))
+    """A new table: the rows that stay, with new sizes and times, and the inserted ones; see :func:`changed_rows`."""
+    kept = files.join(_lost(files, changes), "id", "left_anti").join(_news(changes), "id", "left")
+    newer = kept.withColumns({c: F.when(F.col("_new"), F.col(f"_{c}")).otherwise(F.col(c)) for c in ("size", "mtime")})
+    return newer.select(*SCHEMA.fieldNames()).unionByName(_added(files, changes, first_id))
 
 
 def resolve(files: DataFrame, paths: DataFrame) -> DataFrame:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import scratch
 from .functions.text import canonical_column, extension, glob_pattern, natural_key, quote, rfc3339, trigrams, whole_word_pattern
 from .operators import forest, reconcile, rules, trigrams as index
 from .operators.search import Request, matches, order, search, symmetric_difference, union
 from .sources import sinks
+from .sources.snapshots import SnapshotStore
 from .streaming import changes
 
 NOW = datetime(1999, 1, 1, tzinfo=UTC)
@@ -106,10 +109,16 @@ ranked("topk_size_desc", "ext:f", "ext = 'f'", "size", "size DESC, id DESC", asc
 ranked("topk_mtime", "in:/ASIA type:file", "starts_with(path, '/ASIA/') AND NOT is_dir", "mtime", "mtime, id")
 ranked("topk_kind", "", "true", "kind", "NOT is_dir, ext, name_fold, id", limit=3000)
 ranked("limit_directive", "order-1 limit:7", "contains(name_fold, 'order-1')", "name", "name_fold, path, id")
-register("sort_path_natural", lambda s, d: search(files(s, d), Request("order-1", sort="path", limit=200)))
+# By runs of digits and of other characters; digits as numbers, which come before letters as they do in a key.
+_RUNS = "list_transform(regexp_extract_all(lower(path), '[0-9]+|[^0-9]+'), lambda t: CASE WHEN regexp_matches(t, '^[0-9]') THEN {'t': '1', 'n': t::HUGEINT} ELSE {'t': t, 'n': 0::HUGEINT} END)"
+register(
+    "sort_path_natural", lambda s, d: search(files(s, d), Request("order-1", sort="path", limit=200)),
+    f"{FILES} SELECT {RECORD} FROM files WHERE contains(name_fold, 'order-1') ORDER BY {_RUNS}, path, id LIMIT 200",
+)
 register(
     "natural_keys", lambda s, d: files(s, d).select("id", natural_key(F.col("path")).alias("k")),
-    f"{FILES} SELECT id, array_to_string(list_transform(regexp_extract_all(lower(path), '[0-9]+|[^0-9]+'), lambda t: CASE WHEN regexp_matches(t, '^[0-9]') THEN lpad(t, 20, '0') ELSE t END), '') AS k FROM files",
+    f"""{FILES} SELECT id, array_to_string(list_transform(list_transform(regexp_extract_all(lower(path), '[0-9]+|[^0-9]+'), lambda t: CASE WHEN regexp_matches(t, '^[0-9]') THEN t::HUGEINT::VARCHAR ELSE t END),
+  lambda t: CASE WHEN regexp_matches(t, '^[0-9]') THEN length(length(t)::VARCHAR) || length(t)::VARCHAR || t ELSE t END), '') AS k FROM files""",
 )
 # Sets of ids.
 _A, _B = Request("ext:f"), Request("order-1")
@@ -119,11 +128,22 @@ register("ids_symmetric", lambda s, d: symmetric_difference(matches(files(s, d),
 register("whole_word", lambda s, d: s.read.parquet(f"{d}/part.parquet").filter(F.col("p_name").rlike("(?iu)" + whole_word_pattern("ring"))).select("p_partkey", "p_name"), "SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '(?i)(^|[^\\pL\\pM\\pN])ring($|[^\\pL\\pM\\pN])')")
 register("document_word", lambda s, d: s.read.parquet(f"{d}/documents.parquet").filter(F.col("text").rlike(whole_word_pattern("été"))).select("doc_id"), "SELECT doc_id FROM documents WHERE regexp_matches(text, '(^|[^\\pL\\pM\\pN])été($|[^\\pL\\pM\\pN])')")
 register("part_glob", lambda s, d: s.read.parquet(f"{d}/part.parquet").filter(F.lower("p_name").rlike(glob_pattern("*ring?*"))).select("p_partkey"), "SELECT p_partkey FROM part WHERE regexp_full_match(lower(p_name), '.*ring..*', 's')")
+filtered("whole_word_name", "CUSTOMER", "regexp_matches(name, '(?i)(^|[^\\pL\\pM\\pN])customer($|[^\\pL\\pM\\pN])')", whole_word=True)
+register("document_accents", lambda s, d: s.read.parquet(f"{d}/documents.parquet").filter(F.col("text").rlike(whole_word_pattern("für"))).select("doc_id"), "SELECT doc_id FROM documents WHERE regexp_matches(text, '(^|[^\\pL\\pM\\pN])für($|[^\\pL\\pM\\pN])')")
+register("part_ring_glob", lambda s, d: s.read.parquet(f"{d}/part.parquet").filter(F.lower("p_name").rlike(glob_pattern("*d ?i*"))).select("p_partkey", "p_name"), "SELECT p_partkey, p_name FROM part WHERE regexp_full_match(lower(p_name), '.*d .i.*', 's')")
+# Patterns whose plain part must not be tested first: escapes, and letters that fold to characters beyond ASCII.
+filtered("regex_escape", r"regex:\x6frder-1", "contains(name_fold, 'order-1')")
+_DOTLESS = {0: "lıman", 1: "LİMAN", 2: "Liman", 3: "limon"}
+register(
+    "regex_dotless", lambda s, d: matches(forest.with_folds(files(s, d).withColumn("name", F.concat(F.element_at(F.array(*map(F.lit, _DOTLESS.values())), (F.col("id") % 4 + 1).cast("int")), F.lit("-"), "name"))), Request("regex:^liman-")).select("id", "name"),
+    f"{FILES} SELECT id, CASE id % 4 WHEN 0 THEN 'lıman' WHEN 1 THEN 'LİMAN' ELSE 'Liman' END || '-' || name AS name FROM files WHERE id % 4 <> 3",
+)
 # Counts, kinds and times.
 register("counts_status", lambda s, d: forest.counts(files(s, d)), f"{FILES} SELECT count(*) AS live, 0::BIGINT AS deleted, count(*) FILTER (is_dir) AS folders, sum(size)::BIGINT AS bytes FROM files")
 register("truncated_flag", lambda s, d: matches(files(s, d), _B).select("id").limit(101).agg(F.least(F.count("*"), F.lit(100)).alias("returned"), (F.count("*") > 100).alias("truncated")), f"{FILES} SELECT least(count(*), 100) AS returned, count(*) > 100 AS truncated FROM files WHERE contains(name_fold, 'order-1')")
 register("extensions", lambda s, d: files(s, d).groupBy(extension(F.col("name")).alias("ext")).agg(F.count("*").alias("n")), f"{FILES} SELECT ext, count(*) AS n FROM files GROUP BY ext")
 register("json_lines", lambda s, d: sinks.json_rows(files(s, d)).select(F.get_json_object("json", "$.path").alias("path"), F.get_json_object("json", "$.modified").alias("modified")), f"{FILES} SELECT path, CASE WHEN id <> 0 THEN strftime(make_timestamp(mtime * 1000000), '%Y-%m-%dT%H:%M:%SZ') END AS modified FROM files")
+register("json_lines_whole", lambda s, d: sinks.json_rows(files(s, d)).select(*[F.get_json_object("json", f"$.{k}").alias(k.lower()) for k in ("name", "path", "isDirectory", "size", "modified")]), f"{FILES} SELECT name, path, CASE WHEN is_dir THEN 'true' ELSE 'false' END AS isdirectory, CASE WHEN id <> 0 THEN size::VARCHAR END AS size, CASE WHEN id <> 0 THEN strftime(make_timestamp(mtime * 1000000), '%Y-%m-%dT%H:%M:%SZ') END AS modified FROM files")
 register("rfc3339_times", lambda s, d: files(s, d).select("id", rfc3339(F.col("mtime")).alias("at")), f"{FILES} SELECT id, strftime(make_timestamp(mtime * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS at FROM files")
 register("tsv_rows", lambda s, d: sinks.tsv_rows(files(s, d)), f"""{FILES} SELECT concat_ws(chr(9), name, path, CASE WHEN is_dir THEN '' ELSE size::VARCHAR END,
   CASE WHEN is_dir THEN 'Folder' WHEN ext = '' THEN 'File' ELSE upper(ext) || ' File' END, strftime(make_timestamp(mtime * 1000000), '%Y-%m-%d %H:%M:%S')) AS line FROM files""")
@@ -144,6 +164,21 @@ register("compacted", lambda s, d: forest.compacted(_tombstoned(s, d)).select("i
 q AS (SELECT row_number() OVER (ORDER BY id) - 1 AS new, * FROM p) SELECT q.new AS id, u.new AS parent, q.path FROM q LEFT JOIN q u ON q.parent = u.id""")
 
 
+register("counts_deleted", lambda s, d: forest.counts(_tombstoned(s, d)), f"{FILES}, {_LIVE} SELECT count(*) FILTER (is_live) AS live, count(*) FILTER (NOT is_live) AS deleted, count(*) FILTER (is_live AND is_dir) AS folders, sum(size) FILTER (is_live)::BIGINT AS bytes FROM t")
+register("resolved_paths", lambda s, d: reconcile.resolve(_tombstoned(s, d), s.read.parquet(f"{d}/nation.parquet").select(F.concat(F.lit("/ASIA/"), "n_name").alias("path"))), f"{FILES}, {_LIVE} SELECT path, id FROM t WHERE is_live AND path IN (SELECT '/ASIA/' || n_name FROM nation)")
+
+
+def _round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Saved, changed in some rows, and loaded."""
+    store, rows = SnapshotStore(spark, f"{scratch.folder(spark)}/stores/{uuid.uuid4().hex}"), _tombstoned(spark, folder)
+    store.save(rows, "f", 1)
+    store.append(rows.filter("is_live and id % 5 = 1").withColumns({"size": F.col("size") + 7, "is_live": F.col("id") % 2 == 0}), 2)
+    return store.load()[0].select("id", "path", "size")
+
+
+register("snapshot_round_trip", _round_trip, f"{FILES}, {_LIVE} SELECT id, path, size + CASE WHEN id % 5 = 1 THEN 7 ELSE 0 END AS size FROM t WHERE is_live AND NOT (id % 5 = 1 AND id % 2 = 1)")
+
+
 # Reconciling: the listing lacks, changes and adds some orders.
 def _listed(spark: SparkSession, folder: str) -> DataFrame:
     f = files(spark, folder).filter("depth = 4")
@@ -169,6 +204,15 @@ def _reconciled(spark: SparkSession, folder: str) -> DataFrame:
 
 register("reconcile_apply", _reconciled, f"""{FILES}, {_NEW} SELECT path, size, mtime, is_dir FROM files WHERE depth < 4
 UNION ALL SELECT f.path || '/' || n.name, n.size, n.mtime, n.is_dir FROM new n JOIN files f ON n.parent = f.id""")
+# Folders of which nothing is listed any more lose their children; others aren't looked at.
+register("reconcile_emptied", lambda s, d: reconcile.diff(files(s, d), _listed(s, d).filter("parent % 3 = 0"), files(s, d).filter("depth = 3 and id % 3 <> 2").select(F.col("id").alias("parent"))), f"""{FILES}, old AS (SELECT * FROM files WHERE depth = 4 AND parent % 3 <> 2), {_NEW},
+listed AS (SELECT * FROM new WHERE parent % 3 = 0)
+SELECT coalesce(o.parent, n.parent) AS parent, coalesce(o.name, n.name) AS name, CASE WHEN o.id IS NULL THEN 'insert' WHEN n.name IS NULL THEN 'delete'
+  WHEN o.is_dir <> n.is_dir THEN 'replace' WHEN o.size <> n.size OR o.mtime <> n.mtime THEN 'update' ELSE 'same' END AS action,
+  o.id, coalesce(n.size, o.size) AS size, coalesce(n.mtime, o.mtime) AS mtime, coalesce(n.is_dir, o.is_dir) AS is_dir
+FROM old o FULL JOIN listed n ON o.parent = n.parent AND o.name = n.name""")
+register("metadata_refresh", lambda s, d: reconcile.refresh(files(s, d), files(s, d).filter("id % 4 = 0").select("path", (F.col("size") + 3).alias("size"), (F.col("mtime") + 60).alias("mtime"), (F.col("id") % 8 == 0).alias("is_dir"))).select("id", "size", "mtime"),
+f"""{FILES}, now AS (SELECT *, id % 4 = 0 AND is_dir = (id % 8 = 0) AS seen FROM files) SELECT id, size + CASE WHEN seen THEN 3 ELSE 0 END AS size, mtime + CASE WHEN seen THEN 60 ELSE 0 END AS mtime FROM now""")
 register("deny_subtree", lambda s, d: reconcile.deny(files(s, d), s.createDataFrame([("/ASIA",), ("/EUROPE",)], "path string")).select("id"), f"{FILES} SELECT id FROM files WHERE NOT (path IN ('/ASIA', '/EUROPE') OR starts_with(path, '/ASIA/') OR starts_with(path, '/EUROPE/'))")
 # Rules, scopes and mounts.
 _MOUNTS = [("/", True), ("/ASIA", False), ("/EUROPE", False), ("/EUROPE/NATION_3", True)]
@@ -197,6 +241,9 @@ SELECT id, name FROM x WHERE NOT gone AND path NOT IN (SELECT path FROM x WHERE
 register("nested_root_elim", lambda s, d: rules.outermost_rows(files(s, d).filter("id % 3 = 1").select("path")), f"{FILES}, r2 AS (SELECT DISTINCT path FROM files WHERE id % 3 = 1) SELECT path FROM r2 a WHERE NOT EXISTS (SELECT 1 FROM r2 b WHERE starts_with(a.path, b.path || '/'))")
 # The same over whole levels, without SQL: a prefix join is quadratic.
 register("nested_root_elim_whole", lambda s, d: rules.outermost_rows(files(s, d).filter("depth >= 3").select("path")))
+_SYSTEM = ("/System/Volumes/VM", "/System/Volumes/Data", "/System/Volumes/VMX", "/net/share", "/home")
+register("effective_rules", lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", F.col("event_type").alias("name"), F.concat(F.element_at(F.array(*map(F.lit, _SYSTEM)), (F.col("event_id") % 5 + 1).cast("int")), F.lit("/"), "event_type").alias("path"), F.lit(False).alias("hidden"))
+  .filter(~rules.effective(rules.ExcludeRules(), [("/net/share", False), ("/home", True)]).entry_column(F.lit(False))).select("event_id", "path"), "SELECT event_id, CASE event_id % 5 WHEN 2 THEN '/System/Volumes/VMX/' ELSE '/home/' END || event_type AS path FROM events WHERE event_id % 5 IN (2, 4)")
 register("canonical_paths", lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", canonical_column(F.concat(F.element_at(F.array(*map(F.lit, ("/var", "/tmp", "/etcetera", "/System/Volumes/Data/x"))), (F.col("event_id") % 4 + 1).cast("int")), F.lit("/"), "event_type")).alias("path")), "SELECT event_id, CASE event_id % 4 WHEN 0 THEN '/private/var/' WHEN 1 THEN '/private/tmp/' WHEN 2 THEN '/etcetera/' ELSE '/x/' END || event_type AS path FROM events")
 
 
@@ -216,11 +263,21 @@ _ROUTED = """WITH e AS (SELECT event_id, '/u/' || user_id AS dir, event_type AS
   UNION ALL SELECT event_id, dir || '/' || t, 'list', false FROM e WHERE t NOT IN ('error', 'signup', 'purchase', 'view'))"""
 register("change_routing", lambda s, d: changes.route(_feed(s, d), ["/u"]), f"{_ROUTED} SELECT event_id, path, task, deep FROM routed")
 register("change_coalescing", lambda s, d: changes.coalesced(changes.route(_feed(s, d), ["/u"])), f"{_ROUTED} SELECT path, task, bool_or(deep) AS deep FROM routed GROUP BY path, task")
+# Events that ask for a whole new scan: lost history anywhere, mounts and subtree events at a volume's root within the roots.
+def _whole(spark: SparkSession, folder: str) -> DataFrame:
+    e, t, k = spark.read.parquet(f"{folder}/events.parquet"), F.col("event_type"), F.col("event_id") % 3
+    path = F.concat(F.when(k == 0, "/Volumes/v").when(k == 1, "/u/").otherwise("/x/"), F.col("user_id").cast("string"))
+    return e.select("event_id", path.alias("path"), (t == "error").alias("must_scan"), (t == "signup").alias("structural"), (t == "view").alias("metadata"), (t == "purchase").alias("mount"), (t == "click").alias("dropped"))
+
+
+register("change_rebuilds", lambda s, d: changes.route(_whole(s, d), ["/u", "/Volumes"]).filter("task = 'rebuild'").select("event_id", "path"), "SELECT event_id, '/' AS path FROM events WHERE event_type = 'click' OR (event_type = 'purchase' AND event_id % 3 < 2) OR (event_type = 'error' AND event_id % 3 = 0)")
+register("flag_bits", lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", *[c.alias(k) for k, c in changes.classify((F.col("event_id") * 37).cast("int")).items()]), "SELECT event_id, (event_id * 37) & 1 <> 0 AS must_scan, (event_id * 37) & 14 <> 0 AS dropped, (event_id * 37) & 224 <> 0 AS mount, (event_id * 37) & 2816 <> 0 AS structural, (event_id * 37) & 62464 <> 0 AS metadata FROM events")
 register("checkpoint_max", lambda s, d: _feed(s, d).agg(F.max("event_id").alias("last_event")), "SELECT max(event_id) AS last_event FROM events")
 register("retry_delays", lambda s, d: changes.retries(_feed(s, d).select("path", (F.col("event_id") % 9).cast("int").alias("attempt"))), "SELECT '/u/' || user_id || '/' || event_type AS path, (event_id % 9 + 1)::INT AS attempt, least(60, 1 << least(event_id % 9, 6))::INT AS delay FROM events")
 # The optional index.
 register("trigram_postings", lambda s, d: index.selectivity(index.postings(files(s, d))), f"{FILES}, g AS (SELECT DISTINCT id, substr(name_fold, i, 3) AS trigram FROM (SELECT id, name_fold, unnest(range(1, length(name_fold) - 1)) AS i FROM files)) SELECT trigram, count(*) AS n FROM g GROUP BY trigram")
 register("trigram_lookup", lambda s, d: index.lookup(files(s, d), index.postings(files(s, d)), "Order-12").select("id"), f"{FILES} SELECT id FROM files WHERE contains(name_fold, 'order-12')")
 register("trigram_statistics", lambda s, d: index.statistics(index.postings(files(s, d))), f"{FILES}, g AS (SELECT DISTINCT id, substr(name_fold, i, 3) AS trigram FROM (SELECT id, name_fold, unnest(range(1, length(name_fold) - 1)) AS i FROM files)) SELECT count(DISTINCT id) AS indexed_records, count(*) AS postings, count(DISTINCT trigram) AS trigrams FROM g")
+register("trigram_bytes", lambda s, d: index.index_bytes(index.postings(files(s, d))), f"{FILES}, g AS (SELECT DISTINCT id, substr(name_fold, i, 3) AS trigram FROM (SELECT id, name_fold, unnest(range(1, length(name_fold) - 1)) AS i FROM files)) SELECT 11 * count(*) AS bytes FROM g")
 
 __all__ = ["QUERIES", "SQL", "files", "order", "quote", "trigrams"]
