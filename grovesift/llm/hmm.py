@@ -368,3 +368,23 @@ def score(docs: DataFrame) -> DataFrame:
         (mass - F.col("n_tokens") * F.lit(lex.log_total)).alias("base_score"), (mass + F.col("model")).alias("score"),
     )
 
+
+def base_scores(docs: DataFrame) -> DataFrame:
+    """What :func:`score` says of single tokens; base_score is rounded."""
+    return score(docs).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+
+
+ORACLE_BASE = r"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS uid, doc_id, text, xor(4294967295::BIGINT, list_reduce(
+    list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END)) % 10 = 0 AS held_out FROM documents),
+tokens AS MATERIALIZED (
+  SELECT uid, held_out, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) AS w FROM docs
+  UNION ALL SELECT uid, held_out, NULL FROM docs),
+counts AS (SELECT w, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY w),
+total AS (SELECT sum(c)::BIGINT AS n, count(*) AS v FROM counts),
+each AS (SELECT uid, count(*) AS n_tokens, count(c) AS n_known, sum(log10((coalesce(c, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)))) AS base_score
+  FROM tokens t LEFT JOIN counts ON t.w IS NOT DISTINCT FROM counts.w, total GROUP BY uid)
+SELECT doc_id, held_out, n_tokens::BIGINT AS n_tokens, n_known::BIGINT AS n_known, (SELECT n FROM total) AS train_tokens, round(base_score, 3) AS base_score
+FROM docs JOIN each USING (uid)
+"""

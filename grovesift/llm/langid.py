@@ -43,12 +43,15 @@ def letters() -> np.ndarray:
 
 
 def subwords(texts: list[str | None]):
-    """For each size: the buckets of all subwords of the texts in order, and where each text's begin (one more than texts)."""
-    low = [(t or "").lower() for t in texts]
-    points = np.frombuffer(" ".join([*low, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    """For each size: the buckets of all subwords of the texts in order, and where each text's begin (one more than texts).
+
+    Every text has a blank on either side, so that its subwords are the same whatever its neighbours are.
+    """
+    low = [f" {(t or '').lower()} " for t in texts]
+    points = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
     is_letter = letters()[points]
     points = np.where(is_letter, points, np.uint32(0))
-    ends = np.cumsum([0, *(len(t) + 1 for t in low)])
+    ends = np.cumsum([0, *map(len, low)])
     for n in SIZES:
         m = len(points) - n + 1
         if m <= 0:

@@ -195,3 +195,17 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
                     out = []
 
     return in_ranges(docs).mapInArrow(walk, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+
+
+def edited_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, n_chars and edited_sha256 of every document."""
+    return compare_with_next(docs).select("doc_id", "n_chars", "edited_sha256")
+
+
+ORACLE_EDITED = """
+WITH ordered AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lead(coalesce(text, '')) OVER w, first_value(coalesce(text, '')) OVER w) AS after
+  FROM documents WINDOW w AS (ORDER BY doc_id DESC, text ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT doc_id, length(t)::BIGINT AS n_chars,
+  sha256(substr(t, 1, length(t) - length(t) // 3) || substr(after, 1, length(t) // 3)) AS edited_sha256
+FROM ordered
+"""

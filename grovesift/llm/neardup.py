@@ -323,3 +323,23 @@ def groups(docs: DataFrame) -> DataFrame:
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+ORACLE = r"""
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS uid, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+cut AS (SELECT uid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4])) END AS s FROM docs),
+sets AS MATERIALIZED (SELECT doc_id, s, len(s) AS n FROM cut WHERE len(s) > 0 AND doc_id IS NOT NULL),
+classes AS MATERIALIZED (SELECT min(doc_id) AS id, list_sort(s) AS s, n FROM sets GROUP BY list_sort(s), n),
+runs AS MATERIALIZED (SELECT id, n, unnest(s) AS g FROM classes),
+met AS (SELECT a.id AS x, b.id AS y, a.n AS m, b.n AS n, count(*) AS shared FROM runs a JOIN runs b ON a.g = b.g AND (a.id, a.n) < (b.id, b.n) GROUP BY ALL),
+links AS MATERIALIZED (SELECT DISTINCT least(x, y) AS x, greatest(x, y) AS y FROM met WHERE 100 * shared >= 75 * (m + n - shared)
+  UNION SELECT DISTINCT c.id, s.doc_id FROM sets s JOIN classes c ON list_sort(s.s) = c.s AND s.doc_id <> c.id),
+either AS MATERIALIZED (SELECT x AS a, y AS b FROM links UNION SELECT y, x FROM links),
+reach(a, b) AS (SELECT DISTINCT doc_id, doc_id FROM sets UNION SELECT r.a, e.b FROM reach r JOIN either e ON r.b = e.a),
+least_ AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT c.doc_id, len(c.s)::BIGINT AS n_shingles, CASE WHEN len(c.s) > 0 THEN l.component_id ELSE c.doc_id END AS component_id,
+  coalesce(c.doc_id = CASE WHEN len(c.s) > 0 THEN l.component_id ELSE c.doc_id END, true) AS kept
+FROM cut c LEFT JOIN least_ l USING (doc_id)
+"""

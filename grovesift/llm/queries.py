@@ -52,10 +52,33 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(chat.with_probe(table(spark, sf_dir, "conversations"))))
 
 
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.base_counts(docs, secrets.fit(docs))
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edited_texts(table(spark, sf_dir, "documents"))
+
+
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.base_scores(table(spark, sf_dir, "documents"))
+
+
+#: The operators, and parts of the results of three of them that SQL can express.
+EVERY = (
+    op1_language_id, op2_license_scan, op3_decontamination, op4_near_duplicates, op5_secret_scan, op6_bpe, op7_fingerprints, op8_substring_dedup, op9_lm_score, op10_chat_format,
+    secret_counts, edited_texts, lm_base_scores,
+)
+SQL = {
+    "op2_license_scan": license_scan.ORACLE, "op4_near_duplicates": neardup.ORACLE, "op8_substring_dedup": substrings.ORACLE, "op10_chat_format": chat.ORACLE,
+    "secret_counts": secrets.ORACLE_COUNTS, "edited_texts": merkle.ORACLE_EDITED, "lm_base_scores": hmm.ORACLE_BASE,
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_language_id, op2_license_scan, op3_decontamination, op4_near_duplicates, op5_secret_scan, op6_bpe, op7_fingerprints, op8_substring_dedup, op9_lm_score, op10_chat_format)
-    return {f.__name__: f for f in every}
+    return {f.__name__: f for f in EVERY}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": license_scan.ORACLE, "op10_chat_format": chat.ORACLE}
+    return dict(SQL)

@@ -190,3 +190,19 @@ def digests(docs: DataFrame, model: Model) -> DataFrame:
         F.sha2(said(F.filter("s", lambda x: x["kind"] != "random")).cast("binary"), 256).alias("base_sha256"),
         said(F.col("s")).alias("spans"), count("random"),
     )
+
+
+def base_counts(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id and how many spans of each base kind a document has."""
+    return digests(docs, model).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+ORACLE_COUNTS = r"""
+SELECT doc_id,
+  len(list_filter(regexp_extract_all(coalesce(text, ''),
+    '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2),
+    lambda x: length(x) >= 8))::BIGINT AS n_assign,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 16))::BIGINT AS n_access,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 32))::BIGINT AS n_hex
+FROM documents
+"""

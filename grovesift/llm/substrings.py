@@ -528,3 +528,19 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
 def digests(docs: DataFrame) -> DataFrame:
     return deduplicate(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS uid, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+windows AS MATERIALIZED (SELECT uid, doc_id, p, substr(x, 2 * p + 1, 100) AS w FROM (SELECT uid, doc_id, x, unnest(range(0, greatest(len(x) // 2 - 49, 0))) AS p FROM docs WHERE doc_id IS NOT NULL)),
+least_ AS (SELECT w, min(doc_id) AS low FROM windows GROUP BY w HAVING min(doc_id) < max(doc_id)),
+hits AS (SELECT uid, p FROM windows JOIN least_ USING (w) WHERE doc_id > low),
+marked AS (SELECT uid, p, CASE WHEN p - lag(p) OVER (PARTITION BY uid ORDER BY p) <= 50 THEN 0 ELSE 1 END AS fresh FROM hits),
+numbered AS (SELECT uid, p, sum(fresh) OVER (PARTITION BY uid ORDER BY p) AS span FROM marked),
+spans AS (SELECT uid, span, min(p) AS a, max(p) + 50 AS b FROM numbered GROUP BY uid, span),
+gaps AS (SELECT uid, a, b, coalesce(lag(b) OVER (PARTITION BY uid ORDER BY a), 0) AS before FROM spans),
+cut AS (SELECT uid, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS upto, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS front FROM gaps JOIN docs USING (uid) GROUP BY uid)
+SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(front, '') || substr(x, 2 * coalesce(upto, 0) + 1))) AS kept_sha256
+FROM docs LEFT JOIN cut USING (uid)
+"""
