@@ -237,8 +237,11 @@ def across(band: DataFrame, sizes: DataFrame, labels: DataFrame, sets: DataFrame
     named = band.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     named = materialize(named.join(sizes.select("id", "n"), "id").withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(CLASS))).cast("int")), "named")
     held = named.groupBy("key", "label").agg(F.count("*").alias("held"))
-    mixed = held.groupBy("key").agg(F.max_by("label", F.struct("held", -F.col("label"))).alias("largest"), F.count("*").alias("components")).filter("components > 1")
-    rows = materialize(named.join(mixed.select("key", "largest"), "key").withColumn("side", (F.col("label") != F.col("largest")).cast("int")).drop("largest"), "mixed")
+    mixed = held.groupBy("key").agg(F.max_by("label", F.struct("held", -F.col("label"))).alias("largest"), F.count("*").alias("components"), F.sum("held").alias("members")).filter("components > 1")
+    # A bucket of at most a block's size is one block; in others the members of the largest component are a side of their own.
+    whole = F.col("members") <= BLOCK
+    rows = named.join(mixed.select("key", "largest", "members"), "key").withColumns({"side": F.when(whole, 1).otherwise((F.col("label") != F.col("largest")).cast("int")), "class": F.when(whole, 0).otherwise(F.col("class"))})
+    rows = materialize(rows.drop("largest", "members"), "mixed")
     # The blocks of each bucket: for each class of sizes and side how many there are.
     counts = rows.groupBy("key", "class", "side").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
     blocks_ = counts.groupBy("key").agg(F.collect_list(F.struct("class", "side", "n_blocks")).alias("blocks"))
