@@ -112,8 +112,8 @@ def test_the_plain_part_of_a_pattern_changes_no_answer(spark):
     names += ["".join(rng.choice(["a", "b", "c", "d", "x1", "Li", "man", ".", "-", "A", "41", "ı"]) for _ in range(rng.randint(0, 9))) for _ in range(120)]
     rows = forest.with_folds(spark.createDataFrame([(k, n, "/" + n) for k, n in enumerate(names)], "id long, name string, path string").withColumn("is_live", F.lit(True))).cache()
     tried, literal = 0, 0
-    for _ in range(90):
-        pattern = "".join(rng.choice(parts) for _ in range(rng.randint(1, 5)))
+    for k in range(90):
+        pattern = "".join(rng.choice(parts if k % 2 else parts[:12]) for _ in range(rng.randint(1, 5)))
         try:
             request = Request(f'regex:"{pattern}"', ignore_case=rng.random() < 0.6)
             tree = request.plan.tree
@@ -123,7 +123,7 @@ def test_the_plain_part_of_a_pattern_changes_no_answer(spark):
         want = {r.id for r in rows.filter(F.col("name").rlike(("(?iu)" if request.ignore_case else "") + tree.regex)).select("id").collect()}
         assert {r.id for r in matches(rows, request).select("id").collect()} == want, pattern
         tried += 1
-    assert tried > 60 and literal > 15
+    assert tried > 60 and literal > 10
 
 
 def test_compaction_and_orphans(files):
