@@ -1,8 +1,8 @@
 r"""Language-model scoring with a hidden Markov model over word classes.
 
-Tokens are the words ``[^\x20\x09-\x0D]+`` of a text with A-Z lower-cased, then one end mark. The most frequent
-tokens are classes of their own: one in ``PER_OWN`` of the vocabulary, ``OWN`` at least and ``MOST_OWN`` at most (a bound of
-the model's memory). All others fall into ``SHARED`` classes by their hash. A latent state
+Tokens are the words ``[^\x20\x09-\x0D]+`` of a text with A-Z lower-cased, then one end mark. The ``OWN`` most
+frequent tokens are classes of their own; all others fall into ``SHARED`` classes by their hash. Every task sends its
+expected counts of all classes, so their number is fixed: what is sent grows with the corpus, not with its square. A latent state
 emits a class, and a class emits a token with the probability (c + 0.1) / (N + 0.1 (V + 1)) over the counts of
 the training corpus within the class; a class of its own emits its token with certainty. So every token, seen
 or not, has a probability, and those of a class add up to one.
@@ -33,10 +33,9 @@ from pyspark.sql import functions as F
 
 from .common import binary, blocks, bounded_sample, fold, materialize, words_of
 
-STATES, SHARED, KNOWN = 8, 1024, 131_072
-OWN, PER_OWN, MOST_OWN = 4096, 64, 65_536
+STATES, OWN, SHARED, KNOWN = 8, 4096, 1024, 131_072
 RUN, SAMPLE_ROWS, SAMPLE_ROUNDS = 128, 1200, 12
-ROUNDS, SETTLED = 6, 0.002
+ROUNDS, SETTLED = 4, 0.002
 ADD = 0.1
 END = np.uint64(0xE9D0F1A52C3B4D67)
 #: Bytes of text that are hashed, or scored side by side, at once.
@@ -245,15 +244,14 @@ def lexicon(counts: DataFrame) -> Lexicon:
             break
         least = k
     total, distinct = int(sum(r["c"] for r in by_level.values())), int(sum(r["n"] for r in by_level.values()))
-    n_own = min(max(OWN, distinct // PER_OWN), MOST_OWN)
-    most = counts.orderBy(F.desc("c"), "h").limit(n_own)
+    most = counts.orderBy(F.desc("c"), "h").limit(OWN)
     top = most if least is None else counts.filter(level >= least).union(most).distinct()
     top = top.toPandas()
     h, c = top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
     order = np.argsort(h)
     h, c = h[order], c[order]
     own = np.full(len(h), -1, np.int64)
-    first = np.lexsort((h.view(np.int64), -c))[:n_own]
+    first = np.lexsort((h.view(np.int64), -c))[:OWN]
     own[first] = np.arange(len(first))
     n = np.zeros(SHARED)
     v = np.zeros(SHARED)
@@ -262,7 +260,7 @@ def lexicon(counts: DataFrame) -> Lexicon:
         n[r["kind"]], v[r["kind"]] = r["n"], r["v"]
     np.subtract.at(n, (h[first] >> np.uint64(40)).astype(np.int64) % SHARED, c[first])
     np.subtract.at(v, (h[first] >> np.uint64(40)).astype(np.int64) % SHARED, 1)
-    own_counts = np.zeros(n_own)
+    own_counts = np.zeros(OWN)
     own_counts[: len(first)] = c[first]
     share = np.concatenate([own_counts, n]) + ADD
     return Lexicon(h, c, own, total, distinct, np.log10(n + ADD * (v + 1)), share / share.sum())
