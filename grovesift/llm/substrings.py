@@ -49,6 +49,8 @@ BUCKET_BYTES, BUCKETS = 1 << 22, 16
 SUFFIXES, OVERSAMPLE = 16_384, 8
 #: Documents in the sample that shows frequent anchors, and in how many of these such an anchor stands.
 SAMPLE_DOCS, FREQUENT = 4000, 4
+#: Digests at frequent anchors that a task remembers, at most.
+MOST_SEEN = 1 << 18
 #: Parts of a bucket that are sorted by all their symbols at once.
 SMALL = 512
 WORDS = (LENGTH + BEFORE) // 4
@@ -206,17 +208,40 @@ def unpack(group: pa.Table) -> tuple[np.ndarray, ...]:
     return np.concatenate(docs), c["low"].astype(np.uint64) | c["high"].astype(np.uint64) << np.uint64(32), c["digest"], c["start"].astype(np.int64), c["windows"].astype(np.int64), c["off"].astype(np.int64)
 
 
+class Seen:
+    """Digests of runs at frequent anchors with the smallest id that a task has met, ``MOST_SEEN`` at most; then it begins anew."""
+
+    def __init__(self):
+        self.digest, self.low, self.id = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def smaller(self, digest: np.ndarray, low: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Whether each run stands under a smaller id."""
+        if not len(self.digest):
+            return np.zeros(len(ids), bool)
+        k = np.minimum(np.searchsorted(self.digest, digest), len(self.digest) - 1)
+        return (self.digest[k] == digest) & (self.low[k] == low) & (self.id[k] < ids)
+
+    def add(self, digest: np.ndarray, low: np.ndarray, ids: np.ndarray) -> None:
+        digest, low, ids = (np.concatenate(c) for c in ((self.digest, digest), (self.low, low), (self.id, ids)))
+        order = np.lexsort((ids, digest))
+        first = order[edges(digest[order])]
+        if len(first) > MOST_SEEN:
+            first = first[:0]
+        self.digest, self.low, self.id = digest[first], low[first], ids[first]
+
+
 def packed_runs(docs: DataFrame, buckets: int, frequent: np.ndarray, keys: np.ndarray) -> DataFrame:
     """The runs of all documents (doc_id, key, text), packed by bucket.
 
-    Runs that stand in the same slice under a smaller id are decided here; they go, as merged stretches, to buckets
-    of negative numbers.
+    Runs that stand in the same slice under a smaller id, or at a frequent anchor in an earlier slice of the task, are
+    decided here; they go, as merged stretches, to buckets of negative numbers. So a digest, however frequent, sends a
+    record for a task.
     """
     shared = docs.sparkSession.sparkContext.broadcast((frequent, keys))
 
     def make(batches):
         frequent, keys = shared.value
-        spread = 0
+        spread, seen = 0, Seen()
         for ids, row_keys, texts in slices(batches):
             found = []
             for number, offset, buf, start in parts(texts):
@@ -229,6 +254,11 @@ def packed_runs(docs: DataFrame, buckets: int, frequent: np.ndarray, keys: np.nd
             least = np.empty(len(order), np.int64)
             least[order] = smallest(same, ids[owner[order]])
             done = least < ids[owner]
+            often = is_in(frequent, low)
+            hot = np.flatnonzero(often & ~done)
+            done[hot] = seen.smaller(digest[hot], low[hot], ids[owner[hot]])
+            hot = hot[~done[hot]]
+            seen.add(digest[hot], low[hot], ids[owner[hot]])
             rows = []
             if done.any():  # still by document and place
                 o, a, b = owner[done], at[done], at[done] + windows[done]
@@ -238,8 +268,8 @@ def packed_runs(docs: DataFrame, buckets: int, frequent: np.ndarray, keys: np.nd
                 none = np.zeros(len(begin), np.uint64)
                 rows.append(pack(-1 - (spread * 7919 + len(o)) % buckets, np.stack([ids, row_keys], 1), o[begin], none, none, a[begin], b[stop] - a[begin], none))
             rest = ~done
-            owner, at, windows, off, low, digest, h = (c[rest] for c in (owner, at, windows, off, low, digest, h))
-            bucket = (np.where(is_in(frequent, low), digest >> np.uint64(20), h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+            owner, at, windows, off, low, digest, h, often = (c[rest] for c in (owner, at, windows, off, low, digest, h, often))
+            bucket = (np.where(often, digest >> np.uint64(20), h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             owner, at, windows, off, low, digest, bucket = (c[order] for c in (owner, at, windows, off, low, digest, bucket))
             begin = edges(bucket)
