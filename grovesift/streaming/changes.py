@@ -6,16 +6,27 @@ path is inspected anew, so late and repeated events do no harm, and no event-tim
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import DATA_VOLUME, retry_delay, within
+from ..functions.text import DATA_VOLUME, canonical_column, retry_delay, within
 from .inspection import GONE
 
 # Bits of an event's flags.
 FLAGS = {"must_scan": 0x1, "dropped": 0x2 | 0x4 | 0x8, "mount": 0x20 | 0x40 | 0x80, "structural": 0x100 | 0x200 | 0x800, "metadata": 0x400 | 0x1000 | 0x2000 | 0x4000 | 0x8000}
 
 
+#: Columns of events.
+EVENTS = "path string, event_id long, must_scan boolean, structural boolean, metadata boolean, mount boolean, dropped boolean"
+
+
+def read_flags(spark: SparkSession, folder: str, after: int = -1) -> DataFrame:
+    """A stream of events from files of JSON lines (path, event_id, flags) that a monitor adds to a folder; those after an event id."""
+    lines = spark.readStream.schema("path string, event_id long, flags int").json(folder).filter(F.col("event_id") > after)
+    path = canonical_column(F.col("path"))
+    return lines.select(path.alias("path"), "event_id", *(c.alias(k) for k, c in classify(F.col("flags")).items())).select(*[c.split()[0] for c in EVENTS.split(", ")])
+
+
 def classify(flags: Column) -> dict[str, Column]:
     """Boolean columns for the bits of an event."""
     return {k: flags.bitwiseAND(F.lit(v)) != 0 for k, v in FLAGS.items()}

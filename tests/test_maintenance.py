@@ -189,7 +189,7 @@ def test_routing(spark):
     assert got == [(False, False, False, True, True), (False, False, True, False, False), (False, True, False, False, False), (True, False, False, False, False)]
 
 
-EVENTS = "path string, event_id long, must_scan boolean, structural boolean, metadata boolean, mount boolean, dropped boolean"
+EVENTS = changes.EVENTS
 
 
 def event(path, number, *kinds):
@@ -310,6 +310,16 @@ def test_stream_goes_on_from_the_last_event(disk, spark, tmp_path):
         q.stop()
 
 
+def test_events_from_a_monitor_s_files(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    rows = [{"path": "/a/b", "event_id": 3, "flags": 0x100}, {"path": "/System/Volumes/Data/c", "event_id": 4, "flags": 0x400}, {"path": "/d", "event_id": 5, "flags": 0x2}]
+    (tmp_path / "log/1.json").write_text("\n".join(map(json.dumps, rows)))
+    got = []
+    q = changes.read_flags(spark, f"{tmp_path}/log", after=3).writeStream.foreachBatch(lambda df, _: got.extend(map(tuple, df.collect()))).trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/cp").start()
+    q.awaitTermination()
+    assert got == [("/c", 4, False, False, True, False, False), ("/d", 5, False, False, False, False, True)]
+
+
 def test_subtree_below_a_row_that_is_there(spark, tmp_path):
     (tmp_path / "t/d").mkdir(parents=True)
     (tmp_path / "t/d/f").write_text("x")
