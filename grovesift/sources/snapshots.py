@@ -39,6 +39,7 @@ class Manifest:
     saved: float = 0.0
     changes: list[str] = field(default_factory=list)  # folders, oldest first
     retries: str = ""  # folder of paths to be inspected again
+    largest_id: int = -1
 
 
 class SnapshotStore:
@@ -120,7 +121,8 @@ class SnapshotStore:
         rows = files.filter("is_live").select(*SCHEMA.fieldNames()).repartitionByRange("path_fold").sortWithinPartitions("path_fold")
         folder = self._write(rows, "v")
         listed = [list(i) for i in (issues or [])[:MOST_ISSUES]]
-        return self._publish(Manifest(folder, fingerprint, last_event_id, before.revision + 1 if before else 1, listed, FORMAT, time.time(), [], self._with_retries(retries)))
+        largest = largest_id(self.spark.read.schema(SCHEMA).parquet(f"{self.root}/{folder}"))
+        return self._publish(Manifest(folder, fingerprint, last_event_id, before.revision + 1 if before else 1, listed, FORMAT, time.time(), [], self._with_retries(retries), largest))
 
     def append(self, changed: DataFrame, last_event_id: int, issues: list | None = None, retries: DataFrame | None = None) -> Manifest:
         """Publishes a version that differs in some rows: those of ``changed``, of which the ones that aren't live are gone."""
@@ -128,8 +130,9 @@ class SnapshotStore:
         if before is None:
             raise RuntimeError("There is no version to change.")
         folders = [] if changed.isEmpty() else [self._write(changed.select(*SCHEMA.fieldNames()), "c")]
+        largest = max([before.largest_id, *(largest_id(self.spark.read.schema(SCHEMA).parquet(f"{self.root}/{f}")) for f in folders)])
         listed = before.issues if issues is None else [list(i) for i in issues[:MOST_ISSUES]]
-        return self._publish(replace(before, last_event_id=last_event_id, revision=before.revision + 1, issues=listed, saved=time.time(), changes=[*before.changes, *folders], retries=self._with_retries(retries)))
+        return self._publish(replace(before, last_event_id=last_event_id, revision=before.revision + 1, issues=listed, saved=time.time(), changes=[*before.changes, *folders], retries=self._with_retries(retries), largest_id=largest))
 
     def load(self) -> tuple[DataFrame, Manifest] | None:
         m = self.manifest()

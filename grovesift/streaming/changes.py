@@ -110,7 +110,7 @@ class LiveTable:
             return
         again = waiting.select("path", F.lit("list").alias("task"), F.lit(False).alias("deep"))
         seen = written(self.inspect(coalesced(tasks.unionByName(again)), files, self.gate), "seen")
-        changed = self.changed(files, seen)
+        changed = self.changed(files, seen, manifest.largest_id)
         failed = seen.filter(F.col("error").isNotNull() & ~F.col("error").isin(*GONE)).select("path").distinct()
         retry = written(failed.join(waiting, "path", "left").select("path", (F.coalesce("attempt", F.lit(0)) + 1).cast("int").alias("attempt")), "retry")
         self._remember(seen)
@@ -121,8 +121,8 @@ class LiveTable:
         drop(tasks, seen, changed, *([retry] if retry is not None else []))
         self.store.maintain()
 
-    def changed(self, files: DataFrame, seen: DataFrame) -> DataFrame:
-        """What was seen, as rows for :func:`reconcile.overlay` (a written table).
+    def changed(self, files: DataFrame, seen: DataFrame, largest: int) -> DataFrame:
+        """What was seen, as rows for :func:`reconcile.overlay` (a written table); new ids are above ``largest``.
 
         Of folders that are gone all children go; of folders that couldn't be read whole none does. New folders
         come with all that is below them.
@@ -139,13 +139,13 @@ class LiveTable:
         diff = reconcile.diff(files.filter("is_live"), listed, inspected)
         partly = inspected.filter(~F.col("whole")).select("parent").withColumn("action", F.lit("delete"))
         diff = written(diff.join(partly, ["parent", "action"], "left_anti"), "diff")
-        first = written(reconcile.changed_rows(files, diff, largest_id(files) + 1), "changed")
+        first = written(reconcile.changed_rows(files, diff, largest + 1), "changed")
         out = first
         roots = first.join(diff.filter("is_dir and action in ('insert', 'replace')").select("parent", "name"), ["parent", "name"], "left_semi").filter("is_live")
         more = None
         if not roots.isEmpty():
             depth = roots.select(F.col("path").alias("_top"), "depth", F.size(F.split("path", "/")).alias("_parts"), "vol_id")
-            start = max(largest_id(files), largest_id(first)) + 1
+            start = max(largest, largest_id(first)) + 1
             more = written(self.inspect.subtrees(roots.select("path")).filter("error is null").withColumn("id", F.monotonically_increasing_id() + start), "below")
             parents = roots.select(F.col("path").alias("parent_path"), F.col("id").alias("parent")).unionByName(more.filter("is_dir").select(F.col("path").alias("parent_path"), F.col("id").alias("parent")))
             from ..functions.text import ancestors
