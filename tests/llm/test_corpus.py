@@ -184,7 +184,7 @@ def test_windows_that_suffixes_share():
     assert list(zip(most.tolist(), least.tolist(), strict=True)) == [(max(w, default=-1), min(w, default=-1)) for w in want] and sum(map(bool, want)) > 50
 
 
-@pytest.mark.parametrize(("suffixes", "slice_", "docs"), [(3, 1 << 23, 4000), (50, 300, 4000), (16_384, 5000, 0)])
+@pytest.mark.parametrize(("suffixes", "slice_", "docs"), [(12, 1 << 23, 4000), (60, 300, 4000), (16_384, 5000, 0)])
 def test_repeated_substrings_across_borders(spark, corpus, suffixes, slice_, docs, monkeypatch):
     """Many buckets, so that equal windows are parted; small slices, so that tasks meet; anchors dealt out by digest, or not."""
     monkeypatch.setattr(substrings, "SUFFIXES", suffixes)
