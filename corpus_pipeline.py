@@ -50,7 +50,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         alone = rows.groupBy("doc_id").agg(F.min_by(bare, n).alias(bare), F.min(n).alias(n)).filter(bare).select(n)
         kept = kept.union(alone)
     kept = materialize(kept.select(F.col("doc_id").alias("_grovesift_id")).distinct(), "kept")
-    return rows.join(kept, rows[n] == kept["_grovesift_id"], "left_semi").select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    # A merge join at every size: a broadcast of small lists of ids alone would make the stage look cheaper than it is at scale.
+    return rows.join(kept.hint("merge"), rows[n] == kept["_grovesift_id"], "left_semi").select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
