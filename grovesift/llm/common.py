@@ -36,6 +36,12 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
+def bytes_per_batch(spark: SparkSession) -> None:
+    """Ends Arrow batches at 32 MB too, for tables whose rows are packed blocks."""
+    small_batches(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, hmm, langid, license_scan, merkle, neardup, resample, secrets, substrings
+from . import bpe, chat, decontam, hmm, langid, license_scan, merkle, neardup, negatives, resample, secrets, substrings
 from .common import table, tokenizer_path
 
 
@@ -56,6 +56,10 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secrets.base_counts(docs, secrets.fit(docs))
@@ -72,12 +76,12 @@ def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The operators, and parts of the results of three of them that SQL can express.
 EVERY = (
     op1_language_id, op2_license_scan, op3_decontamination, op4_near_duplicates, op5_secret_scan, op6_bpe, op7_fingerprints, op8_substring_dedup, op9_lm_score, op10_chat_format,
-    op11_resample,
+    op11_resample, op13_hard_negatives,
     secret_counts, edited_texts, lm_base_scores,
 )
 SQL = {
     "op2_license_scan": license_scan.ORACLE, "op4_near_duplicates": neardup.ORACLE, "op8_substring_dedup": substrings.ORACLE, "op10_chat_format": chat.ORACLE,
-    "op11_resample": resample.ORACLE,
+    "op11_resample": resample.ORACLE, "op13_hard_negatives": negatives.ORACLE,
     "secret_counts": secrets.ORACLE_COUNTS, "edited_texts": merkle.ORACLE_EDITED, "lm_base_scores": hmm.ORACLE_BASE,
 }
 

@@ -2,13 +2,16 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from grovesift.llm import resample
+from grovesift.llm import negatives, resample
 
 WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -73,3 +76,52 @@ def test_a_bucket_in_every_document_is_dealt_out(spark, monkeypatch):
     posted = resample.postings(docs)
     places = posted.filter("grp >= 0").select(F.pmod(F.xxhash64("block"), F.lit(resample.SALTS)).alias("salt")).groupBy("salt").count().collect()
     assert len(places) > resample.SALTS // 2 and max(r["count"] for r in places) <= 12
+
+
+def plain_negatives(rows, anchors, positives=5, negatives=5, low=80, high=100, scale=256):
+    """mine() in plain loops: rows of (id, label, vector) to a Counter of its results."""
+    taken = {(i, label, tuple(math.floor(x * scale) for x in v)) for i, label, v in rows if None not in (i, label, v) and all(x is not None and math.isfinite(x) for x in v)}
+    out = Counter()
+    for a in (r for r in taken if anchors(r[0])):
+        scored = [(-sum(x * y for x, y in zip(a[2], r[2], strict=False)), r[0], r[1]) for r in taken if r[0] != a[0]]
+        for s, i, _ in sorted(x for x in scored if x[2] == a[1])[:positives]:
+            held = sorted(x for x in scored if x[2] != a[1] and low * -s <= high * -x[0] <= high * -s)[:negatives]
+            out.update((a[0], i, k + 1, x[1], -s, -x[0]) for k, x in enumerate(held))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_hard_negatives_are_those_of_a_plain_loop(spark, monkeypatch, seed):
+    monkeypatch.setattr(negatives, "ROWS", 37)
+    monkeypatch.setattr(negatives, "ANCHORS", 3)
+    monkeypatch.setattr(negatives, "CHUNK", 3)
+    rng = random.Random(seed)
+    rows = [(i, rng.choice([0, 0, 1, 2, -3]), [rng.choice([-0.5, 0.1, 0.25, 0.7, 1.0]) for _ in range(8)]) for i in range(300)]
+    rows += rows[:20] + [(i, 1, rows[10][2]) for i in range(300, 360)]  # repeated rows; many copies of one vector
+    rows += [(400, 0, None), (401, None, [1.0]), (None, 1, [1.0] * 8), (402, 1, []), (403, 0, [float("nan")] * 8), (404, 0, [float("inf"), 1.0]), (405, 1, [1.0, None]), (406, 0, [9.0] * 11), (20, 2, [0.5] * 8), (500, 7, [1.0] * 8)]
+    table = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").withColumn("rank", F.lit("clash")).withColumn("k", F.lit(0))
+    got = Counter(tuple(r) for r in negatives.mine(table, F.col("vec_id") % 20 == 0).collect())
+    rows = [(i, label, v and [x and float(np.float32(x)) for x in v]) for i, label, v in rows]
+    assert got == plain_negatives(rows, lambda i: i % 20 == 0) and len(got) > 100
+
+
+def test_large_components_and_empty_tables(spark):
+    """Products beyond what doubles hold exactly are multiplied as integers."""
+    kind = "vec_id long, label int, embedding array<double>"
+    rows = [(0, 0, [2.0**20 + 1, 3.0]), (1, 0, [2.0**21 + 1, 5.0]), (2, 1, [2.0**20 + 3, 7.0]), (3, 1, [2.0**21, 1.0]), (100, 0, [2.0**19, 11.0])]
+    table = spark.createDataFrame(rows, kind)
+    got = Counter(tuple(r) for r in negatives.mine(table, F.col("vec_id") % 100 == 0).collect())
+    assert got == plain_negatives(rows, lambda i: i % 100 == 0) and got
+    assert negatives.hard_negatives(table.limit(0)).collect() == []
+    assert negatives.hard_negatives(table.filter("vec_id in (1, 2)")).collect() == []
+
+
+def test_frequent_label_and_copies_dont_multiply_rows(spark):
+    """Candidates hold one row for each tile and anchor, whatever is alike."""
+    table = spark.range(3000).select(F.col("id").alias("vec_id"), F.when(F.col("id") % 3 == 0, 1).otherwise(0).alias("label"), F.expr("array(0.5, 0.5)").alias("embedding"))
+    blocks = negatives.packed(negatives.quantised(table, 256).coalesce(1), negatives.ROWS)
+    anchors = negatives.packed(negatives.quantised(table.filter("vec_id % 100 = 0"), 256).coalesce(1), negatives.ANCHORS)
+    found = negatives.candidates(negatives.tiles(negatives.grid(anchors, blocks)), 5, 80, 100)
+    assert found.count() == 30 * blocks.filter("k = 0").count() == 60
+    rows = [(i, int(i % 3 == 0), [0.5, 0.5]) for i in range(3000)]
+    assert Counter(tuple(r) for r in negatives.mine(table, F.col("vec_id") % 100 == 0).collect()) == plain_negatives(rows, lambda i: i % 100 == 0)
