@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, hmm, langid, license_scan, merkle, neardup, negatives, resample, secrets, substrings
+from . import bpe, chat, decontam, hmm, langid, license_scan, merkle, neardup, negatives, pages, resample, secrets, substrings
 from .common import table, tokenizer_path
 
 
@@ -56,6 +56,10 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "pages"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
 
@@ -76,7 +80,7 @@ def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The operators, and parts of the results of three of them that SQL can express.
 EVERY = (
     op1_language_id, op2_license_scan, op3_decontamination, op4_near_duplicates, op5_secret_scan, op6_bpe, op7_fingerprints, op8_substring_dedup, op9_lm_score, op10_chat_format,
-    op11_resample, op13_hard_negatives,
+    op11_resample, op12_main_text, op13_hard_negatives,
     secret_counts, edited_texts, lm_base_scores,
 )
 SQL = {

@@ -1,18 +1,20 @@
 """Importance resampling, page extraction and hard negatives against plain loops over odd tables."""
 
 import hashlib
+import html
 import math
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from grovesift.llm import negatives, resample
+from grovesift.llm import negatives, pages, resample
 
+SF = "/root/testdata/sf0.001"
 WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -125,3 +127,97 @@ def test_frequent_label_and_copies_dont_multiply_rows(spark):
     assert found.count() == 30 * blocks.filter("k = 0").count() == 60
     rows = [(i, int(i % 3 == 0), [0.5, 0.5]) for i in range(3000)]
     assert Counter(tuple(r) for r in negatives.mine(table, F.col("vec_id") % 100 == 0).collect()) == plain_negatives(rows, lambda i: i % 100 == 0)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (None, ""), ("", ""), ("plain &amp; simple\n text", "plain & simple text"), ("<p>a<b>b</b>c<p>d", "abc d"), ("1 < 2 &lt; 3 &am", "1 < 2 < 3 &am"), ("a<br>b&nbsp;c", "a b c"),
+        ('<div class="menu"><p>m</div><p title=5">x</p>', "x"), ("<article><p>t</p><article>c</article><footer>f</footer></article>", "t"), ("<head><title>x</title><body><p>y", "y"),
+        ("<form><article>z</article></form><aside><article>q</article></aside>", "z"), ('<main><p>a</p><div id="user-comments"><p>no</p></div></main><p>b', "a"), ('<p>Text <span class="share">S</span> more</p>', "Text more"),
+        ("<!-- <p>x --><p>y<!-- z", "y"), ("<script>var a='<p>'</SCRIPT >k<style>p{}", "k"), ("<header><h1>Site</h1></header><article><header><h1>T</h1></header><p>b</article>", "T b"),
+        ('<div role="alert">We use cookies</div><div class="cookie-notice">ok?</div><p>x</p><p hidden>h</p><p style="display: none">h</p>', "x"), ("<ul><li class=ad>A<li>B</ul>", "B"), ("<p>x</p><p cla", "x"),
+        ("<nav>only a menu</nav>", ""), ("<form><input value='v'><select><option>o</select><button>go</button></form><table><tr><td>1<td>2</table>", "1 2"), ("<p>\x00\ud7ff</p><3 <>", "\x00\ud7ff <3 <>"),
+    ],
+)
+def test_blocks_of_markup(page, text):
+    found = pages.blocks(page)
+    assert pages.kept(found, ())[0] == text and pages.unpack(pages.pack(found)) == found
+
+
+def plain_text(rows):
+    """main_text() over (page_id, url, html) in plain loops, by sets of runs."""
+    cores, runs = {}, defaultdict(set)
+    hosts = [re.sub(r"^(\w+:)?//([^/?#@]*@)?([^/?#:]*).*|.*", lambda m: m[3] or "", u or "", count=1, flags=re.S).lower() for _, u, _ in rows]
+    cut = []
+    for n, (_, _, page) in enumerate(rows):
+        found = pages.blocks(page)
+        best = max((r for r, _, _ in found), default=0)
+        cores[n] = max((t for r, _, t in found if r == best), key=len, default="")
+        tokens, parts = [], []
+        for i, (region, mark, text) in enumerate(found):
+            if region == pages.ARTICLE:
+                parts.append(tokens)
+                tokens = []
+            else:
+                tokens += [(mark | 1, i), *((w, i) for w in text.split())]
+        parts.append(tokens)
+        cut.append((found, best, parts))
+        for p in parts:
+            for k in range(max(1, len(p) - pages.RUN + 1) if p else 0):
+                runs[hosts[n], tuple(t for t, _ in p[k : k + pages.RUN])].add(cores[n])
+    out = []
+    for n, (found, best, parts) in enumerate(cut):
+        hit, size = Counter(), Counter(i for p in parts for _, i in p)
+        for p in parts:
+            covered = set()
+            for k in range(max(1, len(p) - pages.RUN + 1) if p else 0):
+                if len(runs[hosts[n], tuple(t for t, _ in p[k : k + pages.RUN])]) > 1:
+                    covered |= set(range(k, min(k + pages.RUN, len(p))))
+            hit.update(p[k][1] for k in covered)
+        text = " ".join(t for i, (r, _, t) in enumerate(found) if r == best and best and (r == pages.ARTICLE or 2 * hit[i] <= size[i]))
+        out.append((rows[n][0], rows[n][1], text, len(text), sum(hit.values())))
+    return Counter(out)
+
+
+def soup(rng, k, host):
+    """A page without telling elements: a menu and a footer of its host around paragraphs of its own."""
+    words = [rng.choice("alpha beta gamma delta omega sigma kappa lambda".split()) + str(rng.randrange(50)) for _ in range(120)]
+    menu = "".join(f"<div><a href=/{i}>{host} item {i}</a></div>" for i in range(6))
+    own = "".join(f"<div>{' '.join(words[i : i + 40])}.</div>" for i in (0, 40, 80))
+    return f"<html><body><div>{menu}</div><div>{own}</div><div>All rights of {host} are reserved by those who wrote these pages</div></body></html>", " ".join(f"{' '.join(words[i : i + 40])}." for i in (0, 40, 80))
+
+
+def test_repeated_runs_of_a_host_are_removed(spark):
+    rng = random.Random(5)
+    rows, truth = [], {}
+    for k in range(120):
+        host = "big.example.org" if k % 3 else f"h{k % 4}.example.org"
+        page, text = soup(rng, k, host)
+        rows.append((k, f"https://user@{host.upper() if k % 2 else host}:80/{k}", page))
+        truth[k] = text
+    rows += [(200 + k, "http://big.example.org/copy", rows[1][2]) for k in range(40)]  # copies of a page
+    truth |= {200 + k: truth[1] for k in range(40)}
+    rows += [(300 + k, "http://big.example.org/edited", rows[4][2].replace(truth[4].split(". ")[0], f"Edited opening number {k}")) for k in range(5)]
+    rows += [(400, None, None), (401, "", ""), (402, "no address", "<p>x"), (403, "//lone.example.org", rows[7][2]), rows[5], rows[5]]
+    rows.append((500, "http://big.example.org/long", "<p>" + "very long text " * 100_000 + "</p>" + "<b>" * 2000))
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("core", F.lit(1))
+    got = [tuple(r) for r in pages.main_text(table).collect()]
+    assert Counter(got) == plain_text(rows)
+    texts = {r[0]: r[2] for r in got}
+    assert all(texts[k] == v for k, v in truth.items()), "menus and footers go, whole articles and their copies stay"
+    assert texts[403].startswith("big.example.org item 0") and texts[500].count("very") == 100_000
+
+
+def test_main_text_of_the_tables_is_the_article(spark):
+    table = spark.read.parquet(f"{SF}/pages.parquet")
+    rows = [tuple(r) for r in table.select("page_id", "url", "html").collect()]
+    got = [tuple(r) for r in pages.main_text(table).collect()]
+    assert Counter(got) == plain_text(rows)
+    articles = {i: re.search("<article>(.*)</article>", page, re.S)[1] for i, _, page in rows}
+    truth = {i: " ".join(html.unescape(re.sub("</?(h1|p|br)>", " ", a).replace("<b>", "").replace("</b>", "")).split()) for i, a in articles.items()}
+    assert {r[0]: r[2] for r in got} == truth
+
+
+def test_main_text_of_an_empty_table(spark):
+    assert pages.main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
