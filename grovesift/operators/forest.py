@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import ancestors, extension, fold_column
-from ..scratch import written
+from ..scratch import drop, written
 
 SCHEMA = T.StructType(
     [
@@ -28,27 +28,50 @@ def with_folds(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"name_fold": name, "path_fold": fold_column(F.col("path")), "ext_fold": extension(name)})
 
 
-def build(rows: DataFrame, most_depth: int = 256) -> DataFrame:
-    """Files with paths, from rows (id, parent, name, size, mtime, is_dir, vol_id, is_live); a root's name is its path.
+PLACED, OPEN, ORPHAN = 0, 1, 2
+
+
+def chased(rows: DataFrame) -> DataFrame:
+    """(id, up, part, depth, state) of every row: its path and depth where a chain of parents leads to a root.
 
     By pointer doubling: each row holds a part of its path and the ancestor where that part begins, and takes the
     ancestor's part in front; so the number of rounds, each one join and a written table, is the logarithm of the
-    depth. Rows that reach no root (orphans, cycles) are left out.
+    depth, however deep. A row whose ancestor isn't there is an orphan, and so are all below it. While any chain ends, its rows
+    of the next power of two of levels are closed in a round; a round that closes none leaves cycles, which stay open.
     """
     root = F.col("parent").isNull()
-    steps = rows.select("id", F.when(root, None).otherwise(F.col("parent")).alias("up"), F.col("name").alias("part"), F.when(root, 0).otherwise(1).alias("depth"))
-    reach = 1
-    while reach < most_depth:
-        above = steps.select(F.col("id").alias("up"), F.col("up").alias("further"), F.col("part").alias("front"), F.col("depth").alias("more"), F.lit(True).alias("known"))
+    steps = rows.select(
+        "id", F.when(root, None).otherwise(F.col("parent")).alias("up"), F.col("name").alias("part"), F.when(root, 0).otherwise(1).cast("long").alias("depth"), F.when(root, PLACED).otherwise(OPEN).alias("state")
+    )
+    steps, before = written(steps, "paths"), -1
+    while (left := steps.filter(F.col("state") == OPEN).count()) not in (0, before):
+        above = steps.select(F.col("id").alias("up"), F.col("up").alias("further"), F.col("part").alias("front"), F.col("depth").alias("more"), F.col("state").alias("there"))
         joint = F.when(F.col("front") == "/", F.lit("/")).otherwise(F.concat("front", F.lit("/")))
-        open_ = steps.filter(F.col("up").isNotNull()).join(above, "up")
-        moved = open_.select("id", F.col("further").alias("up"), F.concat(joint, "part").alias("part"), (F.col("depth") + F.col("more")).alias("depth"))
-        steps = written(steps.filter(F.col("up").isNull()).unionByName(moved), "paths")
-        reach *= 2
-        if steps.filter(F.col("up").isNotNull()).isEmpty():
-            break
-    placed = steps.filter(F.col("up").isNull()).select("id", F.col("part").alias("path"), "depth")
-    return with_folds(rows.join(placed, "id")).select(*SCHEMA.fieldNames())
+        lost = F.col("there").isNull() | (F.col("there") == ORPHAN)
+        moved = steps.filter(F.col("state") == OPEN).join(above, "up", "left").select(
+            "id", F.when(lost, F.col("up")).otherwise(F.col("further")).alias("up"), F.when(lost, F.col("part")).otherwise(F.concat(joint, "part")).alias("part"),
+            F.when(lost, F.col("depth")).otherwise(F.col("depth") + F.col("more")).alias("depth"), F.when(lost, ORPHAN).otherwise(F.col("there")).alias("state"),
+        )
+        further = written(steps.filter(F.col("state") != OPEN).unionByName(moved), "paths")
+        drop(steps)
+        steps, before = further, left
+    return steps
+
+
+def placed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Files with paths, and issues (id, problem) of the rows that have none: ``orphan`` or ``cycle``, each with all below it.
+
+    ``rows`` has id, parent, name, size, mtime, is_dir, vol_id and is_live; a root's name is its path.
+    """
+    steps = chased(rows)
+    paths = steps.filter(F.col("state") == PLACED).select("id", F.col("part").alias("path"), F.col("depth").cast("int").alias("depth"))
+    issues = steps.filter(F.col("state") != PLACED).select("id", F.when(F.col("state") == ORPHAN, "orphan").otherwise("cycle").alias("problem"))
+    return with_folds(rows.join(paths, "id")).select(*SCHEMA.fieldNames()), issues
+
+
+def build(rows: DataFrame) -> DataFrame:
+    """Files with paths; rows that reach no root are left out, see :func:`placed`."""
+    return placed(rows)[0]
 
 
 def live(files: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import scratch
@@ -154,6 +154,21 @@ walk AS (SELECT id, name AS path, 0 AS depth FROM plain WHERE parent IS NULL
 SELECT id, path, depth FROM walk""")
 
 
+def _chains(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as folders within each other: each one in the order before it, from every 2,000th key on a new tree."""
+    key, block = F.col("o_orderkey"), F.floor(F.col("o_orderkey") / 2000)
+    before = F.lag("o_orderkey").over(Window.partitionBy(block).orderBy("o_orderkey"))
+    name = F.when(before.isNull(), F.concat(F.lit("/"), block.cast("string"))).otherwise((key % 10).cast("string"))
+    off = F.lit(0).cast("long")
+    return spark.read.parquet(f"{folder}/orders.parquet").select(key.cast("long").alias("id"), before.cast("long").alias("parent"), name.alias("name"), off.alias("size"), off.alias("mtime"), F.lit(True).alias("is_dir"), F.lit(1).alias("vol_id"), F.lit(True).alias("is_live"))
+
+
+register("deep_paths", lambda s, d: forest.build(_chains(s, d)).select("id", "depth", F.length("path").alias("long"), F.md5(F.col("path").cast("binary")).alias("digest")), """
+WITH o AS (SELECT o_orderkey AS id, o_orderkey // 2000 AS block, row_number() OVER (PARTITION BY o_orderkey // 2000 ORDER BY o_orderkey) - 1 AS depth FROM orders),
+p AS (SELECT id, depth, string_agg(CASE WHEN depth = 0 THEN '/' || block ELSE (id % 10)::VARCHAR END, '/') OVER (PARTITION BY block ORDER BY id) AS path FROM o)
+SELECT id, depth::INTEGER AS depth, length(path)::INTEGER AS long, md5(path) AS digest FROM p""")
+
+
 def _tombstoned(spark: SparkSession, folder: str) -> DataFrame:
     gone = (F.col("id") % 7 == 3) & (F.col("depth") >= 2)
     return files(spark, folder).withColumn("is_live", ~gone)
@@ -239,8 +254,10 @@ register("project_marker_exclude", lambda s, d: rules.apply_rules(_project_entri
 x AS (SELECT *, '/c' || parent || '/' || name AS path, name = 'node_modules' OR (project AND name = 'build') OR (NOT is_dir AND lower(name) LIKE '%.tmp') AS gone FROM m)
 SELECT id, name FROM x WHERE NOT gone AND path NOT IN (SELECT path FROM x WHERE gone AND is_dir)""")
 register("nested_root_elim", lambda s, d: rules.outermost_rows(files(s, d).filter("id % 3 = 1").select("path")), f"{FILES}, r2 AS (SELECT DISTINCT path FROM files WHERE id % 3 = 1) SELECT path FROM r2 a WHERE NOT EXISTS (SELECT 1 FROM r2 b WHERE starts_with(a.path, b.path || '/'))")
-# The same over whole levels, without SQL: a prefix join is quadratic.
-register("nested_root_elim_whole", lambda s, d: rules.outermost_rows(files(s, d).filter("depth >= 3").select("path")))
+# The same over whole levels: paths unnested to what is above them, and an anti-join by equality.
+register("nested_root_elim_whole", lambda s, d: rules.outermost_rows(files(s, d).filter("depth >= 3").select("path")), f"""{FILES}, r3 AS (SELECT DISTINCT path FROM files WHERE depth >= 3),
+above AS (SELECT path, array_to_string(list_slice(string_split(path, '/'), 1, k), '/') AS up FROM (SELECT path, unnest(range(1, len(string_split(path, '/')))) AS k FROM r3))
+SELECT path FROM r3 WHERE path NOT IN (SELECT a.path FROM above a JOIN r3 b ON a.up = b.path)""")
 _SYSTEM = ("/System/Volumes/VM", "/System/Volumes/Data", "/System/Volumes/VMX", "/net/share", "/home")
 register("effective_rules", lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", F.col("event_type").alias("name"), F.concat(F.element_at(F.array(*map(F.lit, _SYSTEM)), (F.col("event_id") % 5 + 1).cast("int")), F.lit("/"), "event_type").alias("path"), F.lit(False).alias("hidden"))
   .filter(~rules.effective(rules.ExcludeRules(), [("/net/share", False), ("/home", True)]).entry_column(F.lit(False))).select("event_id", "path"), "SELECT event_id, CASE event_id % 5 WHEN 2 THEN '/System/Volumes/VMX/' ELSE '/home/' END || event_type AS path FROM events WHERE event_id % 5 IN (2, 4)")
@@ -272,7 +289,7 @@ def _whole(spark: SparkSession, folder: str) -> DataFrame:
 
 register("change_rebuilds", lambda s, d: changes.route(_whole(s, d), ["/u", "/Volumes"]).filter("task = 'rebuild'").select("event_id", "path"), "SELECT event_id, '/' AS path FROM events WHERE event_type = 'click' OR (event_type = 'purchase' AND event_id % 3 < 2) OR (event_type = 'error' AND event_id % 3 = 0)")
 register("flag_bits", lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", *[c.alias(k) for k, c in changes.classify((F.col("event_id") * 37).cast("int")).items()]), "SELECT event_id, (event_id * 37) & 1 <> 0 AS must_scan, (event_id * 37) & 14 <> 0 AS dropped, (event_id * 37) & 224 <> 0 AS mount, (event_id * 37) & 2816 <> 0 AS structural, (event_id * 37) & 62464 <> 0 AS metadata FROM events")
-register("checkpoint_max", lambda s, d: _feed(s, d).agg(F.max("event_id").alias("last_event")), "SELECT max(event_id) AS last_event FROM events")
+register("checkpoint_max", lambda s, d: changes.cursor_row(_feed(s, d), -1).select("last_event"), "SELECT max(event_id) AS last_event FROM events")
 register("retry_delays", lambda s, d: changes.retries(_feed(s, d).select("path", (F.col("event_id") % 9).cast("int").alias("attempt"))), "SELECT '/u/' || user_id || '/' || event_type AS path, (event_id % 9 + 1)::INT AS attempt, least(60, 1 << least(event_id % 9, 6))::INT AS delay FROM events")
 # The optional index.
 register("trigram_postings", lambda s, d: index.selectivity(index.postings(files(s, d))), f"{FILES}, g AS (SELECT DISTINCT id, substr(name_fold, i, 3) AS trigram FROM (SELECT id, name_fold, unnest(range(1, length(name_fold) - 1)) AS i FROM files)) SELECT trigram, count(*) AS n FROM g GROUP BY trigram")

@@ -76,11 +76,16 @@ def retries(failed: DataFrame) -> DataFrame:
     return failed.select("path", attempt.alias("attempt"), F.least(F.lit(60), power.cast("int")).alias("delay"))
 
 
+def cursor_row(batch: DataFrame, before: int) -> DataFrame:
+    """(last_event): the largest event id of a batch, or that of before it."""
+    return batch.agg(F.coalesce(F.greatest(F.max("event_id"), F.lit(before)), F.lit(before)).cast("long").alias("last_event"))
+
+
 def cursor(before: int, batch: DataFrame, failed: bool) -> int:
     """The last event that needn't be seen again: nothing moves on while a path still has to be retried."""
     if failed:
         return before
-    return max(before, batch.agg(F.coalesce(F.max("event_id"), F.lit(before))).first()[0])
+    return cursor_row(batch, before).first()[0]
 
 
 class LiveTable:
