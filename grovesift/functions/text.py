@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 #: Letters, marks and digits: what a whole word may not touch.
 WORD_CHARACTER = r"[\p{L}\p{M}\p{N}]"
-#: What stands before the name of a POSIX class in a pattern, and Java's name for it.
-POSIX = {name.lower(): rf"\p{{{name}}}" for name in ("Alpha", "Digit", "Alnum", "Upper", "Lower", "Punct", "Graph", "Print", "Blank", "Cntrl", "XDigit", "Space")}
 
 
 def fold(text: str) -> str:
@@ -48,11 +46,6 @@ def whole_word_pattern(term: str) -> str:
     return f"(?<!{WORD_CHARACTER}){quote(term)}(?!{WORD_CHARACTER})"
 
 
-def java_pattern(pattern: str) -> str:
-    """A pattern whose POSIX classes are spelled the Java way."""
-    return re.sub(r"\[:(\w+):\]", lambda m: POSIX.get(m[1].lower(), m[0]), pattern)
-
-
 def extension(name: Column) -> Column:
     """What follows the last dot, unless nothing else precedes or follows it."""
     return F.regexp_extract(name, r"(?s)^.+\.([^.]*)$", 1)

@@ -5,8 +5,6 @@ A filter scan is the default; the index pays for rare terms over tables that are
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,42 +51,3 @@ def lookup(files: DataFrame, index: DataFrame, term: str) -> DataFrame:
     ids = candidates(index, term)
     rows = files.filter("is_live").filter(test)
     return rows if ids is None else rows.join(ids, "id", "left_semi")
-
-
-def required_literal(pattern: str) -> str | None:
-    """The longest run of plain characters that every match of a pattern holds; None if there is none of three.
-
-    Anything that may make a character optional ends a run; groups and classes make no run. Patterns with alternatives,
-    flags, classes within classes, or escapes of letters and digits other than the usual classes and borders have none.
-    """
-    if "|" in pattern or "(?" in pattern:
-        return None
-    runs, run, depth, i = [], "", 0, 0
-    while i < len(pattern):
-        c, step, plain = pattern[i], 1, False
-        if c == "\\" and i + 1 < len(pattern):
-            c, step = pattern[i + 1], 2
-            plain = not c.isalnum()
-            if not plain and c not in "dDsSwWbB":
-                return None
-        elif c == "[":
-            end = re.compile(r"\[\^?(?:\\[pP]\{\w+\}|\\[dDsSwW]|\\\W|[^\]\[\\])+\]").match(pattern, i)
-            if not end:
-                return None
-            step = end.end() - i
-        elif c in "()":
-            depth += 1 if c == "(" else -1
-        else:
-            plain = c not in "^$.*+?{}"
-        follows = pattern[i + step : i + step + 1]
-        if c == "{" and not plain:
-            step = max(step, pattern.find("}", i) - i + 1)
-        if plain and depth == 0 and follows not in ("*", "?", "{"):
-            run += c
-        else:
-            runs, run = [*runs, run], ""
-        if follows == "+":
-            runs, run = [*runs, run], ""
-        i += step
-    best = max([*runs, run], key=len)
-    return best if len(best) >= 3 else None

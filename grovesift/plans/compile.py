@@ -10,12 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, glob_pattern, has_wildcard, whole_word_pattern, within
-from ..operators.trigrams import required_literal
 from .ast import And, Everything, Extensions, Folder, Kind, Modified, Node, Not, Or, PathText, Pattern, Size, Text, Xor
-
-
-#: Letters that a pattern without case also finds in characters beyond ASCII (dotted and dotless i, Kelvin, long s).
-FOLDED_FROM_AFAR = frozenset("iks")
+from .patterns import compiled
 
 
 @dataclass(frozen=True)
@@ -38,6 +34,14 @@ def _text(term: str, target: str, o: Options, whole_word: bool) -> Column:
     return column.rlike(whole_word_pattern(term)) if whole_word else column.contains(term)
 
 
+def _needed(need, column: Column) -> Column:
+    """The texts of a pattern's formula in a column."""
+    if isinstance(need, str):
+        return column.contains(need)
+    kind, parts = need
+    return reduce(and_ if kind == "and" else or_, (_needed(p, column) for p in parts))
+
+
 def _between(column: str, low: int | None, high: int | None) -> Column:
     c = F.col(column)
     bounds = [c >= low] * (low is not None) + [c <= high] * (high is not None)
@@ -71,15 +75,10 @@ def to_column(node: Node, o: Options = Options()) -> Column:
         case Extensions(names):
             return F.col("ext_fold").isin([fold(n) for n in names if n.isascii()]) if any(n.isascii() for n in names) else F.lit(False)
         case Pattern(regex):
-            target = "path" if o.match_path else "name"
-            test = F.col(target).rlike(("(?iu)" if o.ignore_case else "") + regex)
-            literal = required_literal(regex)
-            # A plain text that every match holds is tested first; that test reaches the scan.
-            if literal and not o.ignore_case:
-                return F.col(target).contains(literal) & test
-            if literal and literal.isascii() and not set(fold(literal)) & FOLDED_FROM_AFAR:
-                return F.col(f"{target}_fold").contains(fold(literal)) & test
-            return test
+            target, found = "path" if o.match_path else "name", compiled(regex, o.ignore_case)
+            test = F.col(target).rlike(found.java)
+            # Texts that every match holds are tested first; these tests reach the scan.
+            return test if found.need is None else _needed(found.need, F.col(f"{target}_fold" if found.ignoring else target)) & test
         case Kind(folder):
             return F.col("is_dir") if folder else ~F.col("is_dir")
         case Size(low, high):

@@ -138,6 +138,25 @@ register(
     "regex_dotless", lambda s, d: matches(forest.with_folds(files(s, d).withColumn("name", F.concat(F.element_at(F.array(*map(F.lit, _DOTLESS.values())), (F.col("id") % 4 + 1).cast("int")), F.lit("-"), "name"))), Request("regex:^liman-")).select("id", "name"),
     f"{FILES} SELECT id, CASE id % 4 WHEN 0 THEN 'lıman' WHEN 1 THEN 'LİMAN' ELSE 'Liman' END || '-' || name AS name FROM files WHERE id % 4 <> 3",
 )
+# Patterns beyond ASCII, over orders whose names begin with words of several scripts; alternatives.
+_SCRIPTS = ("über", "naïve", "x٣", "Ελλάδα", "a-b", "日本1")
+_NAME_SQL = f"CASE id % {len(_SCRIPTS)} " + " ".join(f"WHEN {k} THEN '{w}'" for k, w in enumerate(_SCRIPTS)) + " END || '_' || name"
+
+
+def _scripts(spark: SparkSession, folder: str) -> DataFrame:
+    word = F.element_at(F.array(*map(F.lit, _SCRIPTS)), (F.col("id") % len(_SCRIPTS) + 1).cast("int"))
+    return forest.with_folds(files(spark, folder).withColumn("name", F.concat(word, F.lit("_"), "name")))
+
+
+def scripted(name: str, text: str, where: str, **options) -> None:
+    request = Request(text, now=NOW, **options)
+    register(name, lambda s, d: matches(_scripts(s, d), request).select("id", "name"), f"{FILES}, named AS (SELECT id, {_NAME_SQL} AS name FROM files) SELECT id, name FROM named WHERE {where}")
+
+
+scripted("regex_unicode_words", r"regex:^\w+-\d+\.[fo]$", r"regexp_matches(name, '^[\pL\pM\p{Nd}_]+-\p{Nd}+\.[fo]$')")
+scripted("regex_unicode_digits", r"regex:^\D*[[:digit:]]_", r"regexp_matches(name, '^\P{Nd}*\p{Nd}_')")
+scripted("regex_unicode_borders", r'regex:"\b(b|ÜBER)_ORDER\b"', "contains(name, '-b_order-') OR starts_with(name, 'über_order-')")
+scripted("regex_alternatives", r'regex:"(order-1|nation_2|customer#0+)[0-9]*\.?"', "contains(name, 'order-1') OR regexp_matches(name, '(?i)nation_2|customer#0')")
 # Counts, kinds and times.
 register("counts_status", lambda s, d: forest.counts(files(s, d)), f"{FILES} SELECT count(*) AS live, 0::BIGINT AS deleted, count(*) FILTER (is_dir) AS folders, sum(size)::BIGINT AS bytes FROM files")
 register("truncated_flag", lambda s, d: matches(files(s, d), _B).select("id").limit(101).agg(F.least(F.count("*"), F.lit(100)).alias("returned"), (F.count("*") > 100).alias("truncated")), f"{FILES} SELECT least(count(*), 100) AS returned, count(*) > 100 AS truncated FROM files WHERE contains(name_fold, 'order-1')")

@@ -6,6 +6,7 @@ from grovesift.errors import QueryError
 from grovesift.plans import values
 from grovesift.plans.ast import And, Everything, Extensions, Folder, Kind, Modified, Not, Or, PathText, Pattern, Plan, Size, Text, Xor
 from grovesift.plans.parser import admit, completion, is_structured, matching_commands, parse, query_of_url, suggestions
+from grovesift.plans.patterns import compiled
 
 ORDER, ASIA, F_TYPE = Text("order-7"), Folder("/ASIA"), Extensions(("f",))
 
@@ -99,3 +100,41 @@ def test_helpers():
     for bad in ("", "\t", "order\0", "é" * 9000):
         with pytest.raises(QueryError):
             admit(bad)
+
+
+@pytest.mark.parametrize(
+    ("pattern", "ignore", "need"),
+    [
+        ("order", True, "order"), ("order", False, "order"), ("urder", True, "urder"), ("abc|f", False, None), ("abc|def", False, ("or", ("abc", "def"))), ("abcs?-f", False, ("or", ("abc-f", "abcs-f"))), (r"\.csv\b", False, ".csv"),
+        ("[order]", False, None), ("(?i)burden", False, "burden"), ("ab[cd]e", False, ("or", ("abce", "abde"))), ("abcd+x", False, "abc"), ("ab(c|d)*efgh", False, "efgh"), (r"\d+abc.*def", False, ("and", ("abc", "def"))),
+        (r"\x41bc", False, "Abc"), (r"\Qa.c\E", False, "a.c"), ("(abc|def)g", False, ("or", ("abcg", "defg"))), ("a{3}b", False, "aaab"), ("(ab){2,}", False, "abab"), ("(?:abc)?", False, None), ("abc(?=def)g", False, "abcg"), ("(abc|.)x", False, None),
+        ("über", True, "ber"), ("(abc|def)(ghj|xyz.mno)", False, ("and", (("or", ("ghj", ("and", ("xyz", "mno")))), ("or", ("abc", "def"))))),
+    ],
+)
+def test_what_patterns_need(pattern, ignore, need):
+    found = compiled(pattern, ignore)
+    assert found.need == need
+
+
+@pytest.mark.parametrize("pattern", ["(", ")", "a)", "[", "[]", "[a", "*a", "a{2,1}", r"\q", r"\x{110000}", "(?z)", "[z-a]", r"\N{no such name}", "[[:nothing:]]", "(?<n", r"\pq", "\\", "[a&&]"])
+def test_what_isnt_a_pattern(pattern):
+    with pytest.raises(QueryError):
+        compiled(pattern)
+
+
+def test_java_spelling(spark):
+    """(pattern, what it finds as a whole, what it doesn't)."""
+    cases = [
+        (r"\w+", ["über", "naïve", "x٣", "a_b", "é"], ["a-b", "a b", ""]), (r"\d", ["1", "٣"], ["x", "½"]), (r"\s", [" ", " ", " ", "\t"], ["x", "​"]), (r"[[:alpha:]]+", ["Île", "日本"], ["a1", "-"]),
+        (r"[^[:alpha:]]", ["1", "-"], ["é"]), (r"[[:^alpha:]x]", ["1", "x"], ["é"]), (r"[a-z--[aeiou]]", ["b"], ["a", "B", "-"]), (r"[^a-z--[aeiou]]", ["a", "B"], ["b"]), (r"[a-z&&[^m-p]]", ["a", "q"], ["n"]), (r"[[a-f]--[b]--[d]]", ["a", "c"], ["b", "d"]),
+        (r"\p{Greek}+", ["Ελλάδα"], ["abc"]), (r"\p{Letter}\P{Lu}", ["ab", "A1"], ["aB", "1a"]), (r"\p{^Lu}", ["a"], ["A"]), (r"\p{script=Cyrillic}", ["ж"], ["z"]), (r"[\p{L}--[a-z]]", ["é", "A"], ["a"]), (r"a\U00000062\x63\x{64}\0145\cA", ["abcde\x01"], ["abcdeA"]),
+        (r"\N{LATIN SMALL LETTER E WITH ACUTE}", ["é"], ["e"]), (r"\Qa.b|c\E+", ["a.b|c", "a.b|ccc"], ["axb|c"]), (r"(?x) a b # a remark", ["ab"], ["a b"]), (r"(?x)[ a]", [" ", "a"], [""]), (r"a(?#none)b", ["ab"], []), (r"(?<n>a|b)\k<n>", ["aa", "bb"], ["ab"]), (r"(a)(b)\2\1", ["abba"], ["abab"]),
+        (r"(?>a+)b", ["aab"], ["aa"]), (r"(?s).", ["\n"], [""]), (r".", ["x", "😀"], ["\n", " ", "\x85"]), (r"(?:a(?i)b|c)d", ["aBd", "Cd", "abd"], ["Abd", "aBD"]), (r"(?i:a)b", ["Ab"], ["AB"]), (r"a{2}{2}", ["aaaa"], ["aa"]), (r"x*+y", ["xxy"], ["xx"]), (r"\h\v\R", [" \n\r\n", "\t\x0b\n"], ["ab\n"]),
+        (r"[]a]+", ["]a"], ["b"]), (r"[a\-z]", ["-"], ["b"]), (r"[a-]", ["-", "a"], ["b"]), (r"[\]\\]", ["]", "\\"], ["a"]), (r"[[a][b]]", ["a", "b"], ["c"]), (r"[&-]", ["&", "-"], ["a"]), (r"\$\^\{", ["$^{"], []),
+    ]
+    java_ = spark._jvm.java.util.regex.Pattern
+    for pattern, good, bad in cases:
+        found = java_.compile(compiled(pattern, False).java)
+        assert [x for x in good if not found.matcher(x).matches()] == [] and [x for x in bad if found.matcher(x).matches()] == [], pattern
+    borders = java_.compile(compiled(r"\bfür\b", True).java)
+    assert [bool(borders.matcher(x).find()) for x in ("für", "a FÜR b", "fürs", "éfür", "für-x", "für٣")] == [True, True, False, False, True, False]

@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from grovesift.operators import forest, reconcile
 from grovesift.operators.search import Request, matches, respond, search, search_or_nothing
-from grovesift.operators.trigrams import appended, candidates, index_bytes, lookup, postings, required_literal
-from grovesift.plans.compile import FOLDED_FROM_AFAR, to_column
+from grovesift.operators.trigrams import appended, candidates, index_bytes, lookup, postings
+from grovesift.plans.compile import to_column
+from grovesift.plans.patterns import FOLDED_FROM_AFAR, compiled
 
 # A store of goods: two folders with one more below, and files of odd names.
 ROWS = [
@@ -93,7 +94,8 @@ def test_name_tests_reach_the_scan(files, spark, tmp_path):
 def test_patterns_test_their_plain_part_first(files, spark, tmp_path):
     files.write.parquet(str(tmp_path / "f"))
     plan = lambda q: matches(spark.read.parquet(str(tmp_path / "f")), Request(q)).select("id")._jdf.queryExecution().executedPlan().toString()
-    assert "StringContains(name_fold,.gz)" in plan(r"regex:\.GZ$") and "StringContains" not in plan("regex:parts") and "StringContains" not in plan("regex:read|part")
+    assert "StringContains(name_fold,.gz)" in plan(r"regex:\.GZ$") and "StringContains(name_fold,part)" in plan("regex:parts") and "StringContains" not in plan("regex:read|s.k")
+    assert "Or(StringContains(name_fold,read),StringContains(name_fold,part))" in plan("regex:read|part")
 
 
 def test_letters_that_fold_from_afar(spark):
@@ -118,8 +120,9 @@ def test_the_plain_part_of_a_pattern_changes_no_answer(spark):
             tree = request.plan.tree
         except ValueError:
             continue
-        literal += required_literal(tree.regex) is not None
-        wrong.append(F.count_if(to_column(tree, request.options) != F.col("name").rlike(("(?iu)" if request.ignore_case else "") + tree.regex)))
+        found = compiled(tree.regex, request.ignore_case)
+        literal += found.need is not None
+        wrong.append(F.count_if(to_column(tree, request.options) != F.col("name").rlike(found.java)))
         tried.append(pattern)
     got = [n for k in range(0, len(wrong), 15) for n in rows.agg(*wrong[k : k + 15]).first()]
     assert [p for p, n in zip(tried, got, strict=True) if n] == [] and len(tried) > 60 and literal > 10
@@ -140,14 +143,6 @@ def test_trigram_index(files):
     assert index_bytes(index).first().bytes == 11 * index.count() and index_bytes(index.limit(0)).first().bytes == 0
 
 
-@pytest.mark.parametrize(
-    ("pattern", "literal"),
-    [("order", "order"), ("order|f", None), ("orders?-f", "order"), (r"\.csv\b", ".csv"), ("[order]", None), ("(?i)order", None), ("ordder+x", "ordder"), ("ord*er", None), (r"\d+order", "order"), (r"\x41order", None), (r"\cAorder", None), (r"\Qorder\E", None), ("(order)f", None), ("ab[a-c]order", "order"), ("[a[bc]]order", None), ("a{3}order", "order"), ("order{2}", "orde")],
-)
-def test_required_literal(pattern, literal):
-    assert required_literal(pattern) == literal
-
-
 def test_empty_table(files):
     assert search(files.limit(0), Request("part")).collect() == []
     assert forest.counts(files.limit(0)).first().bytes == 0
