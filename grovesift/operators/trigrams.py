@@ -1,14 +1,22 @@
 """An optional index: runs of three characters of names, with the ids that hold them.
 
-A filter scan is the default; the index pays for rare terms over tables that are searched often.
+A stored index goes with a base of files, whose names its postings have too: what a search needs is looked up from the
+rarest run on, and the files that hold it are read instead of all. A filter scan is the default, and what frequent runs get.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, trigrams
+from ..plans.ast import And, Node, Or, Pattern, Text
+from ..plans.patterns import both, compiled, either, texts
+
+#: Buckets of a stored index, places that a bucket is dealt out to, and runs that are intersected for a text.
+BUCKETS, PLACES, MOST_GRAMS = 64, 8, 3
 
 
 def postings(files: DataFrame) -> DataFrame:
@@ -51,3 +59,87 @@ def lookup(files: DataFrame, index: DataFrame, term: str) -> DataFrame:
     ids = candidates(index, term)
     rows = files.filter("is_live").filter(test)
     return rows if ids is None else rows.join(ids, "id", "left_semi")
+
+
+def write_index(named: DataFrame, place: str) -> None:
+    """Writes the postings (gram, id, file) of (id, name_fold, file), by buckets of runs, and how often each run occurs.
+
+    All names have postings, those beyond ASCII too. A frequent run's bucket is dealt out by id.
+    """
+    n = F.length("name_fold")
+    every = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substr(F.col("name_fold"), i, F.lit(3)))
+    rows = named.filter(n >= 3).select(F.explode(F.array_distinct(every)).alias("gram"), "id", "file").withColumn("bucket", _bucket(F.col("gram")))
+    dealt = rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(PLACES))).sortWithinPartitions("bucket", "gram", "id")
+    dealt.write.partitionBy("bucket").parquet(f"{place}/postings")
+    counts = _postings(named.sparkSession, place).groupBy("bucket", "gram").agg(F.count("*").alias("n"))
+    counts.repartition("bucket").sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(f"{place}/counts")
+
+
+def _bucket(gram):
+    return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int")
+
+
+def _postings(spark: SparkSession, place: str) -> DataFrame:
+    return spark.read.schema("gram string, id long, file string, bucket int").parquet(f"{place}/postings")
+
+
+def needed(tree: Node, options) -> object:
+    """What the folded name of every match holds: a formula of texts as in ``plans.patterns``, None if nothing is known."""
+    if options.match_path:
+        return None
+    match tree:
+        case And(parts):
+            return both(needed(p, options) for p in parts)
+        case Or(parts):
+            return either(needed(p, options) for p in parts)
+        case Text(term) if term.isascii() or not options.ignore_case:
+            return both(t for t in re.split(r"[*?]+", fold(term)) if len(t) >= 3)
+        case Pattern(regex):
+            return _folded(compiled(regex, options.ignore_case).need)
+    return None
+
+
+def _folded(need) -> object:
+    return fold(need) if isinstance(need, str) else need and (need[0], tuple(map(_folded, need[1])))
+
+
+def _grams(text: str) -> list[str]:
+    return sorted({text[i : i + 3] for i in range(len(text) - 2)})
+
+
+def files_of(spark: SparkSession, place: str, need, most: float) -> list[str] | None:
+    """The files that hold names with what is needed; None if more than ``most`` names may, so that a scan is due."""
+    every = sorted({g for t in texts(need) for g in _grams(t)})
+    counted = spark.read.schema("gram string, n long, bucket int").parquet(f"{place}/counts")
+    found = dict.fromkeys(every, 0) | {r["gram"]: r["n"] for r in _of(counted, every).collect()}
+
+    def bound(x) -> int:
+        if isinstance(x, str):
+            return min(found[g] for g in _grams(x))
+        return min(map(bound, x[1])) if x[0] == "and" else sum(map(bound, x[1]))
+
+    if bound(need) > most:
+        return None
+    postings_ = _postings(spark, place)
+
+    def holding(x) -> DataFrame:
+        """(id, file) of names: the rarest first, which the others only thin out."""
+        if isinstance(x, str):
+            first, *more = sorted(_grams(x), key=lambda g: (found[g], g))[:MOST_GRAMS]
+            out = _of(postings_, [first]).select("id", "file")
+            for g in more:
+                out = out.join(_of(postings_, [g]).select("id"), "id", "left_semi")
+            return out
+        parts = [holding(p) for p in (sorted(x[1], key=bound) if x[0] == "and" else x[1])]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.join(p.select("id"), "id", "left_semi") if x[0] == "and" else out.unionByName(p)
+        return out
+
+    return sorted(r["file"] for r in holding(need).select("file").distinct().collect())  # a row for each file
+
+
+def _of(rows: DataFrame, grams: list[str]) -> DataFrame:
+    """Rows of some runs: their buckets are folders, and within these the scan skips other runs."""
+    buckets = [r["b"] for r in rows.sparkSession.createDataFrame([(g,) for g in grams], "gram string").select(_bucket(F.col("gram")).alias("b")).distinct().collect()]
+    return rows.filter(F.col("bucket").isin(buckets) & F.col("gram").isin(grams))

@@ -213,6 +213,43 @@ def _round_trip(spark: SparkSession, folder: str) -> DataFrame:
 register("snapshot_round_trip", _round_trip, f"{FILES}, {_LIVE} SELECT id, path, size + CASE WHEN id % 5 = 1 THEN 7 ELSE 0 END AS size FROM t WHERE is_live AND NOT (id % 5 = 1 AND id % 2 = 1)")
 
 
+# The parts of a stored table that some folders touch: the rows of customers who have events, and all their orders.
+def _skipping(spark: SparkSession, folder: str) -> DataFrame:
+    store = SnapshotStore(spark, f"{scratch.folder(spark)}/stores/{uuid.uuid4().hex}", rows_per_file=2000)
+    rows = files(spark, folder)
+    store.save(rows, "f", 1)
+    users = spark.read.parquet(f"{folder}/events.parquet").select((1_000_000 + F.col("user_id")).alias("id")).distinct()
+    named = rows.join(users, "id", "left_semi").select("id", "path")
+    near = store.near(named.select("path", F.explode(F.array(F.lit("row"), F.lit("children"))).alias("what")))
+    own = near.join(named.select("id"), "id", "left_semi").select("id", "path")
+    return own.unionByName(near.join(named.select(F.col("id").alias("parent")), "parent", "left_semi").select("id", "path"))
+
+
+register("batch_skipping", _skipping, f"{FILES}, u AS (SELECT DISTINCT 1000000 + user_id AS id FROM events) SELECT id, path FROM files WHERE id IN (SELECT id FROM u) OR (depth = 4 AND parent IN (SELECT id FROM u))")
+# Rare terms through the stored index, frequent ones by a scan; which of the two a term gets shows in the last column.
+_TERMS = ("order-1", "order-77", "nation_1", "CUSTOMER#00000001", 'regex:"order-(12|21)[0-9]\\.|nation_9"', "path:asia")
+
+
+def _index_or_scan(spark: SparkSession, folder: str) -> DataFrame:
+    store, out = SnapshotStore(spark, f"{scratch.folder(spark)}/stores/{uuid.uuid4().hex}", rows_per_file=500, indexed=True), None
+    store.save(files(spark, folder), "f", 1)
+    every = len(store.load()[0].inputFiles())
+    for text in _TERMS:
+        request = Request(text)
+        table = store.searchable(request.plan.tree, request.options)
+        some = matches(table, request).select(F.lit(text).alias("term"), "id")
+        if text in ("order-1", "path:asia"):
+            some = some.withColumn("scanned", F.lit(len(table.inputFiles()) == every))
+        else:
+            some = some.withColumn("scanned", F.lit(False))
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
+_TERM_SQL = ("contains(name_fold, 'order-1')", "contains(name_fold, 'order-77')", "contains(name_fold, 'nation_1')", "contains(name_fold, 'customer#00000001')", "regexp_matches(name, '(?i)order-(12|21)[0-9]\\.|nation_9')", "contains(path_fold, 'asia')")
+register("index_or_scan", _index_or_scan, f"{FILES} " + " UNION ALL ".join(f"SELECT '{t.replace(chr(39), chr(39) * 2)}' AS term, id, {str(t in ('order-1', 'path:asia')).lower()} AS scanned FROM files WHERE {w}" for t, w in zip(_TERMS, _TERM_SQL, strict=True)))
+
+
 # Reconciling: the listing lacks, changes and adds some orders.
 def _listed(spark: SparkSession, folder: str) -> DataFrame:
     f = files(spark, folder).filter("depth = 4")

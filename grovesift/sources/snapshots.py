@@ -1,29 +1,43 @@
 """Versioned snapshots of a files table: a base of Parquet files, folders of changes over it, and manifests.
 
-A manifest names what belongs to a version. It is written under another name and moved to a number of its own, which
-no file had before; the newest one that can be read counts. So readers see the old version or the new one, also while a
+A manifest names what belongs to a version. Its number is claimed by creating its file, which fails where there is one; the
+newest manifest that can be read counts. So readers see the old version or the new one, also while a
 writer is between its steps or has died there. Changes cost their own size; :meth:`SnapshotStore.maintain` folds them
 into the base from time to time. All files are reached through Spark's file systems, local or remote.
+
+A base is sorted by folder and path, and each of its files has a row in a table of ranges. A batch of changes asks for rows,
+children or subtrees by path (:meth:`SnapshotStore.near`) and reads the files whose ranges these touch, not the table. With
+``indexed``, a base also has postings of runs of three characters of its names; a search that needs rare ones reads
+the files that hold them all (:meth:`SnapshotStore.searchable`), and scans where they are frequent.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import time
 import uuid
+from bisect import bisect_left, bisect_right
 from dataclasses import asdict, dataclass, field, replace
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import DATA_VOLUME
-from ..operators.forest import SCHEMA, compacted, counts, needs_compaction
+from ..functions.text import DATA_VOLUME, fold_column
+from ..operators import trigrams
+from ..operators.forest import SCHEMA, compacted, needs_compaction
 from ..operators.reconcile import overlay
 
-FORMAT = 2
+FORMAT = 3
 MOST_ISSUES = 100
 #: Folders of changes over a base, at most, until it is written anew.
 MOST_CHANGES = 32
+#: Changed rows that are always left over a base, and the share of its rows up to which more are.
+FEW_CHANGED, CHANGED_SHARE = 100_000, 0.25
+#: A search takes the index if it needs at most this share of the rows.
+INDEX_SHARE = 0.02
+ROW, CHILDREN, SUBTREE = "row", "children", "subtree"
 #: Manifests that are kept beside the newest one.
 KEPT_MANIFESTS = 2
 
@@ -40,11 +54,36 @@ class Manifest:
     changes: list[str] = field(default_factory=list)  # folders, oldest first
     retries: str = ""  # folder of paths to be inspected again
     largest_id: int = -1
+    live: int = 0
+    bytes: int = 0
+    base_rows: int = 0
+    changed_rows: int = 0
+    deleted: int = 0  # rows that changes took away
+    index: str = ""  # folder of the base's postings
+
+
+def folder_column(path_fold):
+    """What a base is sorted by first: the folder of a path; empty for what lies in ``/``."""
+    return F.regexp_replace(path_fold, r"/[^/]*$", "")
+
+
+def spans(path: str, what: str) -> list[tuple[tuple[str, str], tuple[str, str]]]:
+    """The stretches of (folder, path) that hold a row, a folder's children, or all that is below it and itself."""
+    front = path.rpartition("/")[0]
+    own = [((front, path), (front, path))]
+    if what == ROW:
+        return own
+    top = "" if path == "/" else path
+    children = [((top, ""), (top + "\0", ""))]
+    if what == CHILDREN:
+        return children
+    return [*own, *children, ((top + "/", ""), (top + "0", ""))]  # 0 follows / in the order of characters
 
 
 class SnapshotStore:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, rows_per_file: int = 0, indexed: bool = False):
+        self.spark, self.root, self.rows_per_file, self.indexed = spark, root.rstrip("/"), rows_per_file, indexed
+        self._known: dict[str, list[tuple]] = {}
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -62,18 +101,27 @@ class SnapshotStore:
             stream.close()
 
     def _put(self, path: str, text: str) -> bool:
-        """Writes a file beside its place and moves it there; False if the place is taken."""
-        fs, part = self._fs(f"{self.root}/part-{uuid.uuid4().hex}")
-        out = fs.create(part, True)
+        """Creates a file; False if there is one. A reader that meets it half written passes over it."""
+        fs, place = self._fs(path)
+        if fs.getScheme() == "file":  # whose create looks first, and then creates
+            os.makedirs(os.path.dirname(where := place.toUri().getPath()), exist_ok=True)
+            try:
+                with os.fdopen(os.open(where, os.O_CREAT | os.O_EXCL | os.O_WRONLY, 0o644), "wb") as out:
+                    out.write(text.encode())
+            except FileExistsError:
+                return False
+            return True
+        try:
+            out = fs.create(place, False)
+        except Exception:
+            if fs.exists(place):
+                return False
+            raise
         try:
             out.write(bytearray(text.encode()))
         finally:
             out.close()
-        _, whole = self._fs(path)
-        if not fs.exists(whole) and fs.rename(part, whole):
-            return True
-        fs.delete(part, False)
-        return False
+        return True
 
     def _numbers(self) -> list[int]:
         """The numbers of all manifests, newest first."""
@@ -108,44 +156,114 @@ class SnapshotStore:
 
     def _write(self, rows: DataFrame, kind: str) -> str:
         folder = f"{kind}-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.root}/{folder}")
+        rows.write.option("maxRecordsPerFile", self.rows_per_file).parquet(f"{self.root}/{folder}")
         return folder
 
     def _with_retries(self, retries: DataFrame | None) -> str:
-        return "" if retries is None or retries.isEmpty() else self._write(retries.select("path", "attempt"), "r")
+        return "" if retries is None or retries.isEmpty() else self._write(retries.select("path", "attempt", "due"), "r")
 
     def save(self, files: DataFrame, fingerprint: str, last_event_id: int = 0, issues: list | None = None, retries: DataFrame | None = None) -> Manifest:
         """Writes the live rows as a new base and makes it the current version."""
         before = self.manifest()
-        # In the order of paths, so that a folder's rows lie in few row groups and the others are skipped.
-        rows = files.filter("is_live").select(*SCHEMA.fieldNames()).repartitionByRange("path_fold").sortWithinPartitions("path_fold")
-        folder = self._write(rows, "v")
+        # In the order of folders, so that a folder's children lie together, and a folder's subtree too.
+        order = [folder_column(F.col("path_fold")), F.col("path_fold")]
+        folder = self._write(files.filter("is_live").select(*SCHEMA.fieldNames()).repartitionByRange(*order).sortWithinPartitions(*order), "v")
+        place = F.struct(folder_column(F.col("path_fold")).alias("folder"), F.col("path_fold").alias("path"))
+        named = self.spark.read.schema(SCHEMA).parquet(f"{self.root}/{folder}").select("*", F.col("_metadata.file_name").alias("file"))
+        ranges = named.groupBy("file").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("rows"), F.sum("size").alias("bytes"), F.max("id").alias("largest"), F.min("id").alias("least"))
+        ranges.write.parquet(f"{self.root}/{folder}/_ranges")
+        rows, size, largest = self._ranges_table(folder).agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.max("largest"), F.lit(-1))).first()
+        index = ""
+        if self.indexed:
+            index = f"i-{uuid.uuid4().hex}"
+            trigrams.write_index(named, f"{self.root}/{index}")
         listed = [list(i) for i in (issues or [])[:MOST_ISSUES]]
-        largest = largest_id(self.spark.read.schema(SCHEMA).parquet(f"{self.root}/{folder}"))
-        return self._publish(Manifest(folder, fingerprint, last_event_id, before.revision + 1 if before else 1, listed, FORMAT, time.time(), [], self._with_retries(retries), largest))
+        return self._publish(
+            Manifest(folder, fingerprint, last_event_id, before.revision + 1 if before else 1, listed, FORMAT, time.time(), [], self._with_retries(retries), largest, rows, size, rows, index=index)
+        )
 
     def append(self, changed: DataFrame, last_event_id: int, issues: list | None = None, retries: DataFrame | None = None) -> Manifest:
         """Publishes a version that differs in some rows: those of ``changed``, of which the ones that aren't live are gone."""
         before = self.manifest()
         if before is None:
             raise RuntimeError("There is no version to change.")
-        folders = [] if changed.isEmpty() else [self._write(changed.select(*SCHEMA.fieldNames()), "c")]
-        largest = max([before.largest_id, *(largest_id(self.spark.read.schema(SCHEMA).parquet(f"{self.root}/{f}")) for f in folders)])
-        listed = before.issues if issues is None else [list(i) for i in issues[:MOST_ISSUES]]
-        return self._publish(replace(before, last_event_id=last_event_id, revision=before.revision + 1, issues=listed, saved=time.time(), changes=[*before.changes, *folders], retries=self._with_retries(retries), largest_id=largest))
+        now = replace(before, last_event_id=last_event_id, revision=before.revision + 1, saved=time.time(), retries=self._with_retries(retries), issues=before.issues if issues is None else [list(i) for i in issues[:MOST_ISSUES]])
+        if not changed.isEmpty():
+            folder = self._write(changed.select(*SCHEMA.fieldNames()), "c")
+            rows, on = self.spark.read.schema(SCHEMA).parquet(f"{self.root}/{folder}"), F.col("is_live")
+            sums = [F.count_if(on), F.coalesce(F.sum(F.when(on, F.col("size"))), F.lit(0))]
+            n, size, gone, largest = rows.agg(*sums, F.count_if(~on), F.coalesce(F.max("id"), F.lit(-1))).first()
+            old, old_size = self._near(before, rows.select("path", F.lit(ROW).alias("what"))).join(rows.select("id"), "id", "left_semi").agg(*sums).first()
+            now = replace(
+                now, changes=[*before.changes, folder], largest_id=max(before.largest_id, largest), live=before.live + n - old, bytes=before.bytes + size - old_size,
+                changed_rows=before.changed_rows + n + gone, deleted=before.deleted + gone,
+            )
+        return self._publish(now)
+
+    def _ranges_table(self, folder: str) -> DataFrame:
+        kind = "file string, first struct<folder:string,path:string>, last struct<folder:string,path:string>, rows long, bytes long, largest long, least long"
+        return self.spark.read.schema(kind).parquet(f"{self.root}/{folder}/_ranges")
+
+    def _ranges(self, folder: str) -> list[tuple]:
+        """(first, last, file) of a base's files, in order: a row for each file, not for rows of the table."""
+        if folder not in self._known:
+            rows = [(tuple(r["first"]), tuple(r["last"]), r["file"]) for r in self._ranges_table(folder).select("first", "last", "file").collect()]
+            self._known = {folder: sorted(rows)}
+        return self._known[folder]
+
+    def touched(self, m: Manifest, asked: DataFrame) -> list[str]:
+        """The base files whose ranges what is asked for (path, what) touches. What is asked for stays in its tasks."""
+        ranges = self._ranges(m.folder)
+        firsts, lasts = [r[0] for r in ranges], [r[1] for r in ranges]
+
+        def find(batches):
+            some: set[int] = set()
+            for batch in batches:
+                for path, what in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    for low, high in spans(path, what):
+                        some.update(range(bisect_left(lasts, low), bisect_right(firsts, high)))
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(some), pa.int64())], ["at"])
+
+        found = asked.select(fold_column(F.col("path")).alias("path"), "what").distinct().mapInArrow(find, "at long").distinct().collect()
+        return [ranges[k][2] for k in sorted(r["at"] for r in found)]
+
+    def _of_files(self, m: Manifest, names: list[str]) -> DataFrame:
+        """The version's rows as far as they come from some of the base's files, and all changed ones."""
+        read = self.spark.read.schema(SCHEMA)
+        base = read.parquet(*(f"{self.root}/{m.folder}/{n}" for n in names)) if names else self.spark.createDataFrame([], SCHEMA)
+        return overlay(base, self._changes(m)) if m.changes else base
+
+    def _near(self, m: Manifest, asked: DataFrame) -> DataFrame:
+        return self._of_files(m, self.touched(m, asked))
+
+    def near(self, asked: DataFrame) -> DataFrame:
+        """Rows around some paths: at least all that is asked for, in (path, what) with ``row``, ``children`` or ``subtree``."""
+        m = self.manifest()
+        if m is None:
+            raise RuntimeError("There is no version.")
+        return self._near(m, asked)
+
+    def searchable(self, tree, options, m: Manifest | None = None) -> DataFrame | None:
+        """A table with all rows that a filter tree may match: by the index where it needs rare texts, else the whole one."""
+        m = m or self.manifest()
+        if m is None:
+            return None
+        need = trigrams.needed(tree, options) if m.index else None
+        names = None if need is None else trigrams.files_of(self.spark, f"{self.root}/{m.index}", need, INDEX_SHARE * m.base_rows)
+        return self._whole(m) if names is None else self._of_files(m, names)
+
+    def _whole(self, m: Manifest) -> DataFrame:
+        files = self.spark.read.schema(SCHEMA).parquet(f"{self.root}/{m.folder}")
+        return overlay(files, self._changes(m)) if m.changes else files
 
     def load(self) -> tuple[DataFrame, Manifest] | None:
         m = self.manifest()
         if m is None:
             return None
-        read = self.spark.read.schema(SCHEMA)
         try:
-            files = read.parquet(f"{self.root}/{m.folder}")
-            if m.changes:
-                files = overlay(files, self._changes(m))
+            return self._whole(m), m
         except Exception:  # a folder is gone
             return None
-        return files, m
 
     def _changes(self, m: Manifest) -> DataFrame:
         """The latest row of each changed id."""
@@ -157,8 +275,8 @@ class SnapshotStore:
         return every.withColumn("_latest", latest).filter("_latest = 1").drop("_latest", "_order")
 
     def retries(self, m: Manifest) -> DataFrame:
-        """(path, attempt): what has to be inspected again."""
-        kinds = "path string, attempt int"
+        """(path, attempt, due): what has to be inspected again, and when (seconds since 1970)."""
+        kinds = "path string, attempt int, due double"
         return self.spark.read.schema(kinds).parquet(f"{self.root}/{m.retries}") if m.retries else self.spark.createDataFrame([], kinds)
 
     def maintain(self, compact: bool = False) -> bool:
@@ -166,13 +284,13 @@ class SnapshotStore:
 
         Tells whether it did.
         """
-        found = self.load()
-        if found is None:
+        m = self.manifest()
+        if m is None:
             return False
-        files, m = found
-        gone = self._changes(m).filter("not is_live").count() if m.changes else 0
-        if not (compact or len(m.changes) >= MOST_CHANGES or (gone and needs_compaction(counts(files).first()["live"], gone))):
+        many = len(m.changes) >= MOST_CHANGES or m.changed_rows > max(FEW_CHANGED, CHANGED_SHARE * m.base_rows)
+        if not (compact or many or (m.deleted and needs_compaction(m.live, m.deleted))):
             return False
+        files = self._whole(m)
         self.save(compacted(files) if compact else files, m.fingerprint, m.last_event_id, m.issues, self.retries(m))
         return True
 
@@ -188,9 +306,9 @@ class SnapshotStore:
     def drop_old(self, keep: int = 2) -> None:
         """Deletes all but the newest folders, and those of the current version."""
         fs, root = self._fs(self.root)
-        found = sorted((s for s in fs.listStatus(root) if s.isDirectory() and s.getPath().getName()[:2] in ("v-", "c-", "r-")), key=lambda s: -s.getModificationTime())
+        found = sorted((s for s in fs.listStatus(root) if s.isDirectory() and s.getPath().getName()[:2] in ("v-", "c-", "r-", "i-")), key=lambda s: -s.getModificationTime())
         now = self.manifest()
-        needed = {now.folder, now.retries, *now.changes} if now else set()
+        needed = {now.folder, now.retries, now.index, *now.changes} if now else set()
         for s in found[keep:]:
             if s.getPath().getName() not in needed:
                 fs.delete(s.getPath(), True)
@@ -224,7 +342,3 @@ class SnapshotStore:
 def contaminated(files: DataFrame) -> bool:
     """Whether the data volume was indexed a second time under its own name, which no scan does."""
     return not files.filter(F.col("is_live") & (F.col("path") == DATA_VOLUME)).isEmpty()
-
-
-def largest_id(files: DataFrame) -> int:
-    return files.agg(F.coalesce(F.max("id"), F.lit(-1))).first()[0]

@@ -6,10 +6,13 @@ path is inspected anew, so late and repeated events do no harm, and no event-tim
 
 from __future__ import annotations
 
+import threading
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import DATA_VOLUME, canonical_column, retry_delay, within
+from ..functions.text import DATA_VOLUME, canonical_column, within
 from .inspection import GONE
 
 # Bits of an event's flags.
@@ -69,11 +72,15 @@ def coalesced(routed: DataFrame) -> DataFrame:
     return routed.groupBy("path", "task").agg(F.max("deep").alias("deep"))
 
 
+def delay(attempt: Column) -> Column:
+    """Seconds to wait after a number of attempts: 1, 2, 4 and so on to 60."""
+    return F.least(F.lit(60), F.pow(F.lit(2), F.least(attempt - 1, F.lit(6))).cast("int"))
+
+
 def retries(failed: DataFrame) -> DataFrame:
-    """(path, attempt, delay): what failed once more, and the seconds to wait: 1, 2, 4 and so on to 60."""
+    """(path, attempt, delay): what failed once more, and the seconds to wait."""
     attempt = F.col("attempt") + 1
-    power = F.pow(F.lit(2), F.least(attempt - 1, F.lit(6)))
-    return failed.select("path", attempt.alias("attempt"), F.least(F.lit(60), power.cast("int")).alias("delay"))
+    return failed.select("path", attempt.alias("attempt"), delay(attempt).alias("delay"))
 
 
 def cursor_row(batch: DataFrame, before: int) -> DataFrame:
@@ -92,20 +99,47 @@ class LiveTable:
     """Keeps a snapshot store in line with a stream of events.
 
     ``inspect`` is what :func:`inspection.inspector` makes. ``rebuild()`` scans anew and returns a files table. What is
-    published, also what has to be tried again and the last event, is in the store, so that a new driver goes on where
+    published, also what has to be tried again and when, and the last event, is in the store, so that a new driver goes on where
     the last one was. When folders were inspected is kept for this run only: the first event of a run always inspects.
+
+    A batch reads the part of the table that its paths touch. Paths that failed wait for their time: batches leave
+    them alone until then, and :meth:`tick` looks at them without any event. ``clock`` gives seconds since 1970.
     """
 
-    def __init__(self, store, fingerprint: str, roots: list[str], inspect, rebuild, listeners=()):
-        self.store, self.fingerprint, self.roots, self.inspect, self.rebuild = store, fingerprint, roots, inspect, rebuild
+    #: Seconds between two times that the store is maintained and old folders are dropped.
+    MAINTENANCE = 60.0
+
+    def __init__(self, store, fingerprint: str, roots: list[str], inspect, rebuild, listeners=(), clock=time.time):
+        self.store, self.fingerprint, self.roots, self.inspect, self.rebuild, self.clock = store, fingerprint, roots, inspect, rebuild, clock
         self.listeners = list(listeners)
         self.gate: DataFrame | None = None
+        self.turn = threading.RLock()  # events and ticks come from two streams
+        self.maintained = clock()
 
     def apply(self, batch: DataFrame, _id: int = 0) -> None:
         """Brings the store in line with a batch of events; several requests to rebuild are one scan."""
+        with self.turn:
+            self._apply(batch)
+
+    def tick(self) -> bool:
+        """Looks at paths whose time has come, and maintains the store when its time has; tells whether it did either."""
+        with self.turn:
+            m, did = self.store.manifest(), False
+            if m is None:
+                return False
+            if m.retries and not self.store.retries(m).filter(F.col("due") <= self.clock()).isEmpty():
+                self._apply(self.store.spark.createDataFrame([], EVENTS))
+                did = True
+            if self.clock() - self.maintained >= self.MAINTENANCE:
+                self.maintained = self.clock()
+                did = self.store.maintain() or did
+                self.store.drop_old()
+            return did
+
+    def _apply(self, batch: DataFrame) -> None:
         from ..scratch import drop, written
 
-        files, manifest = self.store.load()
+        manifest, now = self.store.manifest(), self.clock()
         waiting = self.store.retries(manifest)
         tasks = written(coalesced(route(batch, self.roots)), "tasks")
         end = cursor(manifest.last_event_id, batch, False)  # taken before anything is looked at; what happens meanwhile comes again
@@ -113,11 +147,18 @@ class LiveTable:
             self._tell(self.store.save(self.rebuild(), self.fingerprint, end))
             drop(tasks)
             return
-        again = waiting.select("path", F.lit("list").alias("task"), F.lit(False).alias("deep"))
-        seen = written(self.inspect(coalesced(tasks.unionByName(again)), files, self.gate), "seen")
-        changed = self.changed(files, seen, manifest.largest_id)
+        due = waiting.filter(F.col("due") <= now)
+        again = due.select("path", F.lit("list").alias("task"), F.lit(False).alias("deep"))
+        asked = coalesced(tasks.unionByName(again))
+        near = self.store.near(self.asked(asked))
+        seen = written(self.inspect(asked, near, self.gate), "seen")
+        changed = self.changed(near, seen, manifest.largest_id, asked)
         failed = seen.filter(F.col("error").isNotNull() & ~F.col("error").isin(*GONE)).select("path").distinct()
-        retry = written(failed.join(waiting, "path", "left").select("path", (F.coalesce("attempt", F.lit(0)) + 1).cast("int").alias("attempt")), "retry")
+        attempt = (F.coalesce("attempt", F.lit(0)) + 1).cast("int")
+        retry = failed.join(waiting.select("path", "attempt"), "path", "left").select("path", attempt.alias("attempt"), (F.lit(now) + delay(attempt)).alias("due"))
+        # What isn't due waits on, unless an event had it looked at.
+        later = waiting.filter(F.col("due") > now).join(seen.select("path"), "path", "left_anti")
+        retry = written(retry.unionByName(later), "retry")
         self._remember(seen)
         if retry.isEmpty():
             retry = None
@@ -126,16 +167,22 @@ class LiveTable:
         drop(tasks, seen, changed, *([retry] if retry is not None else []))
         self.store.maintain()
 
-    def changed(self, files: DataFrame, seen: DataFrame, largest: int) -> DataFrame:
+    @staticmethod
+    def asked(tasks: DataFrame) -> DataFrame:
+        """(path, what): the rows that tasks need."""
+        kinds = F.when(F.col("task") == "refresh", F.array(F.lit("row"))).when(F.col("deep"), F.array(F.lit("subtree"))).otherwise(F.array(F.lit("row"), F.lit("children")))
+        return tasks.select("path", F.explode(kinds).alias("what"))
+
+    def changed(self, files: DataFrame, seen: DataFrame, largest: int, tasks: DataFrame) -> DataFrame:
         """What was seen, as rows for :func:`reconcile.overlay` (a written table); new ids are above ``largest``.
 
         Of folders that are gone all children go; of folders that couldn't be read whole none does. New folders
-        come with all that is below them.
+        come with all that is below them. ``files`` has the rows around what ``tasks`` name; those below folders that
+        are gone are read when it is known which these are.
         """
         from ..operators import reconcile
         from ..operators.forest import SCHEMA, with_folds
         from ..scratch import drop, written
-        from ..sources.snapshots import largest_id
 
         ids = files.filter("is_live and is_dir").select(F.col("path").alias("parent_path"), F.col("id").alias("parent"))
         whole = F.col("error").isNull() | F.col("error").isin(*GONE)
@@ -144,13 +191,17 @@ class LiveTable:
         diff = reconcile.diff(files.filter("is_live"), listed, inspected)
         partly = inspected.filter(~F.col("whole")).select("parent").withColumn("action", F.lit("delete"))
         diff = written(diff.join(partly, ["parent", "action"], "left_anti"), "diff")
+        lost = diff.filter("(action = 'delete' and is_dir) or (action = 'replace' and not is_dir)").select("id")
+        if not lost.isEmpty():
+            gone = files.join(lost, "id", "left_semi").select("path", F.lit("subtree").alias("what"))
+            files = self.store.near(self.asked(tasks).unionByName(gone))
         first = written(reconcile.changed_rows(files, diff, largest + 1), "changed")
         out = first
         roots = first.join(diff.filter("is_dir and action in ('insert', 'replace')").select("parent", "name"), ["parent", "name"], "left_semi").filter("is_live")
         more = None
         if not roots.isEmpty():
             depth = roots.select(F.col("path").alias("_top"), "depth", F.size(F.split("path", "/")).alias("_parts"), "vol_id")
-            start = max(largest, largest_id(first)) + 1
+            start = max(largest, first.agg(F.max("id")).first()[0]) + 1
             more = written(self.inspect.subtrees(roots.select("path")).filter("error is null").withColumn("id", F.monotonically_increasing_id() + start), "below")
             parents = roots.select(F.col("path").alias("parent_path"), F.col("id").alias("parent")).unionByName(more.filter("is_dir").select(F.col("path").alias("parent_path"), F.col("id").alias("parent")))
             from ..functions.text import ancestors
@@ -184,15 +235,21 @@ class LiveTable:
         """Takes out subtrees that may not be read any more; searches that begin now don't see them."""
         from ..operators import reconcile
 
-        files, m = self.store.load()
-        gone = files.sparkSession.createDataFrame([(r,) for r in roots], "path string")
+        m = self.store.manifest()
+        gone = self.store.spark.createDataFrame([(r,) for r in roots], "path string")
+        files = self.store.near(gone.withColumn("what", F.lit("subtree")))
         dead = files.join(reconcile.below(F.col("path"), gone, files), "id", "left_semi").withColumn("is_live", F.lit(False))
         self._tell(self.store.append(dead, m.last_event_id, None, self.store.retries(m)))
 
-    def next_retry(self) -> int | None:
-        """Seconds until something has to be tried again."""
-        least = self.store.retries(self.store.manifest()).agg(F.min("attempt").alias("n")).first()["n"]
-        return None if least is None else retry_delay(least)
+    def next_retry(self) -> float | None:
+        """Seconds until something has to be tried again, 0 if that is due."""
+        due = self.store.retries(self.store.manifest()).agg(F.min("due").alias("due")).first()["due"]
+        return None if due is None else max(0.0, due - self.clock())
+
+    def start_ticking(self, checkpoint: str):
+        """Ticks once a second, whether events come or not."""
+        beats = self.store.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+        return beats.writeStream.foreachBatch(lambda _batch, _id: self.tick()).option("checkpointLocation", checkpoint).trigger(processingTime="1 second").start()
 
     def start(self, events: DataFrame, checkpoint: str):
         """Runs over a stream of events, twice a second, from the last event that the store has seen."""
@@ -202,8 +259,6 @@ class LiveTable:
 
     def keep_running(self, events: DataFrame, checkpoint: str, tries: int = 5, wait: float = 2.0) -> None:
         """Runs until the stream ends; starts it again ``wait`` seconds after a failure, ``tries`` times in a row at most."""
-        import time
-
         for k in range(tries):
             try:
                 self.start(events, checkpoint).awaitTermination()

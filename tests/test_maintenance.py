@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from grovesift import cli
 from grovesift.errors import NotReady, QueryError
+from grovesift.functions import text
 from grovesift.operators import forest, reconcile, rules
 from grovesift.service import Engine
 from grovesift.sources import fstree, sinks
@@ -261,18 +262,81 @@ def test_feed_keeps_what_it_cannot_read(disk, spark):
         return seen.filter(~((F.col("kind") == "child") & (F.col("name") == "a.txt") & F.lit(broken[0]))).withColumn("error", F.when(lost & (F.col("kind") == "folder"), errno.EACCES).otherwise(F.col("error")))
 
     faulty.subtrees = inspect.subtrees
-    live.inspect = faulty
+    now = [1000.0]
+    live.inspect, live.clock = faulty, lambda: now[0]
     (top / "kept/more.txt").write_text("m")
     send(("kept/more.txt", 5, "structural"), ("root.txt", 6, "metadata"))
     assert set(paths()) == on_disk(top) and store.manifest().last_event_id == 1 and live.next_retry() == 1  # added, nothing removed, no event left behind
-    send(("root.txt", 7, "metadata"))
+    now[0] += 1
+    send(("root.txt", 7, "metadata"))  # the path is due
     assert live.next_retry() == 2
     broken[0] = False
-    again = changes.LiveTable(SnapshotStore(spark, store.root), "f", [str(top)], inspect, live.rebuild)  # another driver takes over
+    send(("root.txt", 8, "metadata"))  # it isn't
+    assert live.next_retry() == 2 and store.manifest().last_event_id == 1
+    again = changes.LiveTable(SnapshotStore(spark, store.root), "f", [str(top)], inspect, live.rebuild, clock=lambda: now[0])  # another driver takes over
+    now[0] += 1.9
+    assert not again.tick()
+    now[0] += 0.2
     again.apply(spark.createDataFrame([event(f"{top}/root.txt", 8, "metadata")], EVENTS))
     assert set(paths()) == on_disk(top) and store.manifest().last_event_id == 8 and again.next_retry() is None
 
 
+def test_retries_wait_for_their_time_and_need_no_event(disk, spark, tmp_path):
+    import time
+
+    top, store, live, send, paths, _ = disk
+    now, looked, inspect = [5000.0], [], live.inspect
+    live.clock = lambda: now[0]
+
+    def watched(tasks, files, gate=None):
+        looked.append(sorted(r.path for r in tasks.collect()))
+        return inspect(tasks, files, gate)
+
+    watched.subtrees = inspect.subtrees
+    live.inspect = watched
+    waiting = spark.createDataFrame([(f"{top}/kept", 3, now[0] + text.retry_delay(3)), (f"{top}/full", 9, now[0] + text.retry_delay(9))], "path string, attempt int, due double")
+    store.append(store.load()[0].limit(0), 1, None, waiting)
+    (top / "kept/late.txt").write_text("l")
+    for step, seen in ((0, 0), (3.9, 0), (0.1, 1), (0.5, 1), (55.0, 1), (0.6, 2)):
+        now[0] += step
+        live.tick()
+        assert len(looked) == seen, step
+        send(("root.txt", 9, "metadata")) if step == 3.9 else None
+        looked = [x for x in looked if x != [f"{top}/root.txt"]]
+    assert looked == [[f"{top}/kept"], [f"{top}/full"]] and set(paths()) == on_disk(top) and live.next_retry() is None
+    live.clock, live.MAINTENANCE = time.time, 0.0  # and by a stream of its own, without any event
+    store.append(store.load()[0].limit(0), 9, None, spark.createDataFrame([(f"{top}/kept", 1, time.time())], "path string, attempt int, due double"))
+    q = live.start_ticking(f"{tmp_path}/ticks")
+    try:
+        for _ in range(600):
+            if live.next_retry() is None:
+                break
+            time.sleep(0.1)
+    finally:
+        q.stop()
+    assert live.next_retry() is None and looked[-1] == [f"{top}/kept"]
+
+
+def test_maintenance_by_the_clock(disk, spark):
+    top, store, live, send, paths, _ = disk
+    now = [0.0]
+    live.clock, live.maintained = lambda: now[0], 0.0
+    for k in range(3):
+        store.append(store.load()[0].filter("not is_dir").withColumn("size", F.lit(k).cast("long")), k)
+    store_rows, snapshots_few = store.manifest().changed_rows, 5
+    assert store_rows == 12
+    import grovesift.sources.snapshots as module
+
+    kept, module.FEW_CHANGED = module.FEW_CHANGED, snapshots_few
+    try:
+        now[0] = 59.0
+        assert not live.tick() and len(store.manifest().changes) == 3
+        now[0] = 60.0
+        assert live.tick() and store.manifest().changes == [] and store.manifest().changed_rows == 0 and {r.size for r in paths().values() if not r.is_dir} == {2}
+    finally:
+        module.FEW_CHANGED = kept
+
+
 def test_folders_that_have_not_changed_are_not_listed(disk, spark):
     top, store, live, send, paths, _ = disk
     tasks = spark.createDataFrame([(f"{top}/kept", "list", False)], "path string, task string, deep boolean")
