@@ -17,8 +17,7 @@ A pair of similarity 0.75 shares no band with a probability of (1 - 0.75**6)**64
    not each other. So no link between members of a bucket is lost, and no list of pairs is ever made.
 5. Components again, over the links of both rounds.
 
-Full sets are made for members of buckets only: texts meet these ids in a join, for which a small list of ids is
-broadcast. Only a bucket with very many members that are alike, but under the threshold, costs the square of their number.
+Full sets are made for members of buckets only: texts meet these ids in a shuffled join. Only a bucket with very many members that are alike, but under the threshold, costs the square of their number.
 
 Defined results: a null or empty text has an empty set and is its own component; rows that share an id are one
 document to its links (each row's set is tested), and repeated rows keep their rows; a row of a null id is
@@ -44,8 +43,8 @@ SIZE = ROWS * BANDS
 #: Standard errors of the estimate by which a candidate may miss the threshold before it is dropped.
 SLACK = 5.5
 BLOCK = 512
-#: Wanted ids that are broadcast, at most; more meet the texts in a shuffled join.
-BROADCAST_IDS = 500_000
+#: Bytes of sets in a block, so that long documents make blocks of fewer rows.
+BLOCK_BYTES = 1 << 24
 #: Sets whose sizes differ by at most this factor (a trifle over 4/3) are in the same class of sizes or in neighbouring ones.
 CLASS = 4 / 3 * 1.0001
 _rng = np.random.default_rng(20)
@@ -135,9 +134,12 @@ def bands(representatives: DataFrame) -> DataFrame:
     return representatives.select("id", "r").mapInArrow(make, "key long, id long")
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, s): the sets, as bytes of sorted 64-bit hashes, of the documents whose ids are wanted (id, each once)."""
-    few = wanted.count() <= BROADCAST_IDS
+def full_sets(docs: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
+    """(id, s): the sets, as bytes of sorted 64-bit hashes, of the documents whose ids are wanted (id, each once).
+
+    Texts are shuffled to the ids at every size: a broadcast of few ids would be another plan for small tables. Where rows
+    share ids (``repeated``), each of an id's sets is kept once.
+    """
 
     def make(batches):
         for batch in batches:
@@ -147,7 +149,10 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], ["id", "s"])
 
     with_id = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), "text")
-    return with_id.join(F.broadcast(wanted) if few else wanted, "id", "left_semi").mapInArrow(make, "id long, s binary")
+    if repeated:  # equal rows first, within a task too
+        with_id = with_id.groupBy("id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("_text")).agg(F.first("text").alias("text")).select("id", "text")
+    out = with_id.join(wanted.hint("merge"), "id", "left_semi").mapInArrow(make, "id long, s binary")
+    return out.groupBy("id", F.sha2("s", 256).alias("_set")).agg(F.first("s").alias("s")).select("id", "s") if repeated else out
 
 
 def both_ends(edges: DataFrame, values: DataFrame, value: str) -> DataFrame:
@@ -236,14 +241,14 @@ def across(band: DataFrame, sizes: DataFrame, labels: DataFrame, sets: DataFrame
     """Links (a, b) between components that share a bucket of ``band`` (key, id): pairs that sizes allow are compared, block by block."""
     named = band.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     named = materialize(named.join(sizes.select("id", "n"), "id").withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(CLASS))).cast("int")), "named")
-    held = named.groupBy("key", "label").agg(F.count("*").alias("held"))
-    mixed = held.groupBy("key").agg(F.max_by("label", F.struct("held", -F.col("label"))).alias("largest"), F.count("*").alias("components"), F.sum("held").alias("members")).filter("components > 1")
+    held = named.groupBy("key", "label").agg(F.count("*").alias("held"), F.sum("n").alias("size"))
+    mixed = held.groupBy("key").agg(F.max_by("label", F.struct("held", -F.col("label"))).alias("largest"), F.count("*").alias("components"), F.sum("held").alias("members"), F.sum("size").alias("size")).filter("components > 1")
     # A bucket of at most a block's size is one block; in others the members of the largest component are a side of their own.
-    whole = F.col("members") <= BLOCK
-    rows = named.join(mixed.select("key", "largest", "members"), "key").withColumns({"side": F.when(whole, 1).otherwise((F.col("label") != F.col("largest")).cast("int")), "class": F.when(whole, 0).otherwise(F.col("class"))})
-    rows = materialize(rows.drop("largest", "members"), "mixed")
+    whole = (F.col("members") <= BLOCK) & (F.col("size") * 8 <= BLOCK_BYTES)
+    rows = named.join(mixed.select("key", "largest", "members", "size"), "key").withColumns({"side": F.when(whole, 1).otherwise((F.col("label") != F.col("largest")).cast("int")), "class": F.when(whole, 0).otherwise(F.col("class"))})
+    rows = materialize(rows.drop("largest", "members", "size"), "mixed")
     # The blocks of each bucket: for each class of sizes and side how many there are.
-    counts = rows.groupBy("key", "class", "side").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
+    counts = rows.groupBy("key", "class", "side").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("n_blocks"))
     blocks_ = counts.groupBy("key").agg(F.collect_list(F.struct("class", "side", "n_blocks")).alias("blocks"))
     code = lambda kind, side, b: (kind * 2 + side).cast("long") * (1 << 32) + b
     of_own = F.filter("blocks", lambda x: (x["class"] == F.col("class")) & (x["side"] == F.col("side")))[0]["n_blocks"]
@@ -308,7 +313,8 @@ def groups(docs: DataFrame) -> DataFrame:
     drop(band)
     stars = members.filter("a != id").select("a", F.col("id").alias("b")).distinct()
     likely_ = materialize(likely(stars, reps), "likely")
-    sets = materialize(full_sets(docs, members.select("id").distinct()), "sets")
+    repeated = not made.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").isEmpty()
+    sets = materialize(full_sets(docs, members.select("id").distinct(), repeated), "sets")
     links = materialize(verified(likely_, sets), "links")
     found = components(links)
     if found is not None or not centers.isEmpty():

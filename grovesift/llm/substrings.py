@@ -340,7 +340,8 @@ def suffixes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 c = stretches(buf, begin[row] + start, windows.astype(np.int64) + LENGTH - 1)
                 yield pa.RecordBatch.from_arrays([pa.array(part.column(0).to_numpy()[row]), pa.array(part.column(1).to_numpy()[row]), pa.array(start), pa.array(off), c], ["doc_id", "key", "start", "off", "c"])
 
-    lists = wanted.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "windows", "off")).alias("runs"))
+    # Repeated rows want the same runs: each of them once, so that rows that repeat cost their number and not its square.
+    lists = wanted.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "windows", "off")).alias("runs"))
     return docs.join(lists, ["doc_id", "key"]).select("doc_id", "key", "text", "runs").mapInArrow(make, "doc_id long, key long, start long, off int, c binary")
 
 
@@ -528,7 +529,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))  # the key parts rows of one id
     found = removable(plain.filter(F.col("doc_id").isNotNull()))
-    cuts = found.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "end")).alias("cuts"))
+    cuts = found.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "end")).alias("cuts"))
 
     def cut(batches):
         for batch in batches:
