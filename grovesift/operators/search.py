@@ -20,6 +20,7 @@ from .forest import RECORD
 KEYS = {
     "name": lambda: ["name_fold", "path", "id"],
     "path": lambda: [natural_key(F.col("path")), "path", "id"],
+    "collated": lambda: [F.collate(natural_key(F.col("path")), "UNICODE"), "path", "id"],  # as people sort: accents and case break ties only
     "size": lambda: ["size", "id"],
     "mtime": lambda: ["mtime", "id"],
     "kind": lambda: [~F.col("is_dir"), "ext_fold", "name_fold", "id"],

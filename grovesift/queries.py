@@ -13,7 +13,7 @@ from . import scratch
 from .functions.text import canonical_column, extension, glob_pattern, natural_key, quote, rfc3339, trigrams, whole_word_pattern
 from .operators import forest, reconcile, rules, trigrams as index
 from .operators.search import Request, matches, order, search, symmetric_difference, union
-from .sources import sinks
+from .sources import changelog, sinks
 from .sources.snapshots import SnapshotStore
 from .streaming import changes
 
@@ -115,6 +115,20 @@ register(
     "sort_path_natural", lambda s, d: search(files(s, d), Request("order-1", sort="path", limit=200)),
     f"{FILES} SELECT {RECORD} FROM files WHERE contains(name_fold, 'order-1') ORDER BY {_RUNS}, path, id LIMIT 200",
 )
+# By collation: words that differ in accents or case only are as one word before the number behind them.
+_WORDS = {"Äpfel": "apfel", "apfel": "apfel", "Éclair": "eclair", "eclair": "eclair", "zebra": "zebra", "Zoo": "zoo", "öl": "ol"}
+_WORD_SQL = lambda words: f"list_extract([{', '.join(repr(w) for w in words)}], (id % {len(_WORDS)})::INT + 1)"
+
+
+def _accented(spark: SparkSession, folder: str) -> DataFrame:
+    word = F.element_at(F.array(*map(F.lit, _WORDS)), (F.col("id") % len(_WORDS) + 1).cast("int"))
+    return forest.with_folds(files(spark, folder).withColumn("path", F.concat(F.lit("/"), word, F.lit("/"), F.col("id").cast("string"))))
+
+
+register(
+    "sort_path_collated", lambda s, d: search(_accented(s, d), Request("type:file", sort="collated", limit=900)).select("id", "path"),
+    f"{FILES} SELECT id, '/' || {_WORD_SQL(_WORDS)} || '/' || id AS path FROM files WHERE NOT is_dir ORDER BY {_WORD_SQL(_WORDS.values())}, id LIMIT 900",
+)
 register(
     "natural_keys", lambda s, d: files(s, d).select("id", natural_key(F.col("path")).alias("k")),
     f"""{FILES} SELECT id, array_to_string(list_transform(list_transform(regexp_extract_all(lower(path), '[0-9]+|[^0-9]+'), lambda t: CASE WHEN regexp_matches(t, '^[0-9]') THEN t::HUGEINT::VARCHAR ELSE t END),
@@ -346,6 +360,15 @@ def _whole(spark: SparkSession, folder: str) -> DataFrame:
 register("change_rebuilds", lambda s, d: changes.route(_whole(s, d), ["/u", "/Volumes"]).filter("task = 'rebuild'").select("event_id", "path"), "SELECT event_id, '/' AS path FROM events WHERE event_type = 'click' OR (event_type = 'purchase' AND event_id % 3 < 2) OR (event_type = 'error' AND event_id % 3 = 0)")
 register("flag_bits", lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", *[c.alias(k) for k, c in changes.classify((F.col("event_id") * 37).cast("int")).items()]), "SELECT event_id, (event_id * 37) & 1 <> 0 AS must_scan, (event_id * 37) & 14 <> 0 AS dropped, (event_id * 37) & 224 <> 0 AS mount, (event_id * 37) & 2816 <> 0 AS structural, (event_id * 37) & 62464 <> 0 AS metadata FROM events")
 register("checkpoint_max", lambda s, d: changes.cursor_row(_feed(s, d), -1).select("last_event"), "SELECT max(event_id) AS last_event FROM events")
+# The events as a log of files, read back behind an event id.
+def _logged(spark: SparkSession, folder: str) -> DataFrame:
+    place = f"{scratch.folder(spark)}/logs/{uuid.uuid4().hex}"
+    e = spark.read.parquet(f"{folder}/events.parquet")
+    changelog.write(e.select(F.concat(F.lit("/u/"), F.col("user_id").cast("string")).alias("path"), F.col("event_id").cast("long").alias("event_id"), (F.col("event_id") * 37 % 65536).cast("int").alias("flags")), place)
+    return changes.decoded(changelog.read(spark, place, 99)).select("path", "event_id", "structural", "metadata")
+
+
+register("changelog_batch", _logged, "SELECT '/u/' || user_id AS path, event_id::BIGINT AS event_id, (event_id * 37) & 2816 <> 0 AS structural, (event_id * 37) & 62464 <> 0 AS metadata FROM events WHERE event_id > 99")
 register("retry_delays", lambda s, d: changes.retries(_feed(s, d).select("path", (F.col("event_id") % 9).cast("int").alias("attempt"))), "SELECT '/u/' || user_id || '/' || event_type AS path, (event_id % 9 + 1)::INT AS attempt, least(60, 1 << least(event_id % 9, 6))::INT AS delay FROM events")
 # The optional index.
 register("trigram_postings", lambda s, d: index.selectivity(index.postings(files(s, d))), f"{FILES}, g AS (SELECT DISTINCT id, substr(name_fold, i, 3) AS trigram FROM (SELECT id, name_fold, unnest(range(1, length(name_fold) - 1)) AS i FROM files)) SELECT trigram, count(*) AS n FROM g GROUP BY trigram")

@@ -5,7 +5,8 @@ rows as any others; links aren't followed; a folder that can't be listed yields
 goes on. Excluded folders aren't entered.
 
 The driver walks the first levels until there are enough folders to share out (``partitions``, by default 64), and
-each task walks its own below. Where the tree is mounted on every executor the scan runs on all of them.
+each task walks its own below; :func:`scan_by_frontier` deals out anew what is left after each round, which suits trees whose
+folders differ much in size. Where the tree is mounted on every executor the scan runs on all of them.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import stat
 from collections import deque
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -123,13 +125,68 @@ def scan(spark: SparkSession, roots: list[str], rules: ExcludeRules = ExcludeRul
     return spark.read.format("fstree").option("roots", json.dumps(roots)).option("rules", rules.to_json()).option("partitions", partitions).load()
 
 
+def scan_by_frontier(spark: SparkSession, roots: list[str], rules: ExcludeRules = ExcludeRules(), each: int = 20_000, tasks: int | None = None) -> DataFrame:
+    """The rows of :func:`scan`, in rounds, see :func:`frontier`."""
+    return frontier(spark.createDataFrame([(r, True) for r in roots], "path string, first boolean"), rules, each, tasks)
+
+
+def frontier(start: DataFrame, rules: ExcludeRules, each: int = 20_000, tasks: int | None = None) -> DataFrame:
+    """All rows below some folders (path, first), and those of the folders that are ``first``.
+
+    In rounds: what a round leaves is dealt out anew, so that no subtree is the work of one task.
+    A task lists folders until it has met ``each`` entries, and hands the others of its share back. Folders that are
+    waiting are a written table; the driver asks whether there are any and no more.
+    """
+    from ..scratch import written
+
+    spark = start.sparkSession
+    kinds, n = SCHEMA + ", waits boolean", tasks or 2 * spark.sparkContext.defaultParallelism
+    columns = [c.split()[0] for c in kinds.split(", ")]
+
+    def advance(batches):
+        queue, met = deque(), 0
+        for pdf in batches:
+            rows = []
+            for path, first in zip(pdf["path"], pdf["first"], strict=True):
+                if not first:
+                    queue.append(path)
+                    continue
+                try:
+                    s = os.stat(path, follow_symlinks=False)
+                    rows.append((*entry(None, path, path, s), False))
+                    if stat.S_ISDIR(s.st_mode):
+                        queue.append(path)
+                except OSError as e:
+                    rows.append((*entry(None, path, path, None, e.errno), False))
+            while queue and met < each:
+                found, folders = listing(queue.popleft(), rules)
+                queue.extend(folders)
+                met += len(found) + 1
+                rows += [(*r, False) for r in found]
+                if len(rows) >= 10_000:
+                    yield pd.DataFrame(rows, columns=columns, dtype=object)
+                    rows = []
+            yield pd.DataFrame(rows, columns=columns, dtype=object)
+        while queue:
+            some = [queue.popleft() for _ in range(min(10_000, len(queue)))]
+            yield pd.DataFrame([(None, None, p, *[None] * 6, True) for p in some], columns=columns, dtype=object)
+
+    waiting, out = start, None
+    while out is None or not waiting.isEmpty():
+        made = written(waiting.repartition(n, F.xxhash64("path")).mapInPandas(advance, kinds), "frontier")
+        waiting = made.filter("waits").select("path", F.lit(False).alias("first"))
+        some = made.filter("not waits").drop("waits")
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
 def scan_scope(spark: SparkSession, scope: IndexScope, rules: ExcludeRules = ExcludeRules(), mount_table: list[tuple[str, bool]] | None = None) -> tuple[DataFrame, list[tuple[str, int]]]:
     """The rows of a scope, and issues of roots that no longer are the folders that were chosen.
 
     Mounts that aren't local are left out like excluded paths. The scope of all local volumes is the whole disk.
     """
     good, lost = scope.valid_roots()
-    return scan(spark, good, effective(rules, mounts() if mount_table is None else mount_table)), lost
+    return scan_by_frontier(spark, good, effective(rules, mounts() if mount_table is None else mount_table)), lost
 
 
 def with_progress(scanned: DataFrame, name: str = "scan") -> tuple[DataFrame, Observation]:

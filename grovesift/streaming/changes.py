@@ -25,9 +25,13 @@ EVENTS = "path string, event_id long, must_scan boolean, structural boolean, met
 
 def read_flags(spark: SparkSession, folder: str, after: int = -1) -> DataFrame:
     """A stream of events from files of JSON lines (path, event_id, flags) that a monitor adds to a folder; those after an event id."""
-    lines = spark.readStream.schema("path string, event_id long, flags int").json(folder).filter(F.col("event_id") > after)
+    return decoded(spark.readStream.schema("path string, event_id long, flags int").json(folder).filter(F.col("event_id") > after))
+
+
+def decoded(flagged: DataFrame) -> DataFrame:
+    """Events of (path, event_id, flags), as those sources give them."""
     path = canonical_column(F.col("path"))
-    return lines.select(path.alias("path"), "event_id", *(c.alias(k) for k, c in classify(F.col("flags")).items())).select(*[c.split()[0] for c in EVENTS.split(", ")])
+    return flagged.select(path.alias("path"), "event_id", *(c.alias(k) for k, c in classify(F.col("flags")).items())).select(*[c.split()[0] for c in EVENTS.split(", ")])
 
 
 def classify(flags: Column) -> dict[str, Column]:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators.reconcile import below
 from ..operators.rules import ExcludeRules, effective, inspectable
-from ..sources.fstree import listing, walk
+from ..sources.fstree import frontier, listing
 
 SEEN = "kind string, parent_path string, name string, path string, size long, mtime long, mtime_ns long, is_dir boolean, error int"
 #: Errors that prove that something is gone. Any other one proves nothing.
@@ -93,19 +93,8 @@ def inspector(rules: ExcludeRules = ExcludeRules(), mount_table: list[tuple[str,
 
     def subtrees(roots: DataFrame) -> DataFrame:
         """All that lies below new folders (path), as ``child`` rows; with an error, what couldn't be read."""
-
-        def below_each(batches):
-            for pdf in batches:
-                for path in pdf["path"]:
-                    held = []
-                    for r in walk([path], used):
-                        held.append(("child", *r[:7], r[8]))
-                        if len(held) >= 10_000:
-                            yield frame(held)
-                            held = []
-                    yield frame(held)
-
-        return roots.repartition("path").mapInPandas(below_each, SEEN)
+        found = frontier(roots.select("path", F.lit(False).alias("first")), used)
+        return found.select(F.lit("child").alias("kind"), *COLUMNS[1:])
 
     inspect.subtrees = subtrees
     return inspect
