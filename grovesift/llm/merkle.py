@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEAF = re.compile(r"[^\n.!?;|,]{1,32}[^\s.!?;|,]{0,32}[\n.!?;|,]*|[\n.!?;|,]+")
-#: Bytes of text in a range of ids, and sampled ids for each range.
-RANGE_BYTES, SAMPLED = 1 << 23, 32
+#: Bytes of text in a range of ids, sampled ids for each range, and ranges at most: beyond these, ranges hold more, through
+#: which tasks stream, and neither the driver's lists nor the number of tasks grow.
+RANGE_BYTES, SAMPLED, RANGES = 1 << 23, 32, 20_000
 
 
 def fingerprint(text: str) -> str:
@@ -109,10 +110,10 @@ def edited(text: str, after: str) -> str:
 
 
 def borders_of(docs: DataFrame) -> list[int]:
-    """The first ids of ranges of about ``RANGE_BYTES`` of text, largest first; from a sample of ids and sizes."""
+    """The first ids of ranges of about ``RANGE_BYTES`` of text, ``RANGES`` at most, largest first; from a sample of ids and sizes."""
     size = F.octet_length("text").cast("long")
     n, total = docs.filter(F.col("doc_id").isNotNull()).agg(F.count("*"), F.sum(size)).first()
-    ranges = (total or 0) // RANGE_BYTES + 1
+    ranges = min((total or 0) // RANGE_BYTES + 1, RANGES)
     if ranges < 2:
         return []
     share = min(1.0, SAMPLED * ranges / n)
@@ -127,7 +128,7 @@ def in_ranges(docs: DataFrame) -> DataFrame:
     """(part, last, doc_id, text): ranges of descending ids, sorted, and after each range the first row of the next.
 
     The row after the last range is the very first. Only sampled ids and the largest id of each range pass through the
-    driver; texts are shuffled once, each range to a partition of its own.
+    driver, at most ``RANGES`` times what there is of each; texts are shuffled once, each range to a partition of its own.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # A border is the smallest id of its range; ids below the last one, and nulls, are in the last range.

@@ -45,6 +45,8 @@ LOW = np.uint64((1 << 48) - 1)
 SLICE, SLICE_ROWS = 1 << 22, 60_000
 #: Bytes of text for one bucket of anchors, and buckets at least.
 BUCKET_BYTES, BUCKETS = 1 << 22, 16
+#: Partitions at most; a task handles its buckets one after the other.
+PARTITIONS = 20_000
 #: Suffixes in a bucket that is sorted, and sampled ones for each splitter.
 SUFFIXES, OVERSAMPLE = 16_384, 8
 #: Documents in the sample that shows frequent anchors, and in how many of these such an anchor stands.
@@ -306,7 +308,7 @@ def decided(packed: DataFrame, buckets: int, frequent: np.ndarray) -> DataFrame:
             docs, start, windows, off = docs[order[chosen]], start[order[chosen]], windows[order[chosen]], state[chosen]
         return pa.table({"doc_id": docs[:, 0], "key": docs[:, 1], "start": start, "windows": windows.astype(np.int32), "off": off.astype(np.int32)})
 
-    return packed.repartition(2 * buckets, "bucket").groupBy("bucket").applyInArrow(find, "doc_id long, key long, start long, windows int, off int")
+    return packed.repartition(min(2 * buckets, PARTITIONS), "bucket").groupBy("bucket").applyInArrow(find, "doc_id long, key long, start long, windows int, off int")
 
 
 def flat(column) -> tuple[np.ndarray, np.ndarray]:
@@ -485,7 +487,7 @@ def compared(inside: DataFrame, buckets: int) -> DataFrame:
         hit = np.flatnonzero(most >= 0)
         return pa.table({"doc_id": ids[hit], "key": key[hit], "start": (start + off - most)[hit], "end": (start + off - least)[hit] + LENGTH})
 
-    return inside.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(find, "doc_id long, key long, start long, end long")
+    return inside.repartition(min(buckets, PARTITIONS), "bucket").groupBy("bucket").applyInArrow(find, "doc_id long, key long, start long, end long")
 
 
 def across(windows: DataFrame) -> DataFrame:

@@ -165,10 +165,12 @@ def test_merkle_trees():
     assert merkle.edited("abcdef", "XYZ") == "abcdXY" and merkle.edited("abcdef", "X") == "abcdX" and merkle.edited("ab", "X") == "ab"
 
 
-@pytest.mark.parametrize("size", [1, 400, 1 << 23])
-def test_fingerprints_of_neighbours(spark, odd, size, monkeypatch):
+@pytest.mark.parametrize(("size", "ranges"), [(1, 20_000), (1, 3), (400, 20_000), (1 << 23, 20_000)])
+def test_fingerprints_of_neighbours(spark, odd, size, ranges, monkeypatch):
     monkeypatch.setattr(merkle, "RANGE_BYTES", size)
+    monkeypatch.setattr(merkle, "RANGES", ranges)
     docs = odd.union(spark.createDataFrame([(k, f"text number {k}. " * 9, None, None, None, "", "") for k in range(20, 40)], DOC))
+    assert len(merkle.borders_of(docs)) < ranges
     got = sorted(map(tuple, merkle.compare_with_next(docs).collect()), key=str)
     seq = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
     want = []
