@@ -84,6 +84,7 @@ class SnapshotStore:
     def __init__(self, spark: SparkSession, root: str, rows_per_file: int = 0, indexed: bool = False):
         self.spark, self.root, self.rows_per_file, self.indexed = spark, root.rstrip("/"), rows_per_file, indexed
         self._known: dict[str, list[tuple]] = {}
+        self._idle: dict[str, float] = {}  # since when folders haven't been needed
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -303,15 +304,22 @@ class SnapshotStore:
         self.save(files, fingerprint, event, issues)
         return self.load()
 
-    def drop_old(self, keep: int = 2) -> None:
-        """Deletes all but the newest folders, and those of the current version."""
+    def drop_old(self, keep: int = 2, after: float = 0.0, now: float | None = None) -> None:
+        """Deletes all but the newest folders, those of the current version, and those that were needed within ``after`` seconds.
+
+        Searches go on over the version with which they began, so ``after`` should be longer than they take.
+        """
         fs, root = self._fs(self.root)
+        now = time.time() if now is None else now
         found = sorted((s for s in fs.listStatus(root) if s.isDirectory() and s.getPath().getName()[:2] in ("v-", "c-", "r-", "i-")), key=lambda s: -s.getModificationTime())
-        now = self.manifest()
-        needed = {now.folder, now.retries, now.index, *now.changes} if now else set()
-        for s in found[keep:]:
-            if s.getPath().getName() not in needed:
-                fs.delete(s.getPath(), True)
+        m = self.manifest()
+        needed = {m.folder, m.retries, m.index, *m.changes} if m else set()
+        idle = {s.getPath().getName(): s.getPath() for s in found[keep:] if s.getPath().getName() not in needed}
+        self._idle = {n: self._idle.get(n, now) for n in idle}
+        for name, place in idle.items():
+            if now - self._idle[name] >= after:
+                fs.delete(place, True)
+                del self._idle[name]
 
     def invalidate(self) -> None:
         """Forgets all versions, after a scope was revoked; the newest manifest goes last, so that no older one comes back."""

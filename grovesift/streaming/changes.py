@@ -110,8 +110,8 @@ class LiveTable:
     them alone until then, and :meth:`tick` looks at them without any event. ``clock`` gives seconds since 1970.
     """
 
-    #: Seconds between two times that the store is maintained and old folders are dropped.
-    MAINTENANCE = 60.0
+    #: Seconds between two times that the store is maintained, and seconds for which folders outlive the versions that need them.
+    MAINTENANCE, GRACE = 60.0, 600.0
 
     def __init__(self, store, fingerprint: str, roots: list[str], inspect, rebuild, listeners=(), clock=time.time):
         self.store, self.fingerprint, self.roots, self.inspect, self.rebuild, self.clock = store, fingerprint, roots, inspect, rebuild, clock
@@ -137,7 +137,7 @@ class LiveTable:
             if self.clock() - self.maintained >= self.MAINTENANCE:
                 self.maintained = self.clock()
                 did = self.store.maintain() or did
-                self.store.drop_old()
+                self.store.drop_old(0, self.GRACE, self.clock())
             return did
 
     def _apply(self, batch: DataFrame) -> None:

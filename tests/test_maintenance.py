@@ -323,16 +323,23 @@ def test_maintenance_by_the_clock(disk, spark):
     live.clock, live.maintained = lambda: now[0], 0.0
     for k in range(3):
         store.append(store.load()[0].filter("not is_dir").withColumn("size", F.lit(k).cast("long")), k)
-    store_rows, snapshots_few = store.manifest().changed_rows, 5
-    assert store_rows == 12
     import grovesift.sources.snapshots as module
 
-    kept, module.FEW_CHANGED = module.FEW_CHANGED, snapshots_few
+    before, base = store.load()[0], store.manifest().folder
+    assert store.manifest().changed_rows == 12
+    kept, module.FEW_CHANGED = module.FEW_CHANGED, 5
     try:
         now[0] = 59.0
         assert not live.tick() and len(store.manifest().changes) == 3
         now[0] = 60.0
         assert live.tick() and store.manifest().changes == [] and store.manifest().changed_rows == 0 and {r.size for r in paths().values() if not r.is_dir} == {2}
+        folders = lambda: set(os.listdir(store.root.removeprefix("file://")))
+        now[0] = 659.0
+        live.tick()
+        assert base in folders() and before.count() == 8  # a search that began before goes on
+        now[0] = 720.0
+        live.tick()
+        assert base not in folders() and len(paths()) == 8
     finally:
         module.FEW_CHANGED = kept
 
