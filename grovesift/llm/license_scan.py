@@ -2,7 +2,9 @@ r"""License scans by diagonal voting.
 
 Native: DataFrame functions only. Every run of ``K`` words of every document is joined by its hash (and
 verified by its words) to the places where the templates hold the same run. A match at word ``p`` of the
-document and place ``q`` of the template votes for the diagonal ``p - q``. Neighbouring diagonals, at most
+document and place ``q`` of the template votes for the diagonal ``p - q``, if it stands in order: another match of the template is within ``GAP + 1``
+words of it, before or behind in both, on a diagonal at most ``GAP`` away. So the parts of a notice in another order have no
+votes, and a span is at most ``GAP + 1`` times as long as what it covers of the template. Neighbouring diagonals, at most
 ``GAP`` words apart, are merged, so that a few inserted or lost words leave one placement; a placement is
 accepted when it covers ``COVER`` per cent of the template's runs, or all of them in a template of fewer than
 ``LONG`` runs, where a single word tells licenses apart.
@@ -77,24 +79,48 @@ def places(spark, templates, k: int = K) -> DataFrame:
     return local.withColumn("t_h", F.xxhash64("t_gram"))
 
 
-def placements(docs: DataFrame, templates, k: int = K, gap: int = GAP) -> DataFrame:
-    """(uid, doc_id, n_words, t, start, runs, size): merged diagonals; t is null in one row of each document at least."""
+def placements(docs: DataFrame, templates, k: int = K, gap: int = GAP, whole: int = 0) -> DataFrame:
+    """(uid, doc_id, n_words, t, start, first, last, runs, size): merged diagonals; t is null in one row of each document at least.
+
+    ``first`` and ``last`` are the document's first and last word of a placement. The first ``whole`` templates stand only
+    as they are, so that their matches need no neighbours.
+    """
     split = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", words(F.col("text")).alias("w"))
     rolled = split.select("uid", "doc_id", F.size("w").cast("long").alias("n_words"), F.posexplode_outer(grams(F.col("w"), k)).alias("p", "gram"))
     at = F.broadcast(places(docs.sparkSession, templates, k))
     met = rolled.withColumn("h", F.xxhash64("gram")).join(at, (F.col("h") == F.col("t_h")) & (F.col("gram") == F.col("t_gram")), "left")
     met = met.filter(F.col("t").isNotNull() | F.coalesce(F.col("p") == 0, F.lit(True)))
-    votes = met.groupBy("uid", "doc_id", "n_words", "t", "size", (F.col("p") - F.col("q")).alias("diagonal")).agg(F.collect_set("q").alias("qs"))
+    by_place = Window.partitionBy("uid", "t").orderBy("p")
+    before, behind = (F.collect_list("at").over(by_place.rangeBetween(*r)) for r in ((-1 - gap, -1), (1, 1 + gap)))
+
+    def follows(x: Column, y: Column) -> Column:
+        return (y["q"] > x["q"]) & (y["q"] - x["q"] <= gap + 1) & (F.abs((y["p"] - y["q"]) - (x["p"] - x["q"])) <= gap)
+
+    placed = met.select("uid", "doc_id", "n_words", "p", "t", "q", "size", F.struct("p", "q").alias("at")).withColumns({"before": before, "behind": behind})
+    ordered = F.exists("before", lambda x: follows(x, F.col("at"))) | F.exists("behind", lambda x: follows(F.col("at"), x))
+    lone = F.col("t").isNull() | (F.col("t") < whole) | (F.col("size") == 1)
+    # A document whose matches all go keeps a row, as one without matches does.
+    in_order = placed.withColumn("ordered", lone | ordered)
+    in_order = in_order.filter(F.col("ordered") | (F.col("p") == 0)).withColumns({c: F.when(F.col("ordered"), F.col(c)) for c in ("t", "q", "size")})
+    votes = in_order.groupBy("uid", "doc_id", "n_words", "t", "size", (F.col("p") - F.col("q")).alias("diagonal")).agg(F.collect_set("q").alias("qs"), F.min("p").alias("low"), F.max("p").alias("high"))
     near = Window.partitionBy("uid", "t").orderBy("diagonal")
     fresh = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(near) > gap, F.lit(False)).cast("int")
     merged = votes.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(near))
     return merged.groupBy("uid", "doc_id", "n_words", "t", "size", "run").agg(
-        F.min("diagonal").alias("start"),
+        F.min("diagonal").alias("start"), F.min("low").alias("first"), (F.max("high") + (k - 1)).alias("last"),
         F.size(F.array_distinct(F.flatten(F.collect_list("qs")))).alias("runs"),
         F.transform(F.filter(F.collect_list(F.struct("diagonal", F.size("qs").alias("n"))), lambda x: x["n"] == F.first("size")), lambda x: x["diagonal"]).alias("whole"),
     )
 
 
+def spans(docs: DataFrame, templates=TEMPLATES, cover: int = COVER) -> DataFrame:
+    """(doc_id, label, first, last, share): where accepted templates stand, from the first to the last word."""
+    found = placements(docs, tuple(templates))
+    need = F.when(F.col("size") < LONG, 100).otherwise(cover)
+    label = F.get(F.array(*[F.lit(name) for _, name in templates]), F.col("t"))
+    return found.filter(F.col("runs") * 100 >= F.col("size") * need).select("doc_id", label.alias("label"), "first", "last", (F.col("runs") / F.col("size")).alias("share"))
+
+
 def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, cover: int = COVER) -> DataFrame:
     """One row for each document: where the phrases stand, and the labels of phrases and accepted templates.
 
@@ -102,7 +128,7 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, cover: int = COV
     """
     both = tuple(phrases) + tuple(templates)
     label = F.get(F.array(*[F.lit(name) for _, name in both]), F.col("t"))
-    found = placements(docs, both)
+    found = placements(docs, both, whole=len(phrases))
     base = F.when(F.col("t") < len(phrases), F.col("whole"))
     need = F.when(F.col("size") < LONG, 100).otherwise(cover)
     won = (F.col("t") >= len(phrases)) & (F.col("runs") * 100 >= F.col("size") * need)
@@ -132,7 +158,9 @@ runs AS (SELECT t, label, size, q, w[q + 1] || ' ' || w[q + 2] AS gram FROM plac
 docs AS (SELECT row_number() OVER () AS uid, doc_id,
   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 spots AS (SELECT uid, unnest(range(0, greatest(len(w) - 1, 0))) AS p, w FROM docs),
-met AS (SELECT uid, p - q AS diagonal, q, t, size, label FROM (SELECT uid, p, w[p + 1] || ' ' || w[p + 2] AS gram FROM spots) JOIN runs USING (gram)),
+every AS MATERIALIZED (SELECT uid, p, q, p - q AS diagonal, t, size, label FROM (SELECT uid, p, w[p + 1] || ' ' || w[p + 2] AS gram FROM spots) JOIN runs USING (gram)),
+met AS (SELECT uid, diagonal, q, t, size, label FROM every m WHERE t < {len(PHRASES)} OR size = 1 OR EXISTS (SELECT 1 FROM every x WHERE x.uid = m.uid AND x.t = m.t
+  AND abs(x.p - m.p) BETWEEN 1 AND {GAP + 1} AND abs(x.q - m.q) BETWEEN 1 AND {GAP + 1} AND (x.p > m.p) = (x.q > m.q) AND abs(x.diagonal - m.diagonal) <= {GAP})),
 votes AS (SELECT uid, t, size, label, diagonal, count(*) AS n FROM met GROUP BY ALL),
 marked AS (SELECT *, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY uid, t ORDER BY diagonal) > {GAP}, false)::INT AS fresh FROM votes),
 numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY uid, t ORDER BY diagonal) AS run FROM marked),
