@@ -261,6 +261,13 @@ class LiveTable:
         later = events.filter(F.col("event_id") > (m.last_event_id if m else -1))
         return later.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint).trigger(processingTime="500 milliseconds").start()
 
+    def follow(self, folder: str, checkpoint: str):
+        """Runs over a monitor's log, see :mod:`sources.changelog`, from the last event that the store has seen."""
+        from ..sources import changelog
+
+        m = self.store.manifest()
+        return self.start(decoded(changelog.stream(self.store.spark, folder, m.last_event_id if m else -1)), checkpoint)
+
     def keep_running(self, events: DataFrame, checkpoint: str, tries: int = 5, wait: float = 2.0) -> None:
         """Runs until the stream ends; starts it again ``wait`` seconds after a failure, ``tries`` times in a row at most."""
         for k in range(tries):

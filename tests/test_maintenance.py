@@ -281,6 +281,34 @@ def test_feed_keeps_what_it_cannot_read(disk, spark):
     assert set(paths()) == on_disk(top) and store.manifest().last_event_id == 8 and again.next_retry() is None
 
 
+def test_a_table_follows_a_log(disk, tmp_path, monkeypatch):
+    monkeypatch.setattr(changes, "canonical_column", lambda path: path)  # /tmp has another name there
+    top, store, live, _, paths, _ = disk
+    (tmp_path / "log").mkdir()
+
+    def put(number, *paths_):
+        lines = [json.dumps({"path": f"{top}/{p}", "event_id": number + k, "flags": 0x100}) for k, p in enumerate(paths_)]
+        (tmp_path / "log/.part").write_text("\n".join(lines) + "\n")
+        os.replace(tmp_path / "log/.part", tmp_path / f"log/{number:06d}.json")
+
+    (top / "kept/s.txt").write_text("s")
+    put(1, "root.txt", "kept/s.txt")  # the first of them is in the store already
+    q = live.follow(str(tmp_path / "log"), f"{tmp_path}/cp")
+    try:
+        q.processAllAvailable()
+        assert set(paths()) == on_disk(top) and store.manifest().last_event_id == 2
+    finally:
+        q.stop()
+    (top / "full/only.txt").unlink()
+    put(3, "full/only.txt")
+    q = live.follow(str(tmp_path / "log"), f"{tmp_path}/cp")
+    try:
+        q.processAllAvailable()
+        assert set(paths()) == on_disk(top) and store.manifest().last_event_id == 3
+    finally:
+        q.stop()
+
+
 def test_retries_wait_for_their_time_and_need_no_event(disk, spark, tmp_path):
     import time
 
